@@ -1,0 +1,40 @@
+"""Analysis of a folder of article files, some files at a time, going on where it stopped."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+from sievra.operators.analysis import clean_documents, lemmatize
+from sievra.sources.tables import ARTICLE_SCHEMA
+
+# Fixed value: files taken together before the next group starts.
+FILES_PER_RUN = 5
+
+
+def analyze_files(
+    spark: SparkSession,
+    source: str,
+    target: str,
+    checkpoint: str,
+    schema: str = ARTICLE_SCHEMA,
+    text_col: str = "text",
+    id_col: str = "id",
+    lemmas: DataFrame | None = None,
+    files_per_run: int = FILES_PER_RUN,
+) -> StreamingQuery:
+    """Clean and tokenise every Parquet file of ``source`` that was not done yet, then stop.
+
+    The checkpoint holds which files are done, so a run after a failure, or after new files came,
+    takes up the rest and writes no file's rows twice.
+    """
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_run).parquet(source)
+    tokens = clean_documents(files, text_col)
+    if lemmas is not None:
+        tokens = lemmatize(tokens, lemmas, "tokens", id_col)
+    return (
+        tokens.writeStream.format("parquet")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start(target)
+    )
