@@ -159,7 +159,7 @@ REGISTRY = {
     "e05_build_run_without_evidence": (lambda spark, sf: _run(spark, sf, "without_rag"), _run_sql("without_rag")),
     "j07_attach_page_text": (
         _page_text,
-        f"WITH {_QUESTIONS} SELECT conv_id, turn, url, coalesce(p.html, {_DEFAULT}) AS text FROM allq LEFT JOIN pages AS p ON p.page_id = page",
+        f"WITH {_QUESTIONS} SELECT conv_id, turn, allq.url, coalesce(p.html, {_DEFAULT}) AS text FROM allq LEFT JOIN pages AS p ON p.page_id = page",
     ),
     "e06_label_pairs": (
         _scored,
