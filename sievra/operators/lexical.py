@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from sievra.operators.analysis import analyze_queries
 from sievra.operators.sampling import head_sample
-from sievra.session import fits, unnest
+from sievra.session import fits, settle, unnest
 
 # Vocabulary limits and sample size by default, and top-k.
 MIN_DF = 5
@@ -21,6 +21,9 @@ TOP_K = 10
 # but sums of doubles depend on their order; without rounding, a re-run task could reorder ties.
 SCORE_DIGITS = 9
 
+# As many terms as Parquet's filters compare one by one (spark.sql.parquet.pushdown.inFilterThreshold).
+PUSHED_TERMS = 10
+
 
 @dataclass(frozen=True)
 class LexicalIndex:
@@ -75,7 +78,14 @@ def build_vocab(
 
     kept = doc_freq(tf).where((F.col("df") >= limit(min_df)) & (F.col("df") <= limit(max_df)))
     if max_features is not None:
-        kept = kept.orderBy(F.desc("ctf"), "term").limit(max_features)
+        # A sort with a limit takes max_features terms of every partition to one task. Terms are so
+        # unevenly frequent that counting them by frequency tells which frequencies make the cut.
+        kept = settle(kept, "frequencies")
+        sizes = kept.groupBy("ctf").agg(F.count("*").alias("n"))
+        reached = sizes.select("ctf", F.sum("n").over(W.orderBy(F.desc("ctf"))).alias("upto"))
+        floor = reached.where(F.col("upto") >= max_features).agg(F.max("ctf")).scalar()
+        frequent = kept.where(F.col("ctf") >= F.coalesce(floor, F.lit(0)))
+        kept = frequent.orderBy(F.desc("ctf"), "term").limit(max_features)
     # At most max_features rows, so one task numbers them.
     return kept.select(
         "term",
@@ -113,7 +123,8 @@ def build_lexical_index(
     tf = term_freq(docs, colocated=colocated)
     sample = head_sample(docs, sample_size, "doc_id")
     sample_tf = tf if sample_size is None else term_freq(sample, colocated=colocated)
-    vocab = build_vocab(sample_tf, sample.agg(F.count("*")), min_df, max_df, max_features)
+    # The fitted vocabulary is small and is read by the weights, by every search and by the statistics.
+    vocab = settle(build_vocab(sample_tf, sample.agg(F.count("*")), min_df, max_df, max_features), "vocab")
     return LexicalIndex(vocab, tfidf(tf, vocab, max_features), docs.select("doc_id"))
 
 
@@ -156,6 +167,10 @@ def top_k(scored: DataFrame, k: int, score_col: str = "score", descending: bool
 
 
 def _match(weights: DataFrame, postings: DataFrame) -> DataFrame:
+    few = weights.select("term").distinct().limit(PUSHED_TERMS + 1).toArrow()["term"].to_pylist()
+    if len(few) <= PUSHED_TERMS:
+        # A short question: the scan of a stored index can skip what does not hold these terms.
+        postings = postings.where(F.col("term").isin(few))
     if fits(weights):
         return postings.join(F.broadcast(weights), "term")
     # Too many query terms to broadcast. A frequent term has postings in a large share of the
@@ -178,7 +193,7 @@ def lexical_search(
     Documents that share no term with the query score zero; they fill up to ``k`` rows by id if
     ``pad``, else they are left out.
     """
-    weights = query_weights(queries, idx.vocab, max_features)
+    weights = settle(query_weights(queries, idx.vocab, max_features), "query-weights")
     scored = (
         _match(weights, idx.postings)
         .groupBy("query_id", "doc_id")

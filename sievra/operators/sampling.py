@@ -10,6 +10,10 @@ from sievra.session import settle
 TRAIN_VECTORS_PER_LIST = 100
 MAPPING_BUCKET = 1_000_000
 
+# Up to this many keys per partition are simply sorted; beyond, a sample of keys limits them first.
+SORT_LIMIT = 10_000
+SAMPLED_KEYS = 2_000
+
 
 def filter_prefix(df: DataFrame, col: str, prefix: str) -> DataFrame:
     """Rows whose ``col`` starts with ``prefix``, case-sensitive; the scan gets the filter."""
@@ -28,6 +32,25 @@ def _up_to_nth(df: DataFrame, n: int, keys: list[Column]) -> DataFrame:
     return df.where(key <= last.scalar())
 
 
+def _roughly_first(df: DataFrame, n: int, keys: list[Column]) -> DataFrame:
+    """At least the ``n`` smallest keys and not many more.
+
+    Sorting with a limit hands ``n`` keys of every partition to one task. For a large ``n`` a limit is
+    therefore read off a thin random sample of the keys first, somewhat too high, and checked.
+    """
+    if n <= SORT_LIMIT:
+        return df
+    key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    thin = df.select(key.alias("__key")).sample(SAMPLED_KEYS / n, seed=0)
+    above = thin.orderBy("__key").limit(SAMPLED_KEYS + SAMPLED_KEYS // 4)
+    cut = above.agg(F.max("__key").alias("cut"), F.count("*").alias("n")).first()
+    if cut["n"] < SAMPLED_KEYS + SAMPLED_KEYS // 4:
+        return df
+    limit = F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(cut["cut"])])
+    near = df.where(key <= limit)
+    return near if near.count() >= n else df
+
+
 def head_sample(df: DataFrame, n: int | None, *order: str) -> DataFrame:
     """The first ``n`` rows by the unique key ``order``; all rows if ``n`` is None.
 
@@ -35,7 +58,8 @@ def head_sample(df: DataFrame, n: int | None, *order: str) -> DataFrame:
     """
     if n is None:
         return df
-    return _up_to_nth(df, n, [F.col(c) for c in order])
+    keys = [F.col(c) for c in order]
+    return _up_to_nth(_roughly_first(df, n, keys), n, keys)
 
 
 def random_sample(df: DataFrame, n: int, seed: int, *ids: str) -> DataFrame:

@@ -38,26 +38,21 @@ def hash_embedding(text_col, dim: int):
     """Unit vector of hashed words (floats); the offline stand-in for a sentence encoder.
 
     The words of a text are hashed by MD5 on the JVM: the number in the first eight hex digits picks the
-    position, the ninth digit the sign. Only these small integers go to Python, which adds them up.
+    position, the ninth digit the sign. Only these numbers go to Python, which adds them up.
     """
 
-    def place(word):
-        digest = F.md5(word)
-        position = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % dim
-        negative = F.substring(digest, 9, 1) < "8"
-        return F.when(negative, -position - 1).otherwise(position).cast("int")
-
-    places = F.transform(query_terms(F.coalesce(text_col, F.lit(""))), place)
+    def hashed(word):
+        return F.conv(F.substring(F.md5(word), 1, 9), 16, 10).cast("bigint")
 
     @F.arrow_udf("array<float>")
     def add_up(column: pa.Array) -> pa.Array:
-        flat = column.flatten().to_numpy(zero_copy_only=False)
+        number = column.flatten().to_numpy(zero_copy_only=False)
         row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
-        position = np.where(flat < 0, -flat - 1, flat)
-        sums = np.bincount(row * dim + position, np.where(flat < 0, -1.0, 1.0), len(column) * dim)
+        sign = np.where((number & 15) < 8, -1.0, 1.0)
+        sums = np.bincount(row * dim + (number >> 4) % dim, sign, len(column) * dim)
         return _as_lists(_unit_rows(sums.reshape(-1, dim)), pa.float32())
 
-    return add_up(places)
+    return add_up(F.transform(query_terms(F.coalesce(text_col, F.lit(""))), hashed))
 
 
 def _unit_rows(m: np.ndarray) -> np.ndarray:

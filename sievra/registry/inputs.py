@@ -159,7 +159,7 @@ def article_urls(spark, sf) -> DataFrame:
 
 def dialogue_runs(spark, sf) -> DataFrame:
     """Replies as answers of two runs, judged against the document numbered as the conversation."""
-    replies = table(spark, sf, "conversations").where(F.col("role") == "assistant")
+    replies = table(spark, sf, "conversations", "conv_id", "turn").where(F.col("role") == "assistant")
     texts = table(spark, sf, "documents").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("evidence"))
     mode = F.when(F.floor(F.col("turn") / 2) % 2 == 0, "without_rag").otherwise("with_rag")
     return replies.join(texts, "conv_id", "left").select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -12,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 MAX_BROADCAST_ROWS = 1_000_000
 
 _local_roots: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def local_session(app_name: str = "sievra", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -34,6 +37,23 @@ def local_session(app_name: str = "sievra", cores: int | str = "*", **conf: str)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Functions that run in tasks are found there by import, and a worker has neither the folder nor the
+    path of the driver. Not needed where the package is installed on all machines.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        name = os.path.basename(package)
+        archive = os.path.join(tempfile.mkdtemp(prefix=f"{name}-"), name)
+        spark.sparkContext.addPyFile(
+            shutil.make_archive(archive, "zip", root_dir=os.path.dirname(package), base_dir=name)
+        )
+        _shipped.add(app)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names.
 
@@ -69,8 +89,12 @@ def settle(df: DataFrame, label: str) -> DataFrame:
 
 
 def fits(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows; never counts further than one row beyond."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True if ``df`` has at most ``max_rows`` rows.
+
+    A full count, which tables answer from their metadata; a limit would move up to ``max_rows`` rows
+    of every partition into one task.
+    """
+    return df.count() <= max_rows
 
 
 def broadcast_if_fits(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
