@@ -40,20 +40,21 @@ def _cut(form: Column, n: int) -> Column:
 
 
 def lemma_table(
-    forms: DataFrame, lexicon: DataFrame, exceptions: DataFrame | None = None
+    forms: DataFrame, lexicon: DataFrame | None = None, exceptions: DataFrame | None = None
 ) -> DataFrame:
     """``(form, lemma)`` for the forms whose lemma differs from them.
 
-    ``forms(term)`` and ``lexicon(term)`` hold distinct terms; ``exceptions(form, lemma)`` lists
-    irregular forms. Candidates of a form are the form itself and its noun rules applied once; only
-    those in the lexicon count, the shortest wins, the earlier one on equal length. If none counts,
-    the rules are applied again to the candidates until one does. An irregular form has its listed
-    lemmas as the only other candidates. Forms without any candidate keep their spelling and are not
-    listed.
+    ``forms(term)`` and ``lexicon(term)`` hold distinct terms, the forms being the lexicon where none is
+    given; ``exceptions(form, lemma)`` lists irregular forms. Candidates of a form are the form itself
+    and its noun rules applied once; only those in the lexicon count, the shortest wins, the earlier
+    one on equal length. If none counts, the rules are applied again to the candidates until one does.
+    An irregular form has its listed lemmas as the only other candidates. Forms without any candidate
+    keep their spelling and are not listed.
 
     The work is on distinct forms: one join of candidates with the lexicon on the candidate, so no
     key is hot, and one aggregation by form.
     """
+    known = lexicon if lexicon is not None else forms
     forms = forms.select(F.col("term").alias("form"))
     regular = forms.where(F.col("form").endswith("s") | F.col("form").endswith("men"))
     if exceptions is not None:
@@ -71,8 +72,20 @@ def lemma_table(
             itself.select("form", F.lit(1).alias("level"), F.lit(0).alias("pos"), "term")
         ).unionByName(irregular.select("form", F.lit(1).alias("level"), F.lit(1).alias("pos"), "term"))
 
-    # Rules applied again: at most one application per character of the form.
-    deeper = first.join(lexicon.select(F.col("term").alias("form")), "form", "left_anti").select(
+    if lexicon is not None:
+        candidates = candidates.unionByName(_deeper_candidates(first, lexicon))
+
+    found = candidates.join(known.select("term"), "term")
+    best = found.groupBy("form").agg(
+        F.min(F.struct("level", F.length("term").alias("len"), "pos", "term")).alias("best")
+    )
+    return best.select("form", F.col("best.term").alias("lemma")).where(F.col("form") != F.col("lemma"))
+
+
+def _deeper_candidates(first: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Rules applied again, for forms that are no word themselves: at most once per character."""
+    unknown = first.join(lexicon.select(F.col("term").alias("form")), "form", "left_anti")
+    deeper = unknown.select(
         "form",
         F.aggregate(
             F.sequence(F.lit(2), F.greatest(F.length("form"), F.lit(2))),
@@ -80,21 +93,13 @@ def lemma_table(
                 F.col("bases").alias("now"),
                 F.array().cast("array<struct<level:int,term:string>>").alias("all"),
             ),
-            lambda acc, level: _next_level(acc, level),
+            _next_level,
             lambda acc: acc["all"],
         ).alias("all"),
     )
-    candidates = candidates.unionByName(
-        unnest(deeper, F.col("all"), "pos", "c", keep=["form"]).select(
-            "form", F.col("c.level").alias("level"), "pos", F.col("c.term").alias("term")
-        )
-    )
-
-    found = candidates.join(lexicon.select("term"), "term")
-    best = found.groupBy("form").agg(
-        F.min(F.struct("level", F.length("term").alias("len"), "pos", "term")).alias("best")
+    return unnest(deeper, F.col("all"), "pos", "c", keep=["form"]).select(
+        "form", F.col("c.level").alias("level"), "pos", F.col("c.term").alias("term")
     )
-    return best.select("form", F.col("best.term").alias("lemma")).where(F.col("form") != F.col("lemma"))
 
 
 def _next_level(acc: Column, level: Column) -> Column:
@@ -194,8 +199,8 @@ def analyze_documents(
     staged = clean_documents(df, text_col, stopwords)
     if lemmas is None:
         terms = distinct_terms(staged)
-        if lexicon is None:
-            terms = lexicon = settle(terms, "terms")
+        # Without a lexicon the terms are read twice, as forms and as the words that exist.
+        terms = settle(terms, "terms") if lexicon is None else terms
         lemmas = settle(lemma_table(terms, lexicon, exceptions), "lemmas")
     return lemmatize(staged, lemmas, "tokens", id_col)
 

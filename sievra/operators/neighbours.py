@@ -206,7 +206,8 @@ def nearest(
     schema = _output_schema(vectors, ids, queries.schema["query_id"])
     carried = [*ids, payload, *(["list_id"] if by_list else [])]
     # Queries are the output of an encoder; they are written once, then counted and read from there.
-    queries = settle(queries.select("query_id", "embedding", *(["lists"] if by_list else [])), "queries")
+    asked = [F.array_distinct("lists").alias("lists")] if by_list else []
+    queries = settle(queries.select("query_id", "embedding", *asked), "queries")
     shape = queries.agg(
         F.count("*").alias("n"),
         F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dim"),

@@ -1,0 +1,143 @@
+import hashlib
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sievra.functions.vector import choose_nlist, l2_normalize
+from sievra.operators import vectors as V
+from sievra.sources import index_store
+
+
+def table(spark, matrix):
+    rows = [(i // 3, i % 3, [float(x) for x in v]) for i, v in enumerate(matrix)]
+    return spark.createDataFrame(rows, "doc_id INT, chunk_no INT, embedding ARRAY<FLOAT>").repartition(4)
+
+
+@pytest.fixture(scope="module")
+def matrix():
+    rng = np.random.default_rng(11)
+    middles = rng.normal(size=(6, 8)) * 4
+    points = middles[rng.integers(0, 6, 600)] + rng.normal(size=(600, 8))
+    points[:200] = points[0]
+    return points.astype(np.float32).astype(np.float64)
+
+
+def test_normalize_and_list_count(spark):
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v ARRAY<DOUBLE>")
+    assert [r[0] for r in df.select(l2_normalize(F.col("v"))).collect()] == [[0.6, 0.8], [0.0, 0.0]]
+    ns = spark.createDataFrame([(1000,), (10_000,), (100_000,), (6_400_000,), (600_000_000,), (1,)], "n LONG")
+    assert [r[0] for r in ns.select(choose_nlist(F.col("n"))).collect()] == [128, 512, 1024, 8192, 16384, 4]
+
+
+def test_hash_embedding_by_hand(spark):
+    texts = ["One two two THREE, a", "", None, "été_9 x1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "query_id INT, text STRING")
+    rows = V.embed_queries(df, dim=16).orderBy("query_id").collect()
+    for text, row in zip(texts, rows):
+        sums = np.zeros(16)
+        for word in re.findall(r"\w{2,}", (text or "").lower()):
+            digest = hashlib.md5(word.encode()).hexdigest()
+            sums[int(digest[:8], 16) % 16] += -1 if digest[8] < "8" else 1
+        norm = np.linalg.norm(sums)
+        assert np.allclose(row.embedding, sums / norm if norm else sums, atol=1e-6)
+
+
+def test_encoder_hook(spark):
+    df = spark.createDataFrame([(1, "a b c d"), (2, "")], "doc_id INT, text STRING")
+
+    def encoder(texts):
+        return np.array([[len(t), 1.0] for t in texts])
+
+    rows = V.embed_chunks(df, encoder, 2, size=3, overlap=1).orderBy("chunk_no").collect()
+    assert [(r.doc_id, r.chunk_no) for r in rows] == [(1, 0), (1, 1)]
+    assert np.allclose(rows[0].embedding, np.array([5, 1]) / np.sqrt(26))
+    assert np.allclose(np.linalg.norm(rows[1].embedding), 1)
+    with pytest.raises(Exception, match="encoder returned"):
+        V.embed_chunks(df, encoder, 3).collect()
+
+
+def test_validation_sees_every_row(spark):
+    good = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0])], "doc_id INT, embedding ARRAY<DOUBLE>")
+    assert V.validate_vectors(good, 2).first().as_expected
+    bad = good.union(spark.createDataFrame([(3, []), (4, None), (5, [1.0])], "doc_id INT, embedding ARRAY<DOUBLE>"))
+    row = V.validate_vectors(bad, 2).first()
+    assert (row.n, row.n_empty, row.min_dim, row.max_dim, row.as_expected) == (5, 2, 1, 2, False)
+    assert not V.validate_vectors(good.limit(0), 2).first().as_expected
+    with pytest.raises(ValueError):
+        V.validate_vectors(good.drop("embedding"))
+
+
+def test_assign_breaks_ties_low_and_lloyd_averages(spark, matrix):
+    centers = np.concatenate([matrix[[300, 301, 302]], matrix[[301]]])
+    centroids = spark.createDataFrame([(10 + i, c.tolist()) for i, c in enumerate(centers)], "list_id INT, center ARRAY<DOUBLE>")
+    nearest = np.array([min(range(4), key=lambda j: (round(((v - centers[j]) ** 2).sum(), 9), j)) for v in matrix])
+    got = V.assign_lists(table(spark, matrix), centroids).collect()
+    assert {r.doc_id * 3 + r.chunk_no: r.list_id - 10 for r in got} == dict(enumerate(nearest))
+    moved = {r.list_id - 10: r.center for r in V.lloyd_step(table(spark, matrix), centroids).collect()}
+    for j in range(4):
+        own = matrix[nearest == j]
+        assert np.allclose(moved[j], own.mean(axis=0) if len(own) else centers[j])
+
+
+def test_rotation_keeps_distances_and_balances(spark, matrix):
+    rotation = V.pq_rotation(table(spark, matrix), 4)
+    assert np.allclose(rotation @ rotation.T, np.eye(8), atol=1e-9)
+    turned = V.rotate(table(spark, matrix), rotation).orderBy("doc_id", "chunk_no").collect()
+    assert np.allclose([r.embedding for r in turned], matrix @ rotation)
+
+
+@pytest.mark.parametrize("subvectors,rotated,residual", [(None, False, False), (4, False, False), (4, True, True)])
+def test_index_search_is_exact_on_what_it_stores(spark, matrix, tmp_path, subvectors, rotated, residual):
+    idx = V.build_vector_index(
+        table(spark, matrix), nlist=8, subvectors=subvectors, codes=16, rotated=rotated, residual=residual, nprobe=8, seed=1
+    )
+    index_store.write_vector_index(idx, str(tmp_path / "idx"))
+    stored = index_store.read_vector_index(spark, str(tmp_path / "idx"))
+    assert stored.kind == ("IVFFlat" if subvectors is None else "IVFPQ") and stored.nprobe == 8
+    centers = {r.list_id: np.array(r.center) for r in stored.centroids.collect()}
+    books = {(r["sub"], r.code): np.array(r.center) for r in stored.codebooks.collect()} if subvectors else None
+
+    def decoded(row):
+        if books is None:
+            return np.array(row.embedding)
+        v = np.concatenate([books[j, c] for j, c in enumerate(row.codes)])
+        return v + centers[row.list_id] if residual else v
+
+    rows = stored.lists.collect()
+    ids = [r.doc_id * 3 + r.chunk_no for r in rows]
+    assert sorted(ids) == list(range(len(matrix)))
+    content = np.array([decoded(r) for r in rows])
+    asked = matrix[[0, 250, 400, 599]] + 0.1
+    queries = spark.createDataFrame([(i, q.tolist()) for i, q in enumerate(asked)], "query_id INT, embedding ARRAY<DOUBLE>")
+    turned = asked @ stored.rotation if rotated else asked
+    hits = V.ivf_search(queries, stored, k=5, nprobe=100).orderBy("query_id", "rank").collect()
+    for i, q in enumerate(turned):
+        cost = np.round(((content - q) ** 2).sum(axis=1), 9)
+        best = sorted(range(len(ids)), key=lambda n: (cost[n], ids[n]))[:5]
+        mine = [r for r in hits if r.query_id == i]
+        assert np.allclose([r.score for r in mine], cost[best], atol=1e-6)
+        assert [r.doc_id * 3 + r.chunk_no for r in mine] == [ids[n] for n in best]
+    stats = V.vector_stats(stored).first()
+    assert (stats.total, stats.nlist, stats.dim) == (600, len(centers), 8)
+    positions = index_store.read_id_map(spark, str(tmp_path / "idx")).orderBy("pos").collect()
+    assert [(r.pos, r.doc_id * 3 + r.chunk_no) for r in positions] == [(i, i) for i in range(600)]
+
+
+def test_stored_lists_are_pruned(spark, matrix, tmp_path):
+    idx = V.build_vector_index(table(spark, matrix), nlist=8, subvectors=None, nprobe=1, seed=1)
+    index_store.write_vector_index(idx, str(tmp_path / "idx"))
+    stored = index_store.read_vector_index(spark, str(tmp_path / "idx"))
+    queries = spark.createDataFrame([(1, matrix[300].tolist())], "query_id INT, embedding ARRAY<DOUBLE>")
+    plan = V.ivf_search(queries, stored, k=3)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[.*list_id.*=", plan), plan
+
+
+def test_index_input_errors(spark, matrix):
+    with pytest.raises(ValueError):
+        V.pq_train(table(spark, matrix), 3)
+    with pytest.raises(ValueError):
+        V.pq_rotation(table(spark, matrix), 3)
+    with pytest.raises(ValueError):
+        V.build_vector_index(table(spark, matrix), metric="cosine")
