@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from sievra.operators.analysis import analyze_queries
 from sievra.operators.sampling import head_sample
-from sievra.session import fits, settle, unnest
+from sievra.session import MAX_BROADCAST_ROWS, settle, unnest
 
 # Vocabulary limits and sample size by default, and top-k.
 MIN_DF = 5
@@ -167,11 +167,12 @@ def top_k(scored: DataFrame, k: int, score_col: str = "score", descending: bool
 
 
 def _match(weights: DataFrame, postings: DataFrame) -> DataFrame:
-    few = weights.select("term").distinct().limit(PUSHED_TERMS + 1).toArrow()["term"].to_pylist()
-    if len(few) <= PUSHED_TERMS:
+    size = weights.agg(F.count("*").alias("rows"), F.countDistinct("term").alias("terms")).first()
+    if size["terms"] <= PUSHED_TERMS:
         # A short question: the scan of a stored index can skip what does not hold these terms.
+        few = weights.select("term").distinct().toArrow()["term"].to_pylist()
         postings = postings.where(F.col("term").isin(few))
-    if fits(weights):
+    if size["rows"] <= MAX_BROADCAST_ROWS:
         return postings.join(F.broadcast(weights), "term")
     # Too many query terms to broadcast. A frequent term has postings in a large share of the
     # documents, so both sides are spread over salts of the document id.

@@ -41,7 +41,7 @@ def _roughly_first(df: DataFrame, n: int, keys: list[Column]) -> DataFrame:
     if n <= SORT_LIMIT:
         return df
     key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
-    thin = df.select(key.alias("__key")).sample(SAMPLED_KEYS / n, seed=0)
+    thin = df.select(key.alias("__key")).sample(min(1.0, SAMPLED_KEYS / n), seed=0)
     above = thin.orderBy("__key").limit(SAMPLED_KEYS + SAMPLED_KEYS // 4)
     cut = above.agg(F.max("__key").alias("cut"), F.count("*").alias("n")).first()
     if cut["n"] < SAMPLED_KEYS + SAMPLED_KEYS // 4:

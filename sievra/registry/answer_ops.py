@@ -143,8 +143,8 @@ REGISTRY = {
         f"WITH {_QUESTIONS} SELECT question_id, question, url FROM questions",
     ),
     "e02_retrieve_docs": (
-        lambda spark, sf: _retrieved(spark, sf, _questions(spark, sf)).withColumn("score", F.round("score", 6)),
-        f"WITH {_HITS} SELECT query_id, rank::INTEGER AS rank, doc_id, round(score, 6) AS score FROM dochits",
+        lambda spark, sf: _retrieved(spark, sf, _questions(spark, sf)),
+        f"WITH {_HITS} SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM dochits",
     ),
     "e03_assemble_evidence": (
         lambda spark, sf: _evidence(spark, sf, _questions(spark, sf)),

@@ -15,17 +15,13 @@ from sievra.registry import inputs as I
 from sievra.session import settle
 
 
-def _six(hits):
-    return hits.withColumn("score", F.round("score", 6))
-
-
 def _numbers(c):
     """A vector as text, six decimals, for comparison."""
     return F.array_join(F.transform(c, lambda x: F.format_string("%.6f", F.round(x, 6) + F.lit(0.0))), " ")
 
 
 def _knn(spark, sf, metric="l2"):
-    return _six(knn_exact(I.vector_queries(spark, sf), I.vectors(spark, sf), 10, metric, ("vec_id",)))
+    return knn_exact(I.vector_queries(spark, sf), I.vectors(spark, sf), 10, metric, ("vec_id",))
 
 
 def _normalized(spark, sf):
@@ -75,18 +71,18 @@ def _trained_codes(spark, sf):
 
 
 def _ivf(spark, sf, index):
-    return _six(V.ivf_search(I.vector_queries(spark, sf), index(spark, sf)))
+    return V.ivf_search(I.vector_queries(spark, sf), index(spark, sf))
 
 
 def _all_lists(spark, sf):
     idx = I.flat_index(spark, sf)
-    return _six(V.ivf_search(I.vector_queries(spark, sf), idx, nprobe=100))
+    return V.ivf_search(I.vector_queries(spark, sf), idx, nprobe=100)
 
 
 def _rotated(spark, sf):
     vecs = I.vectors(spark, sf)
     turned = V.rotate(vecs, V.pq_rotation(vecs, I.SUBVECTORS))
-    return _six(knn_exact(turned.withColumnRenamed("vec_id", "query_id"), turned, 10, "l2", ("vec_id",)))
+    return knn_exact(turned.withColumnRenamed("vec_id", "query_id"), turned, 10, "l2", ("vec_id",))
 
 
 def _report(spark, sf):
@@ -116,25 +112,25 @@ def _chunk_hits(spark, sf):
 
 
 def _dense(spark, sf):
-    return _six(_chunk_hits(spark, sf))
+    return _chunk_hits(spark, sf)
 
 
 def _grouped(spark, sf):
-    entry = lambda h: F.concat_ws(":", h["rank"].cast("string"), F.format_string("%.4f", h["score"]))
+    entry = lambda h: F.concat_ws(":", h["rank"].cast("string"), F.format_string("%.9f", h["score"]))
     return H.group_hits(_chunk_hits(spark, sf)).select(
         "query_id", "doc_id", F.array_join(F.transform("hits", entry), " ").alias("hits")
     )
 
 
 def _best(spark, sf):
-    return _six(H.best_doc_hits(_chunk_hits(spark, sf)))
+    return H.best_doc_hits(_chunk_hits(spark, sf))
 
 
 def _label_hits(spark, sf):
     """Neighbours with the label standing for the document they belong to."""
     labels = I.vectors(spark, sf).select("vec_id", F.col("label").alias("doc_id"))
     hits = knn_exact(I.vector_queries(spark, sf), I.vectors(spark, sf), 10, "l2", ("vec_id",))
-    return _six(H.best_doc_hits(hits.join(labels, "vec_id")))
+    return H.best_doc_hits(hits.join(labels, "vec_id"))
 
 
 def _texts(spark, sf):
@@ -181,7 +177,7 @@ def _built(spark, sf):
     return V.vector_stats(idx).select("kind", "dim", "nlist", "nprobe", "total")
 
 
-_HITS = "query_id, rank::INTEGER AS rank, vec_id, round(score, 6) AS score"
+_HITS = "query_id, rank::INTEGER AS rank, vec_id, score"
 _DENSE = S.dense_hits("queries", "item_id", "text")
 _QUERIES = "queries AS (SELECT item_id, text FROM benchmark)"
 _NLIST = "pow(2, floor(log2(least(16384, floor(4 * sqrt({n})))) + 0.5))::INTEGER"
@@ -265,17 +261,17 @@ REGISTRY = {
     ),
     "a09_group_hits": (
         _grouped,
-        f"""WITH {_QUERIES},{_DENSE} SELECT query_id, doc_id, string_agg(rank || ':' || format('{{:.4f}}', score), ' ' ORDER BY rank) AS hits FROM hits GROUP BY query_id, doc_id""",
+        f"""WITH {_QUERIES},{_DENSE} SELECT query_id, doc_id, string_agg(rank || ':' || format('{{:.9f}}', score), ' ' ORDER BY rank) AS hits FROM hits GROUP BY query_id, doc_id""",
     ),
     "a10_best_doc_hits": (
         _best,
         f"""WITH {_QUERIES},{_DENSE}, b AS (SELECT query_id, doc_id, min(score) AS score FROM hits GROUP BY query_id, doc_id)
-        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id))::INTEGER AS rank, doc_id, round(score, 6) AS score FROM b""",
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id))::INTEGER AS rank, doc_id, score FROM b""",
     ),
     "l03_rerank_documents": (
         _label_hits,
         f"""WITH {S.knn(S.l2('q.e', 'v.e'), 'ASC')}, b AS (SELECT query_id, label AS doc_id, min(score) AS score FROM hits JOIN v USING (vec_id) GROUP BY query_id, label)
-        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id))::INTEGER AS rank, doc_id, round(score, 6) AS score FROM b""",
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id))::INTEGER AS rank, doc_id, score FROM b""",
     ),
     "l02_rank_numbers": (
         _ranks,
@@ -304,7 +300,7 @@ REGISTRY = {
     ),
     "e09_search_chunks": (
         _dense,
-        f"WITH {_QUERIES},{_DENSE} SELECT query_id, rank::INTEGER AS rank, doc_id, chunk_no, round(score, 6) AS score FROM hits",
+        f"WITH {_QUERIES},{_DENSE} SELECT query_id, rank::INTEGER AS rank, doc_id, chunk_no, score FROM hits",
     ),
     "e09_search_texts": (
         _texts,

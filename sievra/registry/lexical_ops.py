@@ -45,12 +45,8 @@ def _stats(spark, sf):
     )
 
 
-def _six(hits):
-    return hits.withColumn("score", F.round("score", 6))
-
-
 def _search(spark, sf, **options):
-    return _six(search.search_text(I.search_queries(spark, sf), I.lexical_index(spark, sf), **options))
+    return search.search_text(I.search_queries(spark, sf), I.lexical_index(spark, sf), **options)
 
 
 def _doc_counts(spark, sf):
@@ -74,7 +70,7 @@ def _urls(spark, sf):
     return H.lookup_urls(_hit_ids(spark, sf), I.id_url(spark, sf)).select("query_id", "rank", "doc_id", "url")
 
 
-_OUT = "query_id, rank::INTEGER AS rank, doc_id, round(score, 6) AS score"
+_OUT = "query_id, rank::INTEGER AS rank, doc_id, score"
 
 REGISTRY = {
     "a01_term_freq": (_tf, f"WITH {S.TF} SELECT doc_id, term, tf FROM tf"),

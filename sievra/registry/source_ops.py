@@ -83,8 +83,7 @@ def _stored_postings(spark, sf):
 
 
 def _stored_search(spark, sf):
-    hits = L.search_text(I.search_queries(spark, sf), _lexical(spark, sf))
-    return hits.withColumn("score", F.round("score", 6))
+    return L.search_text(I.search_queries(spark, sf), _lexical(spark, sf))
 
 
 def _vector(spark, sf, index):
@@ -100,8 +99,7 @@ def _stored_lists(spark, sf):
 
 
 def _stored_ivf(spark, sf):
-    hits = V.ivf_search(I.vector_queries(spark, sf), _vector(spark, sf, I.code_index))
-    return hits.withColumn("score", F.round("score", 6))
+    return V.ivf_search(I.vector_queries(spark, sf), _vector(spark, sf, I.code_index))
 
 
 def _stored_vectors(spark, sf):
@@ -125,7 +123,7 @@ runs AS (SELECT c.conv_id * 100 + c.turn AS question_id, c.text AS answer, d.tex
   FROM conversations AS c LEFT JOIN documents AS d ON d.doc_id = c.conv_id WHERE c.role = 'assistant')"""
 _ALL = "SELECT doc_id, text, lang, source, n_chars FROM documents"
 _TOKENS = f"WITH {S.TOKENS} SELECT doc_id, array_to_string(tokens, ' ') AS tokens FROM toks"
-_HITS = "query_id, rank::INTEGER AS rank, {id}, round(score, 6) AS score"
+_HITS = "query_id, rank::INTEGER AS rank, {id}, score"
 _Q = "'https://en.wikipedia.org/wiki/P' || (conv_id * 3)"
 
 REGISTRY = {

@@ -72,7 +72,7 @@ def test_search_by_hand(spark, limits):
 def test_many_queries_take_the_salted_join(spark, monkeypatch):
     idx = L.build_lexical_index(tokens(spark), min_df=1, max_df=1.0, sample_size=None)
     expected = listed(L.lexical_search(queries(spark), idx))
-    monkeypatch.setattr(L, "fits", lambda df: False)
+    monkeypatch.setattr(L, "MAX_BROADCAST_ROWS", 0)
     monkeypatch.setattr(L, "PUSHED_TERMS", 0)
     assert listed(L.lexical_search(queries(spark), idx)) == expected
 
