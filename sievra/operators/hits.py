@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from sievra.functions.text import ARTICLE_DOMAIN, text_or_default, title_from_url
 from sievra.operators.lexical import top_k
 from sievra.operators.sampling import MAPPING_BUCKET
-from sievra.session import broadcast_if_fits
+from sievra.session import broadcast_if_fits, fits
 
 # What stands in for a missing title.
 TITLE_NOT_FOUND = "Not found"
@@ -36,7 +36,7 @@ def best_doc_hits(hits: DataFrame, metric: str = "l2", k: int | None = None) ->
     distance = metric == "l2"
     best = F.min("score") if distance else F.max("score")
     docs = hits.groupBy("query_id", "doc_id").agg(best.alias("score"))
-    ranked = top_k(docs, k if k is not None else 2147483647, "score", descending=not distance)
+    ranked = top_k(docs, k, "score", descending=not distance)
     return ranked.select("query_id", "rank", "doc_id", "score")
 
 
@@ -46,8 +46,11 @@ def _matching(big: DataFrame, hits: DataFrame, *keys: str) -> DataFrame:
 
 
 def _left(hits: DataFrame, big: DataFrame, *keys: str) -> DataFrame:
-    # With few hits, what matches them is few as well, since the keys of the big table are unique.
-    return hits.join(_matching(big, hits, *keys), list(keys), "left")
+    wanted = hits.select(*keys).distinct()
+    if fits(wanted):
+        # What few hits match is few as well, since the keys of the big table are unique.
+        big = big.join(F.broadcast(wanted), list(keys), "left_semi")
+    return hits.join(big, list(keys), "left")
 
 
 def attach_page_text(

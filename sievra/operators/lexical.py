@@ -154,16 +154,25 @@ def query_weights(queries: DataFrame, vocab: DataFrame, max_features: int | None
     )
 
 
-def top_k(scored: DataFrame, k: int, score_col: str = "score", descending: bool = True,
+def top_k(scored: DataFrame, k: int | None, score_col: str = "score", descending: bool = True,
           tie_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The best ``k`` rows of each query with ``rank`` from 1; ties go to the lower id.
+    """The best ``k`` rows of each query (all if None) with ``rank`` from 1; ties go to the lower id.
 
     Spark keeps only the best ``k`` per query in every task before it shuffles by query, so a query
-    that matches many documents does not fill one task.
+    that matches many documents does not fill one task. It does so for a ``k`` up to a setting; for a
+    larger one the rows of a query are ranked in parts by a salt of their id first.
     """
-    score = F.desc(score_col) if descending else F.asc(score_col)
-    order = W.partitionBy("query_id").orderBy(score, *tie_cols)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    spark = scored.sparkSession
+    order = [F.desc(score_col) if descending else F.asc(score_col), *[F.asc(c) for c in tie_cols]]
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(*order))
+    if k is None:
+        return scored.withColumn("rank", rank)
+    if k > int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        salted = scored.withColumn("__part", F.pmod(F.xxhash64(*tie_cols), F.lit(parts)))
+        place = F.row_number().over(W.partitionBy("query_id", "__part").orderBy(*order))
+        scored = salted.withColumn("__place", place).where(F.col("__place") <= k).drop("__part", "__place")
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def _match(weights: DataFrame, postings: DataFrame) -> DataFrame:

@@ -144,13 +144,13 @@ def train_centroids(
 ) -> DataFrame:
     """``(list_id, center)`` by k-means over a training sample.
 
-    The sample holds 100 vectors per list and is written once, as every iteration reads it. There are
-    at most 16,384 centres.
+    The sample holds 100 vectors per list; the estimator keeps it in executor memory and on disk while it
+    iterates. There are at most 16,384 centres.
     """
     spark = sample.sparkSession
     features = sample.select(array_to_vector(F.col(column).cast("array<double>")).alias("features"))
     means = KMeans(k=nlist, seed=seed, maxIter=max_iter, initMode="random")
-    model = means.fit(settle(features, "training"))
+    model = means.fit(features)
     centers = np.asarray(model.clusterCenters())
     table = pa.table({"list_id": np.arange(len(centers), dtype=np.int32), "center": _as_lists(centers, pa.float64())})
     return spark.createDataFrame(table)

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sievra.operators.analysis import clean_documents
 from sievra.operators.lexical import LexicalIndex, build_lexical_index
 from sievra.operators.vectors import VectorIndex, assign_lists, embed_chunks, pq_encode
+from sievra.session import settle
+from sievra.sources.arrow_stream import local_path
 from sievra.sources.tables import spread_small
 
 DIM = 64  # numbers in the given embeddings, also used for hashed chunk vectors
@@ -63,15 +65,16 @@ def label_means(vecs: DataFrame) -> DataFrame:
         F.avg(F.col("x").cast("double")).alias("m")
     )
     ordered = F.sort_array(F.collect_list(F.struct("d", "m")))
-    return means.groupBy(F.col("label").alias("list_id")).agg(
+    centers = means.groupBy(F.col("label").alias("list_id")).agg(
         F.transform(ordered, lambda p: p["m"]).alias("center")
     )
+    return settle(centers, "label-means")
 
 
-def label_books(vecs: DataFrame) -> DataFrame:
+def label_books(means: DataFrame) -> DataFrame:
     """Fixed codebooks: the parts of the label means."""
     width = DIM // SUBVECTORS
-    return label_means(vecs).select(
+    return means.select(
         F.explode(F.sequence(F.lit(0), F.lit(SUBVECTORS - 1))).alias("sub"),
         F.col("list_id").alias("code"),
         "center",
@@ -86,8 +89,8 @@ def flat_index(spark, sf) -> VectorIndex:
 
 
 def code_index(spark, sf) -> VectorIndex:
-    vecs = vectors(spark, sf)
-    flat, books = flat_index(spark, sf), label_books(vecs)
+    flat = flat_index(spark, sf)
+    books = label_books(flat.centroids)
     codes = pq_encode(flat.lists, books)
     return VectorIndex(flat.centroids, codes, ("vec_id",), DIM, nprobe=NPROBE, codebooks=books)
 
@@ -180,6 +183,7 @@ def overlap_scores(answer_texts: list[str | None], evidence: list[str | None]) -
 
 def write_arrow_files(df: DataFrame, folder: str) -> int:
     """Each task writes its rows as one Arrow stream file; returns the number of rows written."""
+    folder = local_path(folder)
 
     def write(batches):
         os.makedirs(folder, exist_ok=True)

@@ -111,7 +111,7 @@ def _stored_vectors(spark, sf):
 
 def _skipped(spark, sf):
     path = _written_tokens(spark, sf)
-    with open(os.path.join(path, "part-unreadable.parquet"), "wb") as broken:
+    with open(os.path.join(arrow_stream.local_path(path), "part-unreadable.parquet"), "wb") as broken:
         broken.write(b"this is no parquet file")
     out = tables.read_tokens(spark, path, ("doc_id", "tokens"), skip_corrupt=True)
     return out.select("doc_id", F.array_join("tokens", " ").alias("tokens"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,6 +25,11 @@ class _Split(InputPartition):
         self.path, self.start, self.end = path, start, end
 
 
+def local_path(path: str) -> str:
+    """A ``file:`` URI as a plain path; anything else as it is."""
+    return re.sub(r"^file:(//)?(?=/)", "", path)
+
+
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
 
@@ -81,7 +87,7 @@ class ArrowStreamSource(DataSource):
         return FORMAT_NAME
 
     def _files(self) -> list[tuple[str, int]]:
-        folder = self.options["path"].removeprefix("file://") if self.options["path"].startswith("file://") else self.options["path"]
+        folder = local_path(self.options["path"])
         fs, inner = _filesystem(folder)
         scheme = folder.split("://")[0] + "://" if "://" in folder else ""
         found = fs.get_file_info(pafs.FileSelector(inner, recursive=False))

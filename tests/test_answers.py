@@ -42,6 +42,7 @@ def test_unknown_positions(spark):
 
 def test_lookups_without_broadcast(spark, hits, monkeypatch):
     monkeypatch.setattr(H, "broadcast_if_fits", lambda df: df)
+    monkeypatch.setattr(H, "fits", lambda df: False)
     test_lookups_keep_every_hit(spark, hits)
     test_unknown_positions(spark)
 

@@ -56,6 +56,15 @@ def test_more_neighbours_than_vectors(spark, data):
     assert listed(N.knn_exact(q, v, 50)) == by_hand(data[0][:2], data[1][:5], 50, "l2")
 
 
+def test_large_k_is_ranked_in_parts(spark, data):
+    q, v = frames(spark, *data)
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", 5)
+    try:
+        assert listed(N.knn_exact(q, v, 9)) == by_hand(*data, 9, "l2")
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+
+
 def test_no_queries_and_unknown_metric(spark, data):
     q, v = frames(spark, *data)
     assert N.knn_exact(q.where("query_id < 0"), v, 3).count() == 0
