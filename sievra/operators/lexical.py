@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from sievra.operators.analysis import analyze_queries
 from sievra.operators.sampling import head_sample
-from sievra.session import MAX_BROADCAST_ROWS, settle, unnest
+from sievra.session import MAX_BROADCAST_ROWS, fits, settle, unnest
 
 # Vocabulary limits and sample size by default, and top-k.
 MIN_DF = 5
@@ -78,14 +78,10 @@ def build_vocab(
 
     kept = doc_freq(tf).where((F.col("df") >= limit(min_df)) & (F.col("df") <= limit(max_df)))
     if max_features is not None:
-        # A sort with a limit takes max_features terms of every partition to one task. Terms are so
-        # unevenly frequent that counting them by frequency tells which frequencies make the cut.
         kept = settle(kept, "frequencies")
-        sizes = kept.groupBy("ctf").agg(F.count("*").alias("n"))
-        reached = sizes.select("ctf", F.sum("n").over(W.orderBy(F.desc("ctf"))).alias("upto"))
-        floor = reached.where(F.col("upto") >= max_features).agg(F.max("ctf")).scalar()
-        frequent = kept.where(F.col("ctf") >= F.coalesce(floor, F.lit(0)))
-        kept = frequent.orderBy(F.desc("ctf"), "term").limit(max_features)
+        if not fits(kept):
+            kept = _frequent(kept, max_features)
+        kept = kept.orderBy(F.desc("ctf"), "term").limit(max_features)
     # At most max_features rows, so one task numbers them.
     return kept.select(
         "term",
@@ -96,13 +92,26 @@ def build_vocab(
     )
 
 
+def _frequent(freq: DataFrame, n: int) -> DataFrame:
+    """The terms that are at least as frequent as the ``n``-th most frequent one.
+
+    A sort with a limit takes ``n`` terms of every partition to one task. Terms share few frequencies, so
+    counting the terms of each frequency tells which of them make the cut.
+    """
+    sizes = freq.groupBy("ctf").agg(F.count("*").alias("terms"))
+    reached = sizes.select("ctf", F.sum("terms").over(W.orderBy(F.desc("ctf"))).alias("upto"))
+    lowest = reached.where(F.col("upto") >= n).agg(F.max("ctf")).scalar()
+    return freq.where(F.col("ctf") >= F.coalesce(lowest, F.lit(0)))
+
+
 def tfidf(tf: DataFrame, vocab: DataFrame, max_features: int | None = MAX_FEATURES) -> DataFrame:
     """``(doc_id, term, tf, weight)`` for known terms; weights of one document have unit length.
 
     The vocabulary is broadcast where ``max_features`` bounds its size.
     """
     words = vocab.select("term", "idf")
-    known = tf.join(F.broadcast(words) if max_features is not None else words, "term")
+    bounded = max_features is not None and max_features <= MAX_BROADCAST_ROWS
+    known = tf.join(F.broadcast(words) if bounded else words, "term")
     raw = known.withColumn("raw", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy("doc_id")))
     return raw.select("doc_id", "term", "tf", (F.col("raw") / norm).alias("weight"))

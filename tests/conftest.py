@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from sievra.session import local_session, ship_package
 
-    session = local_session("tests", 8)
+    session = local_session("tests", 8, **{"spark.sql.shuffle.partitions": "4"})
     ship_package(session)
     yield session
     session.stop()

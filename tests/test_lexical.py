@@ -77,6 +77,13 @@ def test_many_queries_take_the_salted_join(spark, monkeypatch):
     assert listed(L.lexical_search(queries(spark), idx)) == expected
 
 
+def test_many_terms_are_cut_by_frequency_first(spark, monkeypatch):
+    monkeypatch.setattr(L, "fits", lambda df: False)
+    for n in (1, 2, 3, 5, 50):
+        idx = L.build_lexical_index(tokens(spark), min_df=1, max_df=1.0, max_features=n, sample_size=None)
+        assert [r.term for r in idx.vocab.orderBy("term").collect()] == by_hand(1, 1.0, n)[0]
+
+
 def test_stats_count_empty_documents(spark):
     idx = L.build_lexical_index(tokens(spark), min_df=1, max_df=1.0, sample_size=None)
     row = L.lexical_stats(idx).first()
