@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
-import pyarrow as pa
-import pyarrow.compute as pc
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
@@ -107,9 +107,9 @@ def query_terms(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(f"([{WORD_CHARS}]{{2,}})"), F.lit(1))
 
 
-@F.arrow_udf(StringType())
-def _nfkc(texts: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(texts, form="NFKC")
+@F.pandas_udf(StringType())
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
 def normalize_answer(c: Column, nan_text: bool = False) -> Column:

@@ -1,3 +1,4 @@
+import unicodedata
 import urllib.parse
 
 import pytest
@@ -60,6 +61,11 @@ def test_normalize_answer(spark):
     assert column(spark, [None], lambda c: T.normalize_answer(c, nan_text=True)) == ["nan"]
 
 
+def test_normalize_answer_composes_like_python(spark):
+    texts = ["\u00e9t\u00e9", "e\u0301te\u0301", "\u00ea \uac00", "\u1100\u1161", "\u00bd \u2460 \ufb01", "A\u030a"]
+    assert column(spark, texts, T.normalize_answer) == [unicodedata.normalize("NFKC", t) for t in texts]
+
+
 def test_strip_control(spark):
     assert column(spark, ["a\n\r\t\f\v\b\ab"], T.strip_control) == ["a" + " " * 7 + "b"]
 
