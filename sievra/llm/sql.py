@@ -15,8 +15,8 @@ shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM items a JOIN
 links AS (
   SELECT a, b FROM shared JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
   WHERE 100 * c >= 80 * (len(x.s) + len(y.s) - c)),
-both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reach AS (SELECT doc_id, doc_id AS other FROM sets UNION SELECT reach.doc_id, both.b FROM reach JOIN both ON both.a = reach.other),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM sets UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON edges.a = reach.other),
 least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least USING (doc_id)
 """
