@@ -4,17 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievra.llm import near_dedup, sql
+from sievra.llm import decontamination, fingerprints, near_dedup, sql
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def decontamination_query(spark: SparkSession, sf: str) -> DataFrame:
+    return decontamination.contained_items(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
+def fingerprints_query(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.fingerprints_with_neighbours(_table(spark, sf, "documents"))
+
+
 def near_dedup_query(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf, "documents"))
 
 
 REGISTRY = {
+    "op2_decontamination": (decontamination_query, sql.CONTAINED_ITEMS),
+    "op7_fingerprints": (fingerprints_query, None),
     "op9_minhash_near_dedup": (near_dedup_query, sql.NEAR_DEDUP),
 }
