@@ -144,7 +144,7 @@ def _group_links(percent: int):
 
 
 def verified_links(
-    met: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, block_items: int = 1 << 20
+    met: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, block_items: int = 1 << 18
 ) -> DataFrame:
     """``(a, b)``: links of Jaccard similarity of ``percent`` or more that connect what ``met(pivot, id, n)`` brought together.
 

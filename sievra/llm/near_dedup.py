@@ -84,7 +84,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, percent: int = 80, block_items: int = 1 << 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, percent: int = 80, block_items: int = 1 << 18
 ) -> DataFrame:
     """``(id_col, n_shingles, component_id, kept)``, a row per input row.
 

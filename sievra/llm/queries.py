@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievra.llm import decontamination, fingerprints, near_dedup, sql
+from sievra.llm import decontamination, fingerprints, near_dedup, sql, token_counts
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -15,6 +15,17 @@ def decontamination_query(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.contained_items(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
 
+def tokenizer_path(name: str) -> str:
+    """A tokenizer file of the machine; the tasks open the same path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def token_counts_query(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def fingerprints_query(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.fingerprints_with_neighbours(_table(spark, sf, "documents"))
 
@@ -25,6 +36,7 @@ def near_dedup_query(spark: SparkSession, sf: str) -> DataFrame:
 
 REGISTRY = {
     "op2_decontamination": (decontamination_query, sql.CONTAINED_ITEMS),
+    "op6_token_counts": (token_counts_query, None),
     "op7_fingerprints": (fingerprints_query, None),
     "op9_minhash_near_dedup": (near_dedup_query, sql.NEAR_DEDUP),
 }
