@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievra.llm import decontamination, fingerprints, near_dedup, sql, token_counts
+from sievra.llm import decontamination, fingerprints, near_dedup, packing, sql, token_counts
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -34,9 +34,14 @@ def near_dedup_query(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf, "documents"))
 
 
+def packing_query(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(_table(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 REGISTRY = {
     "op2_decontamination": (decontamination_query, sql.CONTAINED_ITEMS),
     "op6_token_counts": (token_counts_query, None),
     "op7_fingerprints": (fingerprints_query, None),
+    "op10_packing": (packing_query, None),
     "op9_minhash_near_dedup": (near_dedup_query, sql.NEAR_DEDUP),
 }
