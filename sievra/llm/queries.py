@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievra.llm import decontamination, fingerprints, near_dedup, packing, sql, token_counts
+from sievra.llm import decontamination, fingerprints, language_id, near_dedup, packing, sql, token_counts
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def language_query(spark: SparkSession, sf: str) -> DataFrame:
+    return language_id.predict_languages(_table(spark, sf, "documents"))
+
+
 def decontamination_query(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.contained_items(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
@@ -39,6 +43,7 @@ def packing_query(spark: SparkSession, sf: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op1_language_id": (language_query, None),
     "op2_decontamination": (decontamination_query, sql.CONTAINED_ITEMS),
     "op6_token_counts": (token_counts_query, None),
     "op7_fingerprints": (fingerprints_query, None),
