@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from sievra.llm.words import text_buffers
 from sievra.session import settle
@@ -271,9 +272,8 @@ def identify(
             yield pa.RecordBatch.from_arrays(columns, fields)
 
     letter: Column = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    schema = docs.schema
-    for name, kind in zip(names, ("string", "double", "double")):
-        schema = schema.add(name, kind)
+    added = [StructField(n, kind) for n, kind in zip(names, (StringType(), DoubleType(), DoubleType()))]
+    schema = StructType([*docs.schema.fields, *added])
     return docs.withColumn("__has_letter", letter).mapInArrow(run, schema)
 
 

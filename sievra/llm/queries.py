@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievra.llm import decontamination, fingerprints, language_id, near_dedup, packing, sql, token_counts
+from sievra.llm import decontamination, fingerprints, language_id, near_dedup, packing, sql, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def decontamination_query(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.contained_items(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
 
+def toxicity_query(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.score_documents(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 def tokenizer_path(name: str) -> str:
     """A tokenizer file of the machine; the tasks open the same path."""
     import public_tokenizers
@@ -45,6 +49,7 @@ def packing_query(spark: SparkSession, sf: str) -> DataFrame:
 REGISTRY = {
     "op1_language_id": (language_query, None),
     "op2_decontamination": (decontamination_query, sql.CONTAINED_ITEMS),
+    "op4_toxicity": (toxicity_query, None),
     "op6_token_counts": (token_counts_query, None),
     "op7_fingerprints": (fingerprints_query, None),
     "op10_packing": (packing_query, None),
