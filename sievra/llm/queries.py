@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievra.llm import decontamination, fingerprints, language_id, near_dedup, packing, sql, token_counts, toxicity
+from sievra.llm import chat_format, decontamination, fingerprints, language_id, near_dedup, packing, pii, sql, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def toxicity_query(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score_documents(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
 
+def chat_query(spark: SparkSession, sf: str) -> DataFrame:
+    turns = chat_format.with_marked_conversation(_table(spark, sf, "conversations"))
+    return chat_format.digests(chat_format.format_conversations(turns))
+
+
 def tokenizer_path(name: str) -> str:
     """A tokenizer file of the machine; the tasks open the same path."""
     import public_tokenizers
@@ -38,6 +43,10 @@ def fingerprints_query(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.fingerprints_with_neighbours(_table(spark, sf, "documents"))
 
 
+def pii_query(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf, "documents"))
+
+
 def near_dedup_query(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf, "documents"))
 
@@ -50,8 +59,10 @@ REGISTRY = {
     "op1_language_id": (language_query, None),
     "op2_decontamination": (decontamination_query, sql.CONTAINED_ITEMS),
     "op4_toxicity": (toxicity_query, None),
+    "op5_chat_format": (chat_query, sql.CHAT_FORMAT),
     "op6_token_counts": (token_counts_query, None),
     "op7_fingerprints": (fingerprints_query, None),
+    "op8_pii": (pii_query, None),
     "op10_packing": (packing_query, None),
     "op9_minhash_near_dedup": (near_dedup_query, sql.NEAR_DEDUP),
 }

@@ -37,3 +37,25 @@ one AS (SELECT item_id, len(l) AS n_item, unnest(l) AS s FROM si)
 SELECT doc_id, item_id, count(*)::BIGINT AS n_shared, n_item::BIGINT AS n_item, count(*) / n_item AS containment
 FROM one JOIN ds USING (s) GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 80 * n_item
 """
+
+_BODY = r"(/?SYS\]|/?INST\]|OUT\]|NEXT\]|/?ROLE\]|TEXT\]|/?s>)"
+
+CHAT_FORMAT = rf"""
+WITH
+rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS t(turn, role)),
+marked AS (
+  SELECT *, regexp_replace(text, '([\[<])(~*{_BODY})', '\1~\2', 'g') AS e,
+    regexp_replace(role, '([\[<])(~*{_BODY})', '\1~\2', 'g') AS r,
+    role IS DISTINCT FROM lag(role) OVER w AS opens FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+sized AS (
+  SELECT *, length(e) + CASE WHEN NOT opens THEN 6
+    WHEN role = 'system' THEN 11 WHEN role = 'user' THEN 13 WHEN role = 'assistant' THEN 9 ELSE 19 + length(r) END AS n FROM marked)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(n))::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
