@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievra.llm import chat_format, decontamination, fingerprints, language_id, near_dedup, packing, pii, sql, token_counts, toxicity
+from sievra.llm import chat_format, decontamination, fingerprints, language_id, licenses, near_dedup, packing, pii, sql, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def decontamination_query(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.contained_items(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
 
+def licenses_query(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf, "documents"))
+
+
 def toxicity_query(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score_documents(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
@@ -58,6 +62,7 @@ def packing_query(spark: SparkSession, sf: str) -> DataFrame:
 REGISTRY = {
     "op1_language_id": (language_query, None),
     "op2_decontamination": (decontamination_query, sql.CONTAINED_ITEMS),
+    "op3_licenses": (licenses_query, sql.licenses()),
     "op4_toxicity": (toxicity_query, None),
     "op5_chat_format": (chat_query, sql.CHAT_FORMAT),
     "op6_token_counts": (token_counts_query, None),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from sievra.llm.licenses import TEMPLATES
+
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 NEAR_DEDUP = rf"""
@@ -59,3 +61,34 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   (3 + sum(n))::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+_PAIRS = """list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END)"""
+
+
+def licenses() -> str:
+    """Every line, paragraph of several lines, and text of several paragraphs against every template."""
+    rows = ", ".join("({}, {})".format(i, ", ".join("'" + x.replace("'", "''") + "'" for x in t)) for i, t in enumerate(TEMPLATES))
+    word = "'(?:[0-9a-z]|[^\\x00-\\x7F])+'"
+    return rf"""
+WITH
+templates AS (SELECT * FROM (VALUES {rows}) AS t(t_id, license, body)),
+tw AS (SELECT t_id, license, regexp_extract_all(lower(body), {word}) AS w FROM templates),
+ts AS (SELECT t_id, license, {_PAIRS} AS s FROM tw),
+ti AS (SELECT t_id, license, len(s) AS size, unnest(s) AS pair FROM ts),
+lines AS (
+  SELECT doc_id, unnest(string_split(lower(text), chr(10))) AS line, generate_subscripts(string_split(lower(text), chr(10)), 1) AS i FROM documents),
+inked AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS ink FROM lines),
+runs AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM inked WHERE ink),
+paragraphs AS (SELECT doc_id, run, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n FROM runs GROUP BY doc_id, run),
+parts AS (
+  SELECT doc_id, line AS body FROM inked WHERE ink
+  UNION ALL SELECT doc_id, body FROM paragraphs WHERE n > 1
+  UNION ALL SELECT doc_id, lower(text) FROM documents WHERE doc_id IN (SELECT doc_id FROM paragraphs GROUP BY doc_id HAVING count(*) > 1)),
+numbered AS (SELECT row_number() OVER () AS part, doc_id, regexp_extract_all(body, {word}) AS w FROM parts),
+pw AS (SELECT part, doc_id, {_PAIRS} AS s FROM numbered WHERE len(w) > 0),
+pi AS (SELECT part, doc_id, len(s) AS size, unnest(s) AS pair FROM pw),
+hits AS (
+  SELECT part, doc_id, license, t_id, 2 * count(*) / (pi.size + ti.size) AS dice, count(*) AS shared, pi.size + ti.size AS sizes
+  FROM pi JOIN ti USING (pair) GROUP BY part, doc_id, license, t_id, pi.size, ti.size HAVING 200 * count(*) >= 80 * (pi.size + ti.size))
+SELECT doc_id, license, count(DISTINCT part)::BIGINT AS n_parts, max(dice) AS dice FROM hits GROUP BY doc_id, license
+"""

@@ -140,6 +140,8 @@ def shingle_hashes(words: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.nd
     counts = np.diff(starts)
     n = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
     places = np.concatenate([[0], np.cumsum(n)])
+    if not places[-1]:
+        return np.zeros(0, np.uint64), places
     # Position of each shingle's first word: the row's first word plus the rank of the shingle in the row.
     first = np.arange(places[-1]) + np.repeat(starts[:-1] - places[:-1], n)
     ends = np.repeat(starts[1:], n)
@@ -147,7 +149,7 @@ def shingle_hashes(words: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.nd
     for j in range(k):
         at = first + j
         there = at < ends
-        total += np.where(there, words[np.minimum(at, len(words) - 1)] if len(words) else 0, 0) * _PLACES[j]
+        total += np.where(there, words[np.minimum(at, len(words) - 1)], np.uint64(0)) * _PLACES[j]
     return mix(total), places
 
 
