@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import DoubleType, IntegerType, StringType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType
 
 from sievra.llm.links import PIECE_BYTES, components, meeting_points, set_key, sets_by_scan, verified_links
 from sievra.llm.near_dedup import band_values
@@ -54,16 +54,15 @@ def _text_signatures(column: pa.Array, k: int) -> np.ndarray:
 
 
 def text_fingerprints(column: pa.Array, k: int = SHINGLE) -> pa.Array:
-    """The fingerprint of each text: 16 low bits of each minimum, hex; all ones only for texts without words."""
+    """The fingerprint of each text: the 16 low bits of each minimum; all ones for texts without words."""
     out = []
     for a, b in pieces_of(text_buffers(column)[1], PIECE_BYTES):
-        places = _text_signatures(column.slice(a, b - a), k)
-        short = (places & 0xFFFF).astype(">u2")
-        out += [bytes(row).hex() for row in short]
-    return pa.array(out, pa.string())
+        minima = _text_signatures(column.slice(a, b - a), k)
+        out += [bytes(row) for row in (minima & 0xFFFF).astype(">u2")]
+    return pa.array(out, pa.binary())
 
 
-@arrow_udf(StringType())
+@arrow_udf(BinaryType())
 def fingerprint(text: pa.Array) -> pa.Array:
     return text_fingerprints(text)
 
@@ -73,9 +72,7 @@ def likeness(one: pa.Array, other: pa.Array) -> pa.Array:
     """Share of equal places of two fingerprints; a text without words is like nothing but its own kind."""
 
     def places(column):
-        width = PERMUTATIONS * 4
-        raw = b"".join(bytes.fromhex((x or "").ljust(width, "f")) for x in column.to_pylist())
-        return np.frombuffer(raw, ">u2").reshape(-1, PERMUTATIONS)
+        return np.frombuffer(b"".join(column.to_pylist()), ">u2").reshape(-1, PERMUTATIONS)
 
     a, b = places(one), places(other)
     same = (a == b).mean(axis=1)
@@ -105,13 +102,14 @@ def with_next_text(
     def range_of(ids: pa.Array) -> pa.Array:
         return pa.array(np.searchsorted(bounds, ids.to_numpy(zero_copy_only=False), "right"), pa.int32())
 
-    dealt = rows.withColumn("key", order).withColumn("range", range_of("key"))
+    # ``extra`` is computed before the one exchange, as a column of a Python function hides how rows are dealt.
+    dealt = rows.withColumn("key", order).withColumns({"range": range_of("key"), "extra": F.lit(None) if extra is None else extra})
     firsts = rows.select(order.alias("key")).withColumn("range", range_of("key")).groupBy("range").agg(F.min("key").alias("key"))
     firsts = sorted((r["range"], r["key"]) for r in firsts.collect())
     borrow = [(key, firsts[i - 1][0]) for i, (_, key) in enumerate(firsts)]
     borrowers = spark.createDataFrame(borrow, "key BIGINT, borrower INT")
     copies = dealt.join(F.broadcast(borrowers), "key", "left").select(
-        "id", "key", "text",
+        "id", "key", "text", "extra",
         F.explode(
             F.when(F.col("borrower").isNull(), F.array(F.struct(F.col("range"), F.lit(0).alias("borrowed")))).otherwise(
                 F.array(
@@ -120,13 +118,9 @@ def with_next_text(
                 )
             )
         ).alias("at"),
-    ).select("id", "key", "text", "at.range", "at.borrowed")
-    # One exchange: what is computed here, and the window, find the ranges where they are.
-    copies = copies.repartition("range")
-    if extra is not None:
-        copies = copies.withColumn("extra", extra)
+    ).select("id", "key", "text", "extra", "at.range", "at.borrowed")
     within = Window.partitionBy("range").orderBy("borrowed", "key", "text")
-    leads = [F.lead(c).over(within).alias(f"next_{c}") for c in ("text", "extra") if c in copies.columns]
+    leads = [F.lead(c).over(within).alias(f"next_{c}") for c in ("text", "extra")]
     return copies.select("*", *leads).where("borrowed = 0").drop("key", "range", "borrowed")
 
 
@@ -150,7 +144,8 @@ def fingerprints_with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_c
         F.col("next_extra").alias("next_fingerprint"),
     )
     return rows.select(
-        id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        id_col, "n_chars", "edited_sha256",
+        F.lower(F.hex("fingerprint")).alias("fingerprint"), F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"),
         likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
         likeness("fingerprint", "next_fingerprint").alias("near_next"),
     )
