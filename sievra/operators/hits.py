@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from sievra.functions.text import ARTICLE_DOMAIN, text_or_default, title_from_url
 from sievra.operators.lexical import top_k
 from sievra.operators.sampling import MAPPING_BUCKET
-from sievra.session import broadcast_if_fits, fits
+from sievra.session import broadcast_if_fits, fits, settle
 
 # What stands in for a missing title.
 TITLE_NOT_FOUND = "Not found"
@@ -42,15 +42,25 @@ def best_doc_hits(hits: DataFrame, metric: str = "l2", k: int | None = None) ->
 
 def _matching(big: DataFrame, hits: DataFrame, *keys: str) -> DataFrame:
     """The rows of ``big`` that a hit refers to."""
-    return big.join(broadcast_if_fits(hits.select(*keys).distinct()), list(keys), "left_semi")
+    wanted = settle(hits.select(*keys).distinct(), "wanted")
+    return big.join(broadcast_if_fits(wanted), list(keys), "left_semi")
 
 
 def _left(hits: DataFrame, big: DataFrame, *keys: str) -> DataFrame:
-    wanted = hits.select(*keys).distinct()
+    """``hits`` with the columns of ``big``; hits without a key match nothing and are not dealt by it.
+
+    The hits are written once, as they are read for their keys and for the join.
+    """
+    hits = settle(hits, "hits")
+    keyed = F.lit(True)
+    for key in keys:
+        keyed &= F.col(key).isNotNull()
+    known = hits.where(keyed)
+    wanted = known.select(*keys).distinct()
     if fits(wanted):
         # What few hits match is few as well, since the keys of the big table are unique.
         big = big.join(F.broadcast(wanted), list(keys), "left_semi")
-    return hits.join(big, list(keys), "left")
+    return known.join(big, list(keys), "left").unionByName(hits.where(~keyed), allowMissingColumns=True)
 
 
 def attach_page_text(

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from sievra.operators.analysis import analyze_queries
-from sievra.operators.sampling import head_sample
+from sievra.operators.sampling import assign_positions, head_sample
 from sievra.session import MAX_BROADCAST_ROWS, fits, settle, unnest
 
 # Vocabulary limits and sample size by default, and top-k.
@@ -21,6 +21,13 @@ TOP_K = 10
 # but sums of doubles depend on their order; without rounding, a re-run task could reorder ties.
 SCORE_DIGITS = 9
 
+# Terms in more than this share of the documents of the most frequent term are few (a document of ``d`` terms adds
+# at most ``d`` to all frequencies) and are sent to the tasks where the vocabulary as a whole is not.
+HOT_SHARE = 0.001
+
+# Rows of the weights of a batch of questions that one salt of the join beyond a broadcast takes.
+ROWS_PER_SALT = 1_000_000
+
 # As many terms as Parquet's filters compare one by one (spark.sql.parquet.pushdown.inFilterThreshold).
 PUSHED_TERMS = 10
 
@@ -82,10 +89,14 @@ def build_vocab(
         if not fits(kept):
             kept = _frequent(kept, max_features)
         kept = kept.orderBy(F.desc("ctf"), "term").limit(max_features)
-    # At most max_features rows, so one task numbers them.
-    return kept.select(
+        numbered = kept.withColumn("term_id", F.row_number().over(W.orderBy("term")) - 1)  # at most max_features rows
+    else:
+        kept = settle(kept, "frequencies")
+        places = assign_positions(kept.select("term"), "term").select("term", F.col("pos").cast("int").alias("term_id"))
+        numbered = kept.join(places, "term")
+    return numbered.select(
         "term",
-        (F.row_number().over(W.orderBy("term")) - 1).alias("term_id"),
+        "term_id",
         "df",
         "ctf",
         (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"),
@@ -109,14 +120,34 @@ def tfidf(tf: DataFrame, vocab: DataFrame, max_features: int | None = MAX_FEATUR
 
     The vocabulary is broadcast where ``max_features`` bounds its size.
     """
-    words = vocab.select("term", "idf")
-    bounded = max_features is not None and max_features <= MAX_BROADCAST_ROWS
-    known = tf.join(F.broadcast(words) if bounded else words, "term")
-    raw = known.withColumn("raw", F.col("tf") * F.col("idf"))
+    raw = raw_weights(tf, vocab, max_features)
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy("doc_id")))
     return raw.select("doc_id", "term", "tf", (F.col("raw") / norm).alias("weight"))
 
 
+def raw_weights(tf: DataFrame, vocab: DataFrame, max_features: int | None = MAX_FEATURES) -> DataFrame:
+    """``(doc_id, term, tf, raw)`` of the known terms: term frequency times inverse document frequency.
+
+    Without a bound on the vocabulary, its frequent terms still go to the tasks, and only rare ones are joined by
+    term, so no term's postings meet in one task.
+    """
+    words = vocab.select("term", "idf")
+    if max_features is not None and max_features <= MAX_BROADCAST_ROWS:
+        known = tf.join(F.broadcast(words), "term")
+    else:
+        hot_df = vocab.agg(F.max("df") * HOT_SHARE).scalar()
+        hot = F.broadcast(vocab.where(F.col("df") > hot_df).select("term", "idf"))
+        rare = vocab.where(F.col("df") <= hot_df).select("term", "idf")
+        known = tf.join(hot, "term").unionByName(tf.join(hot, "term", "left_anti").join(rare, "term"))
+    return known.select("doc_id", "term", "tf", (F.col("tf") * F.col("idf")).alias("raw"))
+
+
+def row_norms(tf: DataFrame, vocab: DataFrame, max_features: int | None = MAX_FEATURES) -> DataFrame:
+    """``(doc_id, norm)``: the length of each document's raw weights."""
+    raw = raw_weights(tf, vocab, max_features)
+    return raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+
+
 def build_lexical_index(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -194,7 +225,7 @@ def _match(weights: DataFrame, postings: DataFrame) -> DataFrame:
         return postings.join(F.broadcast(weights), "term")
     # Too many query terms to broadcast. A frequent term has postings in a large share of the
     # documents, so both sides are spread over salts of the document id.
-    salts = 64
+    salts = 64 + size["rows"] // ROWS_PER_SALT
     spread = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     keyed = postings.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     return keyed.join(spread, ["term", "salt"])
@@ -216,8 +247,9 @@ def lexical_search(
     scored = (
         _match(weights, idx.postings)
         .groupBy("query_id", "doc_id")
-        .agg(F.round(F.sum(F.col("query_weight") * F.col("weight")), SCORE_DIGITS).alias("score"))
+        .agg(F.sum(F.col("query_weight") * F.col("weight")).alias("score"))
         .where(F.col("score") > 0)
+        .withColumn("score", F.round("score", SCORE_DIGITS))
     )
     hits = top_k(scored, k).select("query_id", "rank", "doc_id", "score")
     return pad_hits(hits, queries, idx.docs, k) if pad else hits

@@ -10,9 +10,9 @@ from sievra.session import settle
 TRAIN_VECTORS_PER_LIST = 100
 MAPPING_BUCKET = 1_000_000
 
-# Up to this many keys per partition are simply sorted; beyond, a sample of keys limits them first.
-SORT_LIMIT = 10_000
-SAMPLED_KEYS = 2_000
+# Keys of a random sample that a limit for the first rows is read off, and how many keys one task may sort.
+SAMPLED_KEYS = 10_000
+SORT_LIMIT = 1_000_000
 
 
 def filter_prefix(df: DataFrame, col: str, prefix: str) -> DataFrame:
@@ -20,35 +20,55 @@ def filter_prefix(df: DataFrame, col: str, prefix: str) -> DataFrame:
     return df.where(F.col(col).startswith(prefix))
 
 
-def first_n(df: DataFrame, n: int, *order: str | Column) -> DataFrame:
-    """The first ``n`` rows in the order of ``order``, which should be unique."""
-    return df.orderBy(*order).limit(n)
+def first_n(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first ``n`` rows in the order of ``order``, which should be unique.
+
+    The rows are found by their keys and filtered where they are; only they are sorted.
+    """
+    return head_sample(df, n, *order).orderBy(*order).limit(n)
+
+
+def _key(keys: list[Column]) -> Column:
+    return F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
 
 
 def _up_to_nth(df: DataFrame, n: int, keys: list[Column]) -> DataFrame:
-    # The n-th smallest key is found on the keys alone; wide rows are then only filtered.
-    key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
-    last = df.select(key.alias("__key")).orderBy("__key").limit(n).agg(F.max("__key"))
-    return df.where(key <= last.scalar())
+    """The rows whose key is at most the ``n``-th smallest.
+
+    ``df`` should have about ``n`` rows. Up to ``SORT_LIMIT`` of them the key is found by a sort with a limit, which
+    takes as many keys to one task as there are rows at most; beyond, by numbering all keys in ranges.
+    """
+    key = _key(keys)
+    ordered = df.select(key.alias("__key"))
+    if n > SORT_LIMIT:
+        numbered = assign_positions(ordered.select("__key.*"), *[f"k{i}" for i in range(len(keys))])
+        last = numbered.where(F.col("pos") == n - 1).select(_key([F.col(f"k{i}") for i in range(len(keys))]).alias("__key"))
+        last = last.agg(F.max("__key"))
+    else:
+        last = ordered.orderBy("__key").limit(n).agg(F.max("__key"))
+    return df.where(F.coalesce(key <= last.scalar(), F.lit(n > 0)))
 
 
 def _roughly_first(df: DataFrame, n: int, keys: list[Column]) -> DataFrame:
-    """At least the ``n`` smallest keys and not many more.
+    """At least the ``n`` smallest keys and not many more, however many partitions there are.
 
-    Sorting with a limit hands ``n`` keys of every partition to one task. For a large ``n`` a limit is
-    therefore read off a thin random sample of the keys first, somewhat too high, and checked.
+    A limit is read off about ``SAMPLED_KEYS`` random keys, somewhat too high, and checked by a count. Where it
+    does not hold, a higher one is taken, and at last all rows, of which there are then few more than ``n``.
     """
-    if n <= SORT_LIMIT:
-        return df
-    key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
-    thin = df.select(key.alias("__key")).sample(min(1.0, SAMPLED_KEYS / n), seed=0)
-    above = thin.orderBy("__key").limit(SAMPLED_KEYS + SAMPLED_KEYS // 4)
-    cut = above.agg(F.max("__key").alias("cut"), F.count("*").alias("n")).first()
-    if cut["n"] < SAMPLED_KEYS + SAMPLED_KEYS // 4:
-        return df
-    limit = F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(cut["cut"])])
-    near = df.where(key <= limit)
-    return near if near.count() >= n else df
+    total = df.count()
+    key = _key(keys)
+    thin = settle(df.select(key.alias("__key")).sample(min(1.0, SAMPLED_KEYS / max(1, total)), seed=0), "sampled-keys")
+    share = n / max(1, total) * thin.count()
+    for extra in (4, 16, 64):
+        upto = int(share + extra * (share**0.5 + 1))
+        if upto * 2 > SAMPLED_KEYS or upto >= thin.count():
+            break
+        cut = thin.orderBy("__key").limit(upto).agg(F.max("__key").alias("cut")).first()["cut"]
+        limit = F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(cut)])
+        near = df.where(key <= limit)
+        if near.count() >= n:
+            return near
+    return df
 
 
 def head_sample(df: DataFrame, n: int | None, *order: str) -> DataFrame:
@@ -59,7 +79,8 @@ def head_sample(df: DataFrame, n: int | None, *order: str) -> DataFrame:
     if n is None:
         return df
     keys = [F.col(c) for c in order]
-    return _up_to_nth(_roughly_first(df, n, keys), n, keys)
+    near = _roughly_first(df, n, keys)
+    return near if near.count() <= n else _up_to_nth(near, n, keys)
 
 
 def random_sample(df: DataFrame, n: int, seed: int, *ids: str) -> DataFrame:

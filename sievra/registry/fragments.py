@@ -62,8 +62,9 @@ qraw AS (SELECT query_id, term, tf * idf AS raw FROM qtf JOIN vocab USING (term)
 qw AS (SELECT query_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY query_id)) AS qweight FROM qraw)"""
 
 SCORES = f"""{QUERY_WEIGHTS},
-scored AS (SELECT query_id, doc_id, round(sum(qweight * weight), 9) AS score FROM qw JOIN postings USING (term) GROUP BY query_id, doc_id),
-ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored WHERE score > 0),
+scored AS (SELECT query_id, doc_id, round(sum(qweight * weight), 9) AS score FROM qw JOIN postings USING (term) GROUP BY query_id, doc_id
+  HAVING sum(qweight * weight) > 0),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored),
 hits AS (SELECT query_id, rank, doc_id, score FROM ranked WHERE rank <= 10)"""
 
 

@@ -15,18 +15,18 @@ from sievra.operators.lexical import LexicalIndex, build_lexical_index
 from sievra.operators.vectors import VectorIndex, assign_lists, embed_chunks, pq_encode
 from sievra.session import settle
 from sievra.sources.arrow_stream import local_path
-from sievra.sources.tables import spread_small
+from sievra.sources.tables import spread
 
 DIM = 64  # numbers in the given embeddings, also used for hashed chunk vectors
 SUBVECTORS = 8
 NPROBE = 3
-LIMITS = {"min_df": 3, "max_df": 0.7, "max_features": 2000}
+LIMITS = {"min_df": 3, "max_df": 0.7, "max_features": 150_000}
 PAGE_URL = "https://en.wikipedia.org/wiki/P"
 
 
 def table(spark: SparkSession, sf: str, name: str, *keys: str) -> DataFrame:
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread_small(df, *keys) if keys else df
+    return spread(df, *keys) if keys else df
 
 
 def documents(spark, sf) -> DataFrame:
@@ -34,7 +34,8 @@ def documents(spark, sf) -> DataFrame:
 
 
 def tokens(spark, sf) -> DataFrame:
-    return clean_documents(documents(spark, sf))
+    """Tokens of documents that were partitioned by their id before, at any size: what follows counts by document."""
+    return clean_documents(table(spark, sf, "documents").repartition("doc_id"))
 
 
 def lexical_index(spark, sf, sample_size: int | None = None) -> LexicalIndex:

@@ -35,8 +35,24 @@ def _postings(spark, sf):
 
 
 def _norms(spark, sf):
-    unit = I.lexical_index(spark, sf).postings.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("length"))
-    return unit.select("doc_id", F.round("length", 6).alias("length"))
+    vocab = I.lexical_index(spark, sf).vocab
+    norms = L.row_norms(_tf(spark, sf), vocab, I.LIMITS["max_features"])
+    return norms.select("doc_id", F.round("norm", 5).alias("norm"))
+
+
+def _unlimited(spark, sf):
+    n = I.table(spark, sf, "documents").agg(F.count("*"))
+    return L.build_vocab(_tf(spark, sf), n, 1, 1.0, None).select("term", "term_id", "df", "ctf", F.round("idf", 6).alias("idf"))
+
+
+def _sampled_weights(spark, sf):
+    """All documents weighed with a vocabulary that was fitted on the first of them."""
+    postings = I.lexical_index(spark, sf, SAMPLE).postings
+    return postings.select("doc_id", "term", "tf", F.round("weight", 6).alias("weight"))
+
+
+def _sampled_search(spark, sf):
+    return search.search_text(I.search_queries(spark, sf), I.lexical_index(spark, sf, SAMPLE))
 
 
 def _stats(spark, sf):
@@ -88,7 +104,21 @@ REGISTRY = {
     ),
     "a05_row_norm": (
         _norms,
-        f"WITH {S.lexical()} SELECT doc_id, round(sqrt(sum(weight * weight)), 6) AS length FROM postings GROUP BY doc_id",
+        f"WITH {S.lexical()} SELECT doc_id, round(sqrt(sum(raw * raw)), 5) AS norm FROM raw GROUP BY doc_id",
+    ),
+    "a03_vocab_without_limit": (
+        _unlimited,
+        f"""WITH {S.TF}, f AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS ctf FROM tf GROUP BY term)
+        SELECT term, (row_number() OVER (ORDER BY term) - 1)::INTEGER AS term_id, df, ctf,
+          round(ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1.0, 6) AS idf FROM f""",
+    ),
+    "a06_tfidf_sampled_vocab": (
+        _sampled_weights,
+        f"WITH {S.lexical(SAMPLE)} SELECT doc_id, term, tf, round(weight, 6) AS weight FROM postings",
+    ),
+    "j01_lexical_search_sampled_vocab": (
+        _sampled_search,
+        f"WITH {S.lexical_hits(SAMPLE)} SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM hits",
     ),
     "a06_tfidf": (
         _postings,

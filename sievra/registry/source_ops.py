@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from sievra.operators import lexical as L
@@ -111,8 +109,8 @@ def _stored_vectors(spark, sf):
 
 def _skipped(spark, sf):
     path = _written_tokens(spark, sf)
-    with open(os.path.join(arrow_stream.local_path(path), "part-unreadable.parquet"), "wb") as broken:
-        broken.write(b"this is no parquet file")
+    # Spark puts the unreadable file there, so this works on any shared folder.
+    I.table(spark, sf, "region").limit(1).select(F.lit("this is no parquet file").alias("value")).write.mode("append").text(path)
     out = tables.read_tokens(spark, path, ("doc_id", "tokens"), skip_corrupt=True)
     return out.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 

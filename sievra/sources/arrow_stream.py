@@ -60,19 +60,27 @@ class ArrowStreamReader(DataSourceReader):
 
     def read(self, split: _Split) -> Iterator[pa.RecordBatch]:
         names = self.schema.fieldNames()
-        try:
-            with _open(split.path) as source, pa.ipc.open_stream(source) as stream:
+        with _open(split.path) as source:
+            try:
+                stream = pa.ipc.open_stream(source)
+            except (pa.ArrowInvalid, OSError) as unreadable:
+                # A file that opens but whose header cannot be parsed; what the file system reports is no such defect.
+                if self.skip_corrupt and not getattr(unreadable, "errno", None):
+                    return
+                raise
+            with stream:
                 while split.end is None or source.tell() < split.end:
                     begin = source.tell()
                     try:
                         batch = stream.read_next_batch()
                     except StopIteration:
                         return
+                    except pa.ArrowInvalid:
+                        if self.skip_corrupt:
+                            return
+                        raise
                     if begin >= split.start:
                         yield batch.select(names)
-        except (pa.ArrowInvalid, OSError):
-            if not self.skip_corrupt:
-                raise
 
 
 class ArrowStreamSource(DataSource):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -12,19 +11,15 @@ ARTICLE_SCHEMA = "id STRING, url STRING, title STRING, text STRING"
 QUESTION_SCHEMA = "question_text STRING, document_url STRING"
 ANSWER_SCHEMA = "answer STRING, text STRING"
 
-# Inputs below this size are spread over the cores; see spread_small().
-SPREAD_BELOW_BYTES = 1 << 30
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition a scan by its ids if it has fewer partitions than there are cores, for work that needs no partitioning.
 
-def spread_small(df: DataFrame, *keys: str, below: int = SPREAD_BELOW_BYTES) -> DataFrame:
-    """Hash-partition a small input by its ids, leave a large one as it is.
-
-    A small table is often one file with one row group, which a scan cannot split, so that all text
-    work on it would run in one task. A large table has splits enough, and shuffling it would cost
-    more than it gains.
+    A small table is often one file with one row group, which a scan cannot split, so that all text work on it
+    would run in one task. Results do not depend on it, and nothing may rely on the partitioning.
     """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(*keys) if int(str(size)) < below else df
+    few = df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(*keys) if few else df
 
 
 def read_articles(spark: SparkSession, path: str, schema: str | StructType | None = ARTICLE_SCHEMA) -> DataFrame:
@@ -99,16 +94,21 @@ def write_answers(df: DataFrame, path: str, mode: str = "errorifexists") -> None
 
 
 def cached_table(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table at ``path``; built and saved there first if it does not exist."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-    build().write.mode("errorifexists").parquet(path)
+    """The table at ``path``; built and saved there first unless a finished write left its mark.
+
+    What an aborted build left behind is overwritten.
+    """
+    if not is_complete(spark, path):
+        build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` has finished, by the mark that Spark's writers leave last."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def write_vectors(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Embedded corpus to Parquet."""
     df.write.mode(mode).parquet(path)

@@ -107,3 +107,39 @@ def test_one_shuffle_from_tokens_to_scores(spark):
     idx = L.build_lexical_index(tokens(spark), min_df=1, max_df=1.0, sample_size=None)
     plan = idx.postings.groupBy("doc_id").agg(F.sum("weight"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "CartesianProduct" not in plan
+
+
+def test_an_input_that_is_not_partitioned_is_shuffled_once(spark, tmp_path):
+    """From tokens as they are scanned to weights: documents move once, exploded rows never."""
+    tokens(spark).write.parquet(str(tmp_path / "tokens"))
+    scanned = spark.read.parquet(str(tmp_path / "tokens"))
+    idx = L.build_lexical_index(scanned, min_df=1, max_df=1.0, sample_size=None)
+    plan = idx.postings.groupBy("doc_id").agg(F.sum("weight"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_COL" in plan
+
+
+def test_vocabulary_without_a_limit(spark, monkeypatch):
+    monkeypatch.setattr(L, "HOT_SHARE", 0.5)  # some terms are hot, some rare
+    vocab, idf, weights, _ = by_hand(1, 1.0, None)
+    idx = L.build_lexical_index(tokens(spark), min_df=1, max_df=1.0, max_features=None, sample_size=None)
+    assert [(r.term, r.term_id) for r in idx.vocab.orderBy("term_id").collect()] == [(t, i) for i, t in enumerate(vocab)]
+    postings = {(r.doc_id, r.term): r.weight for r in idx.postings.collect()}
+    assert postings == pytest.approx({(d, t): w for d, ws in weights.items() for t, w in ws.items()})
+    plan = idx.postings._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan.split("Subquery")[0]
+
+
+def test_row_norms_are_those_of_the_raw_weights(spark):
+    _, idf, _, _ = by_hand(1, 1.0, 100)
+    tf = L.term_freq(tokens(spark))
+    idx = L.build_lexical_index(tokens(spark), min_df=1, max_df=1.0, sample_size=None)
+    norms = {r.doc_id: r.norm for r in L.row_norms(tf, idx.vocab).collect()}
+    want = {d: math.sqrt(sum((n * idf[t]) ** 2 for t, n in Counter(text.split()).items())) for d, text in DOCS.items() if text}
+    assert norms == pytest.approx(want) and min(want.values()) > 1.5
+
+
+def test_tiny_scores_are_hits(spark):
+    docs = spark.createDataFrame([(1, ["a"] * 30_000 + ["b"]), (2, ["c"])], "doc_id INT, tokens ARRAY<STRING>")
+    idx = L.build_lexical_index(docs, min_df=1, max_df=1.0, sample_size=None)
+    wide = spark.createDataFrame([(1, ["b"] + ["c"] * 1_000_000)], "query_id INT, terms ARRAY<STRING>")
+    assert [r.doc_id for r in L.lexical_search(wide, idx).orderBy("rank").collect()] == [2, 1]

@@ -21,14 +21,25 @@ def test_head_sample_with_and_without_rough_cut(spark, monkeypatch):
     assert ids(P.head_sample(df, 300, "i")) == expected[:300]
     assert ids(P.head_sample(df, None, "i")) == expected
     assert ids(P.head_sample(df, 9000, "i")) == expected
-    monkeypatch.setattr(P, "SORT_LIMIT", 10)
-    monkeypatch.setattr(P, "SAMPLED_KEYS", 100)
-    for n in (11, 300, 4900, 9000):
-        assert ids(P.head_sample(df, n, "i")) == expected[:n]
+    monkeypatch.setattr(P, "SAMPLED_KEYS", 400)
+    for sort_limit in (1_000_000, 10):
+        monkeypatch.setattr(P, "SORT_LIMIT", sort_limit)
+        for n in (0, 1, 11, 300, 4900, 9000):
+            assert ids(P.head_sample(df, n, "i")) == expected[:n]
+            assert [r.i for r in P.first_n(df, n, "i").collect()] == expected[:n]
     words = df.select(F.concat(F.lit("k"), F.lpad(F.col("i").cast("string"), 5, "0")).alias("k"), "i")
     assert ids(P.head_sample(words, 300, "k")) == expected[:300]
 
 
+def test_first_rows_do_not_pile_up_with_partitions(spark):
+    df = spark.range(0, 200_000, 1, 400).select(((F.col("id") * 7919) % 200_003).alias("i"))
+    expected = sorted(x * 7919 % 200_003 for x in range(200_000))
+    for n in (10, 1_000, 25_000):
+        near = P._roughly_first(df, n, [F.col("i")])
+        assert n <= near.count() <= 2 * n + 2000
+        assert ids(P.head_sample(df, n, "i")) == expected[:n]
+
+
 def test_random_sample_is_exact_and_repeatable(spark):
     df = spark.range(3000).select(F.col("id").alias("i"), (F.col("id") % 2).alias("part")).repartition(7)
     digest = lambda i, part, seed: hashlib.md5(f"{i}|{part}|{seed}".encode()).hexdigest()

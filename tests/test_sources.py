@@ -6,7 +6,6 @@ import pytest
 from sievra.plans import search
 from sievra.operators import lexical as L
 from sievra.sources import arrow_stream, tables
-from sievra.streaming.files import analyze_files
 
 
 def write_stream(path, batches):
@@ -70,27 +69,21 @@ def test_answers_with_quotes_and_line_breaks(spark, tmp_path):
     assert sorted(map(str, back.collect())) == sorted(map(str, runs.collect()))
 
 
-def test_small_inputs_are_spread_and_large_ones_are_not(spark, tmp_path):
+def test_scans_of_few_partitions_are_spread(spark, tmp_path):
     spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))
-    assert "RepartitionByExpression" in tables.spread_small(df, "id")._jdf.queryExecution().optimizedPlan().toString()
-    assert "Repartition" not in tables.spread_small(df, "id", below=10)._jdf.queryExecution().optimizedPlan().toString()
-
-
-def test_files_are_analysed_once(spark, tmp_path):
-    source, target, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
-
-    def add(start):
-        rows = [(str(i), f"u{i}", "t", "The wolves' den") for i in range(start, start + 3)]
-        spark.createDataFrame(rows, tables.ARTICLE_SCHEMA).write.mode("append").parquet(source)
-
-    lemmas = spark.createDataFrame([("wolves", "wolf")], "form STRING, lemma STRING")
-    for start in (0, 10):
-        add(start)
-        analyze_files(spark, source, target, mark, lemmas=lemmas, files_per_run=1).awaitTermination(120)
-    rows = spark.read.parquet(target).collect()
-    assert sorted(int(r.id) for r in rows) == [0, 1, 2, 10, 11, 12]
-    assert {tuple(r.tokens) for r in rows} == {("wolf", "den")} and rows[0].text == "the wolves den"
+    assert "RepartitionByExpression" in tables.spread(df, "id")._jdf.queryExecution().optimizedPlan().toString()
+    many = spark.range(0, 1000, 1, 64)
+    assert tables.spread(many, "id") is many
+
+
+def test_a_table_left_by_an_aborted_build_is_built_again(spark, tmp_path):
+    path = str(tmp_path / "t")
+    (tmp_path / "t" / "_temporary").mkdir(parents=True)
+    assert tables.cached_table(spark, path, lambda: spark.range(5)).count() == 5
+    assert tables.cached_table(spark, path, lambda: 1 / 0).count() == 5
+    (tmp_path / "t" / "_SUCCESS").unlink()  # data without the mark of a finished write
+    assert tables.cached_table(spark, path, lambda: spark.range(3)).count() == 3
 
 
 def test_search_with_titles(spark):
