@@ -61,12 +61,7 @@ class ContextTree:
             node = np.zeros(b - a, np.int32)
             deeper = np.ones(b - a, bool)
             for back in range(1, self.order + 1):
-                previous = np.zeros(b - a, symbols.dtype)
-                have = lead - back
-                if have >= 0:
-                    previous[:] = symbols[have : have + b - a]
-                else:
-                    previous[-have:] = symbols[: b - a + have]
+                previous = symbols[np.maximum(np.arange(lead - back, lead - back + b - a), 0)]
                 step = child[node * width + previous]
                 deeper &= (before >= back) & (step > 0)
                 node = np.where(deeper, step, node)
