@@ -33,7 +33,7 @@ from sievra.session import settle
 
 MAX_POSITIVE = 5000
 MAX_UNLABELLED = 20000
-MAX_WORDS = 2000
+MAX_WORDS = 400
 MIN_Z = 4.0
 MIN_TEXTS = 5
 
@@ -67,7 +67,7 @@ def _sigmoid(x):
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, shrink: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and intercept for 0/1 feature matrices, by Adam on the non-negative risk; ``shrink`` is a ridge term."""
-    both = np.vstack([positive, unlabelled]).astype(np.float32)
+    both = np.vstack([positive, unlabelled]).astype(np.float32, copy=False)
     n_p, n_u = len(positive), len(unlabelled)
     theta = np.zeros(both.shape[1] + 1)
     theta[-1] = np.log(prior / (1 - prior))
