@@ -333,7 +333,7 @@ def labelled_examples(seed: int = 11, rows: int = 600) -> list[tuple[str, list[t
     out = []
     for i in range(rows):
         text, spans = " ".join(word() for _ in range(int(rng.integers(0, 5)))), []
-        for _ in range(int(rng.integers(1, 3))):
+        for _ in range(int(rng.integers(1, 4))):
             if rng.random() < 0.55:
                 kind = KINDS[int(rng.integers(0, 4))]
                 form = private[kind][int(rng.integers(0, len(private[kind])))]
@@ -349,7 +349,7 @@ def labelled_examples(seed: int = 11, rows: int = 600) -> list[tuple[str, list[t
             if kind:
                 spans.append((kind, len(text), len(text) + len(value)))
             text += value + ("." if rng.random() < 0.1 else "," if rng.random() < 0.1 else "")
-            text += "".join(" " + word() for _ in range(int(rng.integers(1, 4))))
+            text += "".join(" " + word() for _ in range(int(rng.integers(0, 4))))
         out.append((text, spans))
     return out
 
@@ -390,12 +390,16 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _of_kind(kind: str):
+    return lambda span: span["kind"] == kind
+
+
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: list | None = None) -> DataFrame:
     """``(id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans)``: base counts and digest, and all spans as text."""
     field = train(labelled_examples() if examples is None else examples)
     rows = find_spans(docs.select(id_col, text_col), field, text_col, "found")
     base = F.filter("found", lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(F.filter(base, _of_kind(kind))).cast("bigint").alias(f"n_{kind}") for kind in KINDS]
     return rows.select(id_col, *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"))
 
 
