@@ -6,7 +6,7 @@ are. One pass over the ends of a word therefore gives the exact count at every p
 count(end) = count(end - len(t)) + 1. Words are cut by the tokenizer's own pre-tokenizer, and counts of words add up
 to counts of texts, so any budget or truncation question is answered from stored numbers without encoding again.
 
-Texts are taken apart at single spaces between visible ASCII characters, where the encoding of either side does not
+Texts are taken apart at single spaces and line feeds between visible characters, where the encoding of either side does not
 depend on the other, and what is found in between is remembered in each worker up to a bounded number of entries.
 
 Cases: null and empty texts have no tokens and one prefix, the empty one, of count 0. Strings of special tokens
@@ -25,10 +25,17 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 MOST_REMEMBERED = 1_000_000
-_SAFE_SPACE = re.compile(r"(?<=[!-~]) (?=[!-~])")
-_SAFE_LINE = re.compile(r"(?<=[!-~])\n(?=[!-~])")
+# Characters that are neither white space nor subject to the version of a library's tables.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_VISIBLE = f"[!-~{_LATIN}]"
+_SAFE_SPACE = re.compile(f"(?<={_VISIBLE}) (?={_VISIBLE})")
+# A line feed between such characters is a word by itself, and what follows starts anew.
+_SAFE_LINE = re.compile(f"(?<={_VISIBLE})\n(?={_VISIBLE})")
+_SAFE_PIECE = re.compile(f"{_VISIBLE}(?:.*{_VISIBLE})?", re.DOTALL)
+_SAFE_CUT = re.compile(f"(?<={_VISIBLE})[ \n](?={_VISIBLE})")
 # Latin letters, then marks that end sentences: two words for any pre-tokenizer of this kind.
-_PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]*)")
+_PLAIN = re.compile(f"( ?[{_LATIN}]+)([.,;:!?]*)")
+UNSAFE = 1 << 40
 _PART = 1 << 20
 _WIDEST = 40  # longer words are counted one by one
 _TOGETHER = 4096
@@ -197,10 +204,9 @@ class PrefixCounter:
             self.slot_answers[slots[missing[first]]] = answers
         return out
 
-    def learn(self, pieces: set[str]) -> None:
-        """Remember the counts of these pieces of text, each after a space."""
-        split = [_PLAIN.fullmatch(" " + p) for p in pieces]
-        plain = [m for m in split if m and m.end(1) <= _WIDEST]
+    def learn(self, pieces: set[str], counts: _Counts) -> None:
+        """Remember the counts of these pieces of text, each after the lead of ``counts``; plain words together."""
+        plain = [m for m in map(_PLAIN.fullmatch, (counts.lead + p for p in pieces.difference(counts))) if m and m.end(1) <= _WIDEST]
         plain.sort(key=lambda m: m.end(1))
         marks: dict[str, int] = {"": 0}
         for i in range(0, len(plain), _TOGETHER):
@@ -212,7 +218,7 @@ class PrefixCounter:
                 end = m.group(2)
                 if end not in marks:
                     marks[end] = self.table(end.encode())[-1]
-                self.after_space.put(m.string[1:], n + marks[end])
+                counts.put(m.string[len(counts.lead) :], n + marks[end])
 
     def words(self, text: str) -> list[tuple[int, int]]:
         """The places of the pre-tokenizer's words in a text without special strings."""
@@ -227,10 +233,6 @@ class PrefixCounter:
         if plain:  # cut as the pre-tokenizer does
             word, marks = plain.groups()
             return self.table(word.encode())[-1] + (self.table(marks.encode())[-1] if marks else 0)
-        lines = _SAFE_LINE.split(text)
-        if len(lines) > 1:  # a line feed between visible characters is a word, and what follows starts anew
-            feeds = (len(lines) - 1) * self.table(b"\n")[-1]
-            return feeds + self.piece(lines[0]) + sum(map(self.at_start.__getitem__, lines[1:]))
         total = 0
         for i, segment in enumerate(self._segments(text)):
             if i % 2:
@@ -239,40 +241,52 @@ class PrefixCounter:
                 total += sum(self.table(segment[a:b].encode())[-1] for a, b in self.words(segment))
         return total
 
+    def _line(self, pieces: list[str], counts: _Counts) -> int:
+        """The count of a line split at its spaces, its first piece counted by ``counts``."""
+        total = counts[pieces[0]] + sum(map(self.after_space.__getitem__, pieces[1:]))
+        if total < UNSAFE:
+            return total
+        # A piece begins or ends with something else than a visible character: only safe spaces part.
+        pieces = _SAFE_SPACE.split(" ".join(pieces))
+        return self.piece(counts.lead + pieces[0]) + sum(self.piece(" " + p) for p in pieces[1:])
+
     def count(self, text: str) -> int:
         """The number of tokens of a whole text."""
-        total, at, n = 0, 0, len(text)
-        first = True
-        while at <= n:
-            # Parts end before a space that stands alone between visible characters.
-            stop = _SAFE_SPACE.search(text, at + _PART) if n - at > _PART else None
-            part = text[at : stop.start() if stop else n]
-            at = stop.end() if stop else n + 1
-            pieces = _SAFE_SPACE.split(part)
-            if n > _PART:
-                self.learn(set(pieces).difference(self.after_space))
-            total += self.at_start[pieces[0]] if first else self.after_space[pieces[0]]
-            total += sum(map(self.after_space.__getitem__, pieces[1:]))
-            first = False
-        return total
+        return self.count_all([text])[0]
 
     def count_all(self, texts: list[str]) -> list[int]:
-        """The number of tokens of each text; words new to this worker are learnt together."""
-        out, at = [], 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= _PART):
-                size += len(texts[end])
-                end += 1
-            if size <= _PART:
-                pieces: set[str] = set()
-                for text in texts[at:end]:
-                    pieces.update(text.split(" "))
-                self.learn(pieces.difference(self.after_space))
-            out += map(self.count, texts[at:end])
-            at = end
+        """The number of tokens of each text, in groups of bounded size whose new words are learnt together."""
+        out = [0] * len(texts)
+        feed = self.table(b"\n")[-1]
+        group: list[tuple[int, str, str]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            for lead, part in _parts(text):
+                group.append((i, lead, part))
+                size += len(part)
+                if size >= _PART:
+                    self._count_group(group, out, feed)
+                    group, size = [], 0
+        self._count_group(group, out, feed)
         return out
 
+    def _count_group(self, group: list[tuple[int, str, str]], out: list[int], feed: int) -> None:
+        split = []
+        first: set[str] = set()
+        later: set[str] = set()
+        for i, lead, part in group:
+            for j, line in enumerate(_SAFE_LINE.split(part)):
+                pieces = line.split(" ")
+                after = self.after_space if lead == " " and not j else self.at_start
+                split.append((i, after, pieces))
+                out[i] += feed * (j > 0 or lead == "\n")
+                (later if after is self.after_space else first).add(pieces[0])
+                later.update(pieces[1:])
+        self.learn(first, self.at_start)
+        self.learn(later, self.after_space)
+        for i, after, pieces in split:
+            out[i] += self._line(pieces, after)
+
     def prefixes(self, text: str) -> list[int]:
         """The count at every prefix of a text by code points, from the empty one to the whole."""
         out, base, at = [0], 0, 0
@@ -327,15 +341,27 @@ class PrefixCounter:
         return out
 
 
+def _parts(text: str):
+    """``(lead, part)``: a text cut in parts of bounded size at safe spaces and line feeds, which are the leads."""
+    lead, at = "", 0
+    while len(text) - at > _PART and (cut := _SAFE_CUT.search(text, at + _PART)):
+        yield lead, text[at : cut.start()]
+        lead, at = cut.group(), cut.end()
+    yield lead, text[at:]
+
+
 class _Counts(dict):
-    """Counts of pieces of text, each computed once until ``MOST_REMEMBERED`` are known."""
+    """Counts of pieces of text, each computed once until ``MOST_REMEMBERED`` are known.
+
+    A piece that does not begin and end with a visible character counts ``UNSAFE``: what is around it matters.
+    """
 
     def __init__(self, counter: PrefixCounter, lead: str):
         super().__init__()
         self.counter, self.lead = counter, lead
 
     def __missing__(self, piece: str) -> int:
-        n = self.counter.piece(self.lead + piece)
+        n = self.counter.piece(self.lead + piece) if _SAFE_PIECE.fullmatch(piece) else UNSAFE
         self.put(piece, n)
         return n
 
