@@ -18,7 +18,7 @@ from sievra.functions.vector import MAX_LISTS, choose_nlist
 from sievra.operators.chunks import CHUNK_OVERLAP, CHUNK_WORDS, chunk_words
 from sievra.operators.neighbours import TOP_K, embedding_matrix, matrix, nearest
 from sievra.operators.sampling import TRAIN_VECTORS_PER_LIST, random_sample
-from sievra.session import settle
+from sievra.session import broadcast_if_fits, settle
 
 # Vector length, subvectors, codes per subvector, lists searched, encoder batch.
 DIM = 384
@@ -129,9 +129,9 @@ def validate_vectors(df: DataFrame, dim: int = DIM, id_cols: tuple[str, ...] = (
 # Coarse lists ---------------------------------------------------------------------------------
 
 
-def list_count(vectors: DataFrame) -> int:
-    """Number of lists for a table of vectors."""
-    return vectors.agg(choose_nlist(F.count("*")).alias("n")).first()["n"]
+def list_count(vectors: DataFrame, most: int = MAX_LISTS) -> int:
+    """Number of lists for a table of vectors, at most ``most``."""
+    return vectors.agg(choose_nlist(F.count("*"), most).alias("n")).first()["n"]
 
 
 def training_sample(vectors: DataFrame, nlist: int, seed: int = 0, ids: tuple[str, ...] = IDS) -> DataFrame:
@@ -145,7 +145,7 @@ def train_centroids(
     """``(list_id, center)`` by k-means over a training sample.
 
     The sample holds 100 vectors per list; the estimator keeps it in executor memory and on disk while it
-    iterates. There are at most 16,384 centres.
+    iterates. There are ``nlist`` centres, which the driver and every task hold when vectors are placed.
     """
     spark = sample.sparkSession
     features = sample.select(array_to_vector(F.col(column).cast("array<double>")).alias("features"))
@@ -157,10 +157,8 @@ def train_centroids(
 
 
 def _center_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and centres, in id order. The number of lists is limited, so this is a bounded read."""
-    rows = centroids.select("list_id", "center").orderBy("list_id").limit(MAX_LISTS + 1).toArrow()
-    if rows.num_rows > MAX_LISTS:
-        raise ValueError(f"more than {MAX_LISTS} lists")
+    """Ids and centres, in id order: as many as the index was trained with (``nlist``)."""
+    rows = centroids.select("list_id", "center").orderBy("list_id").toArrow()
     return rows["list_id"].to_numpy().astype(np.int32), matrix(rows["center"])
 
 
@@ -211,17 +209,30 @@ def probe_lists(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFr
 def lloyd_step(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     """``(list_id, center)`` after one k-means step; a list without vectors keeps its centre.
 
-    Sums are formed per task before the shuffle, so a list with most of the vectors costs no more than
-    another.
+    Every task sums its vectors by list and hands on one row per list; these are added number by number, combined
+    before the shuffle, so a list with most of the vectors costs no more than another.
     """
     assigned = assign_lists(vectors.select("embedding"), centroids)
-    sums = assigned.select("list_id", F.posexplode("embedding").alias("d", "x")).groupBy("list_id", "d").agg(
-        F.avg(F.col("x").cast("double")).alias("mean")
-    )
-    # One entry per dimension: a group here is a single vector.
-    moved = sums.groupBy("list_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("d", "mean"))), lambda p: p["mean"]).alias("moved")
+    dim = len(centroids.first()["center"])
+
+    def sums(batches):
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            rows, lists = matrix(batch.column("embedding")), batch.column("list_id").to_numpy()
+            found, place = np.unique(lists, return_inverse=True)
+            part = np.zeros((len(found), dim + 1))
+            np.add.at(part[:, :dim], place, rows)
+            part[:, dim] = np.bincount(place, minlength=len(found))
+            for list_id, row in zip(found.tolist(), part):
+                totals[list_id] = totals[list_id] + row if list_id in totals else row
+        if totals:
+            ids = np.array(sorted(totals), np.int32)
+            yield pa.RecordBatch.from_pydict({"list_id": ids, "sums": _as_lists(np.stack([totals[i] for i in ids]), pa.float64())})
+
+    added = assigned.mapInArrow(sums, "list_id INT, sums ARRAY<DOUBLE>").groupBy("list_id").agg(
+        *[F.sum(F.get("sums", F.lit(d))).alias(f"s{d}") for d in range(dim + 1)]
     )
+    moved = added.select("list_id", F.array(*[F.col(f"s{d}") / F.col(f"s{dim}") for d in range(dim)]).alias("moved"))
     return centroids.join(moved, "list_id", "left").select(
         "list_id", F.coalesce("moved", "center").alias("center")
     )
@@ -235,8 +246,8 @@ def _subvector(column: str, j: int, width: int):
 
 
 def _residuals(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Vectors with their list's centre taken off, as ``embedding``. Centres are at most 16,384 rows."""
-    joined = vectors.join(F.broadcast(centroids.select("list_id", "center")), "list_id")
+    """Vectors with their list's centre taken off, as ``embedding``."""
+    joined = vectors.join(broadcast_if_fits(centroids.select("list_id", "center")), "list_id")
     return joined.withColumn(
         "embedding", F.zip_with("embedding", "center", lambda x, c: x.cast("double") - c)
     ).drop("center")

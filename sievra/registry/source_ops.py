@@ -111,7 +111,7 @@ def _skipped(spark, sf):
     path = _written_tokens(spark, sf)
     # Spark puts the unreadable file there, so this works on any shared folder.
     I.table(spark, sf, "region").limit(1).select(F.lit("this is no parquet file").alias("value")).write.mode("append").text(path)
-    out = tables.read_tokens(spark, path, ("doc_id", "tokens"), skip_corrupt=True)
+    out = tables.read_tokens(spark, path, ("doc_id", "tokens"), skip_corrupt=True, schema="doc_id BIGINT, tokens ARRAY<STRING>")
     return out.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 

@@ -33,9 +33,14 @@ def read_tokens(
     path: str,
     columns: tuple[str, ...] = ("doc_id", "tokens"),
     skip_corrupt: bool = False,
+    schema: str | StructType | None = None,
 ) -> DataFrame:
-    """Processed corpus, only the columns asked for; ``skip_corrupt`` goes on past unreadable files."""
+    """Processed corpus, only the columns asked for; ``skip_corrupt`` goes on past unreadable files.
+
+    With a ``schema`` no file is opened to find it out, which might be an unreadable one.
+    """
     reader = spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower())
+    reader = reader if schema is None else reader.schema(schema)
     return reader.parquet(path).select(*columns)
 
 
