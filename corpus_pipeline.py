@@ -15,34 +15,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sievra.llm import decontamination, language_id, near_dedup, packing, pii
-from sievra.llm.queries import tokenizer_path
-from sievra.session import settle, ship_package
+from sievra.llm.queries import prepare, tokenizer_path
+from sievra.session import settle
 
 ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return language_id.keep_identified(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return near_dedup.keep_one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return decontamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return pii.without_personal_data(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 

@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from sievra.llm.words import text_buffers
+from sievra.llm.words import give_back, text_buffers
 from sievra.session import settle
 
 ORDER = 4
 TRAIN_ROWS = 1000
-MAX_CELLS = 12_000_000
+MAX_CELLS = 6_000_000
 MIN_COUNT = 3
 _PIECE = 1 << 19
 
@@ -265,6 +265,7 @@ def identify(
             columns.append(pa.array(np.where(no_letter, 0.0, score), pa.float64()))
             columns.append(pa.array(least / np.maximum(size, 1), pa.float64(), mask=size == 0))
             yield pa.RecordBatch.from_arrays(columns, fields)
+        give_back()
 
     letter: Column = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     added = [StructField(n, kind) for n, kind in zip(names, (StringType(), DoubleType(), DoubleType()))]

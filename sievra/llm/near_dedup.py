@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sievra.llm.links import PIECE_BYTES, components, meeting_points, row_sets, set_key, sets_by_scan, verified_links
-from sievra.llm.words import mix, pieces_of, text_buffers
+from sievra.llm.words import give_back, mix, pieces_of, text_buffers
 from sievra.session import broadcast_if_fits, settle
 
 PERMUTATIONS = 64
@@ -78,6 +78,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     ],
                     ["id", "n", "set_a", "set_b", "bands"],
                 )
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "id BIGINT, n BIGINT, set_a BIGINT, set_b BIGINT, bands ARRAY<BIGINT>")

@@ -23,7 +23,7 @@ from sievra.session import settle
 CAPACITY = 2048
 GROUP_ROWS = 8192
 OPENED = 16
-MOST_REMEMBERED = 1_000_000
+MOST_REMEMBERED = 300_000
 MOST_STEPS = 1500
 MOST_STUCK = 48
 

@@ -5,9 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sievra.llm import chat_format, decontamination, fingerprints, language_id, licenses, near_dedup, packing, pii, sql, token_counts, toxicity
+from sievra.session import ship_package
+
+ROWS_PER_BATCH = 1000
+_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package, and exchange fewer rows with Python at once than Spark's default of 10,000.
+
+    Rows here are whole texts, so that the default means tens of megabytes in either direction for every task.
+    A setting other than the default is left as it is.
+    """
+    ship_package(spark)
+    if spark.conf.get(_SETTING) == "10000":
+        spark.conf.set(_SETTING, str(ROWS_PER_BATCH))
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 

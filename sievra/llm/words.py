@@ -173,6 +173,11 @@ def pieces_of(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
     return out
 
 
+def give_back() -> None:
+    """Return memory that a finished task no longer uses: workers live on, and their next task may need it elsewhere."""
+    pa.default_memory_pool().release_unused()
+
+
 def long_lists(values: np.ndarray, places: np.ndarray) -> pa.Array:
     """Rows of 64-bit numbers as an Arrow list column."""
     return pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(values.view(np.int64), pa.int64()))
