@@ -29,7 +29,7 @@ MOST_STUCK = 48
 
 
 class WordIds(dict):
-    """Token ids of words, as bytes of unsigned 32-bit numbers, remembered up to ``MOST_REMEMBERED`` words.
+    """Token ids of words, as bytes of unsigned 32-bit numbers, the last ``MOST_REMEMBERED`` new ones and as many older.
 
     Valid for tokenizers that lower-case and drop white space, so that words between white space do not
     influence each other; ASCII letters are lowered first, which such a tokenizer does anyway.
@@ -40,13 +40,20 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.older: dict[bytes, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self._encode(word.decode())
+        ids = self.older.get(word)
+        if ids is None:
+            if word[-1:] in (b".", b",") and word[-2:-1].isalpha():  # a letter and a mark never share a token
+                ids = self[word[:-1]] + self[word[-1:]]
+            else:
+                ids = self._encode(word.decode())
         if len(self) >= MOST_REMEMBERED:
+            self.older = dict(self)
             self.clear()
         self[word] = ids
         return ids
