@@ -30,7 +30,7 @@ ORDER = 4
 TRAIN_ROWS = 1000
 MAX_CELLS = 6_000_000
 MIN_COUNT = 3
-_PIECE = 1 << 19
+_PIECE = 1 << 18
 
 
 @dataclass
@@ -285,9 +285,11 @@ def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return identify(rows, tree, text_col).select(id_col, "held_out", "lang_pred", "score", "bits_per_byte")
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.5, max_bits: float = 8.0) -> DataFrame:
-    """``docs`` without texts of no language: no letter, no language likelier than all others together, or a code that is
-    longer than writing the bytes down. All columns as they were."""
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.0, max_bits: float = 8.0) -> DataFrame:
+    """``docs`` without texts of no learned language: no letter, or a code that is longer than writing the bytes down.
+
+    A short text may fit several languages alike; ``min_score`` above 0 lets such texts go, too. All columns as they were.
+    """
     tree = train(docs.where(~held_out(id_col, 4, 2)), text_col, lang_col)
     if tree is None:
         return docs

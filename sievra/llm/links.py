@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sievra.llm.words import WHITESPACE, distinct_by_row, long_lists, pieces_of, shingle_hashes, text_buffers, word_hashes
 from sievra.session import broadcast_if_fits, settle
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 
 def row_sets(
