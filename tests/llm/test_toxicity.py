@@ -78,3 +78,20 @@ def _known(word):
 
     hashes, _ = word_hashes(*text_buffers(pa.array([word])), NOT_ALPHANUMERIC)
     return hashes, np.array([3.0]), -1.0
+
+
+def test_every_telling_word_gets_a_weight_from_all_texts(spark):
+    """600 words are toxic, each in ten texts of 6,000; texts are learned from by a sample of rows, words are not cut."""
+    docs = [(i, f"u{i} " + " ".join(f"c{(i * 7 + j * 13) % 500}" for j in range(20))) for i in range(6000)]
+    docs = [(i, f"{t} " + " ".join(f"bad{(i // 6 + j * 100) % 600}" for j in range(6)) if i % 6 == 0 else t) for i, t in docs]
+    left = spark.createDataFrame(docs, "doc_id BIGINT, text STRING")
+    right = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(6000)], "doc_id BIGINT, toxic INT")
+    model = X.train(left, right, max_positive=700, max_unlabelled=1500)
+    asked = [f"bad{i}" for i in range(600)]
+    import pyarrow as pa
+    from sievra.llm.words import NOT_ALPHANUMERIC, text_buffers, word_hashes
+
+    hashes, _ = word_hashes(*text_buffers(pa.array(asked)), NOT_ALPHANUMERIC)
+    assert np.isin(hashes, model.words).all()
+    margins = model.margin(*word_hashes(*text_buffers(pa.array(asked)), NOT_ALPHANUMERIC))
+    assert (margins > model.intercept).sum() >= 570
