@@ -113,6 +113,21 @@ def _score(cost: np.ndarray, metric: str) -> np.ndarray:
     return (cost if metric == "l2" else -cost) + 0.0
 
 
+def pair_scores(metric: str):
+    """Scores of two columns of vectors, row by row, as exact search gives them."""
+
+    @F.arrow_udf("double")
+    def run(queries: pa.Array, rows: pa.Array) -> pa.Array:
+        if not len(rows):
+            return pa.array([], pa.float64())
+        asked, found = matrix(queries), matrix(rows)
+        if metric == "cosine":
+            asked, found = _unit(asked), _unit(found)
+        return pa.array(_score(np.round(_cost(asked, found, metric), SCORE_DIGITS), metric))
+
+    return run
+
+
 def _output_schema(vectors: DataFrame, ids: list[str], query_id_field: StructField) -> StructType:
     fields = [StructField("query_id", query_id_field.dataType)]
     fields += [StructField(c, vectors.schema[c].dataType) for c in ids]

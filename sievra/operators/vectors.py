@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, functions as F
 from sievra.functions.text import query_terms
 from sievra.functions.vector import MAX_LISTS, choose_nlist
 from sievra.operators.chunks import CHUNK_OVERLAP, CHUNK_WORDS, chunk_words
-from sievra.operators.neighbours import TOP_K, embedding_matrix, matrix, nearest
+from sievra.operators.lexical import top_k
+from sievra.operators.neighbours import MAX_QUERY_NUMBERS, TOP_K, embedding_matrix, knn_exact, matrix, nearest, pair_scores
 from sievra.operators.sampling import TRAIN_VECTORS_PER_LIST, random_sample
 from sievra.session import broadcast_if_fits, settle
 
@@ -26,6 +27,8 @@ SUBVECTORS = 12
 CODES = 256
 NPROBE = 512
 ENCODE_BATCH = 1024
+# Vectors that the codes hand on to the exact ranking, unless a number is chosen for the data.
+CANDIDATES = 1000
 
 Encoder = Callable[[list[str]], np.ndarray]
 IDS = ("doc_id", "chunk_no")
@@ -420,11 +423,15 @@ def build_vector_index(
     return VectorIndex(centroids, coded, ids, dim, metric, nprobe, codebooks, rotation, residual)
 
 
-def ivf_search(queries: DataFrame, idx: VectorIndex, k: int = TOP_K, nprobe: int | None = None) -> DataFrame:
+def ivf_search(
+    queries: DataFrame, idx: VectorIndex, k: int = TOP_K, nprobe: int | None = None,
+    vectors: DataFrame | None = None, candidates: int = CANDIDATES,
+) -> DataFrame:
     """``(query_id, rank, *ids, score)`` from the ``nprobe`` lists nearest to each query.
 
-    Only those lists are read. With codes, scores are distances to the decoded vectors. A query whose
-    lists hold fewer than ``k`` vectors has fewer rows.
+    Only those lists are read. With codes, scores are distances to the decoded vectors; with ``vectors(*ids,
+    embedding)``, the vectors the index was built of, the ``candidates`` best by the codes are ranked again by their
+    exact distances. A query whose lists hold fewer than ``k`` vectors has fewer rows.
     """
     asked = queries.select("query_id", "embedding")
     if idx.rotation is not None:
@@ -433,7 +440,44 @@ def ivf_search(queries: DataFrame, idx: VectorIndex, k: int = TOP_K, nprobe: int
     if idx.codebooks is None:
         return nearest(asked, idx.lists, list(idx.ids), k, idx.metric, embedding_matrix)
     decode = _decoder(idx.codebooks, idx.centroids if idx.residual else None)
-    return nearest(asked, idx.lists, list(idx.ids), k, idx.metric, decode, "codes")
+    if vectors is None:
+        return nearest(asked, idx.lists, list(idx.ids), k, idx.metric, decode, "codes")
+    rough = nearest(asked, idx.lists, list(idx.ids), max(k, candidates), idx.metric, decode, "codes")
+    return rerank(queries, rough, vectors, k, idx.metric, idx.ids)
+
+
+def rerank(
+    queries: DataFrame, hits: DataFrame, vectors: DataFrame, k: int = TOP_K, metric: str = "l2", ids: tuple[str, ...] = IDS,
+    max_query_numbers: int = MAX_QUERY_NUMBERS,
+) -> DataFrame:
+    """``(query_id, rank, *ids, score)``: the best ``k`` of ``hits(query_id, *ids)`` by the exact vectors.
+
+    Hits are joined with ``vectors(*ids, embedding)`` by the ids, and with the queries, which are sent to the tasks if
+    their numbers fit.
+    """
+    asked = settle(queries.select("query_id", F.col("embedding").alias("__query")), "queries")
+    shape = asked.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("__query")), F.lit(0)).alias("dim")).first()
+    asked = F.broadcast(asked) if shape["n"] * shape["dim"] <= max_query_numbers else asked
+    pairs = hits.select("query_id", *ids).join(vectors.select(*ids, "embedding"), list(ids)).join(asked, "query_id")
+    scored = pairs.select("query_id", *ids, pair_scores(metric)(F.col("__query"), F.col("embedding")).alias("score"))
+    return top_k(scored, k, "score", descending=metric != "l2", tie_cols=tuple(ids)).select("query_id", "rank", *ids, "score")
+
+
+def choose_candidates(
+    queries: DataFrame, idx: VectorIndex, vectors: DataFrame, k: int = TOP_K, least: float = 0.95, sample: int = 256, seed: int = 0
+) -> int:
+    """How many candidates the codes have to give so that, after ranking them again, a sample of the queries reaches a
+    recall of ``least`` against exact search. Doubled from ``10 * k`` until it does, or all vectors are candidates."""
+    some = settle(random_sample(queries.select("query_id", "embedding"), sample, seed, "query_id"), "sample")
+    truth = settle(knn_exact(some, vectors, k, idx.metric, idx.ids), "truth")
+    total, n = idx.lists.count(), 10 * k
+    # A true neighbour among the candidates is among the best k of them after ranking: the candidates' recall is enough.
+    while n < total:
+        share = recall(ivf_search(some, idx, n), truth, idx.ids).first()["recall"]
+        if share is None or share >= least:
+            break
+        n *= 2
+    return min(n, max(total, k))
 
 
 def list_sizes(idx: VectorIndex) -> DataFrame:
