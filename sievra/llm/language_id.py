@@ -7,8 +7,10 @@ frozen after training, so the exact code length of a byte depends on its context
 length of every (context, byte, language), and scoring a text is a walk along its contexts and a sum. The language of
 the shortest code wins, and the score is its probability if all languages are equally likely beforehand.
 
-The contexts of all languages form one tree, looked up once per byte. Its size is bounded by ``max_cells``, what it is
-learned from by ``train_rows`` texts of each language; whole texts are scored, in pieces of bounded size.
+The contexts of all languages form one tree, looked up once per byte. Code lengths are kept for the (context, byte) pairs that
+occur; any other byte costs what it does in the next shorter context, and a cost of the context on top. Every context
+seen ``min_count`` times stays, so the size follows the texts learned from, about ``rows`` of each language; a pair that occurs
+has a number for every language. Whole texts are scored, in pieces of bounded size.
 
 Cases: a null text, or one without a letter, is ``und`` with a score of 0. Ties go to the language of the smaller name.
 Null languages, texts and repeated texts are not learned from. Without any text to learn from, all texts are ``und``.
@@ -28,26 +30,84 @@ from sievra.session import settle
 
 ORDER = 4
 TRAIN_ROWS = 1000
-MAX_CELLS = 6_000_000
 MIN_COUNT = 3
 _PIECE = 1 << 18
 
 
+class Lookup:
+    """Places of 64-bit keys (not negative, each once) in an open hash table."""
+
+    def __init__(self, keys: np.ndarray):
+        self.shift = np.uint64(64 - max(4, int(2 * len(keys) + 1).bit_length()))
+        self.slots = np.full(1 << (64 - int(self.shift)), -1, np.int64)
+        self.places = np.zeros(len(self.slots), np.int32)
+        left, at = np.arange(len(keys)), self._start(keys)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = keys[left[free]]
+            mine = self.slots[at] == keys[left]
+            self.places[at[mine]] = left[mine]
+            left, at = left[~mine], (at[~mine] + 1) & (len(self.slots) - 1)
+
+    def _start(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 if it is not there."""
+        at = self._start(keys)
+        there = self.slots[at]
+        out = np.where(there == keys, self.places[at], -1)
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & (len(self.slots) - 1)
+            there = self.slots[at]
+            hit = there == keys[left]
+            out[left[hit]] = self.places[at[hit]]
+            more = ~hit & (there >= 0)
+            left, at = left[more], at[more]
+        return out
+
+
 @dataclass
 class ContextTree:
-    """Frozen statistics: the tree of contexts and the code length of every byte class in each, in bits."""
+    """Frozen statistics: the tree of contexts and the code lengths, in bits, of the (context, byte class) pairs that occur."""
 
     languages: list[str]
     classes: np.ndarray  # byte -> class
-    child: np.ndarray  # (node, class of the byte further back) -> node, 0 where the context is not known
-    bits: np.ndarray  # (node * classes + class, language)
+    width: int  # number of classes
+    parent: np.ndarray  # node -> node of the context one byte shorter
+    edges: Lookup  # node * width + class of the byte further back -> node - 1
+    pairs: Lookup  # node * width + class -> row of bits; node 0 has every class
+    bits: np.ndarray  # (pair, language)
+    seen: np.ndarray  # (pair, language): whether the language has the pair
+    known: np.ndarray  # (node, language): bits on top of the next shorter context's if the language has the byte there
+    other: np.ndarray  # (node, language): the same if it has not
     order: int
 
+    def costs(self, node: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Bits of byte classes in their contexts: ``(bytes, languages)``."""
+        place = self.pairs.find(node * self.width + symbol)
+        out = self.bits[place]
+        left = np.flatnonzero(place < 0)
+        if not len(left):
+            return out
+        out[left] = 0
+        below = node[left].astype(np.int64)
+        while len(left):
+            shorter = self.parent[below]
+            place = self.pairs.find(shorter * self.width + symbol[left])
+            there = place >= 0
+            at, row = left[there], place[there]
+            out[at] += self.bits[row] + np.where(self.seen[row], self.known[below[there]], self.other[below[there]])
+            out[left[~there]] += self.other[below[~there]]
+            left, below = left[~there], shorter[~there]
+        return out
+
     def score(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code lengths in bits: ``(rows, languages)``."""
-        n, width = len(raw), self.child.shape[1]
+        n = len(raw)
         out = np.zeros((len(offsets) - 1, len(self.languages)))
-        child, bits = self.child.ravel(), self.bits
         for a in range(0, n, _PIECE):
             b = min(n, a + _PIECE)
             lead = min(a, self.order)
@@ -58,14 +118,15 @@ class ContextTree:
             row_of = np.searchsorted(offsets, np.arange(a, b), "right") - 1 if first != last else None
             begin = offsets[row_of] if row_of is not None else np.full(b - a, offsets[first])
             before = np.arange(a, b) - begin
-            node = np.zeros(b - a, np.int32)
-            deeper = np.ones(b - a, bool)
+            node = np.zeros(b - a, np.int64)
+            deeper = np.arange(b - a)
             for back in range(1, self.order + 1):
                 previous = symbols[np.maximum(np.arange(lead - back, lead - back + b - a), 0)]
-                step = child[node * width + previous]
-                deeper &= (before >= back) & (step > 0)
-                node = np.where(deeper, step, node)
-            costs = bits[node * width + symbols[lead:]]
+                deeper = deeper[before[deeper] >= back]
+                step = self.edges.find(node[deeper] * self.width + previous[deeper]) + 1
+                deeper, step = deeper[step > 0], step[step > 0]
+                node[deeper] = step
+            costs = self.costs(node, symbols[lead:])
             if row_of is None:
                 out[first] += costs.sum(axis=0, dtype=np.float64)
             else:
@@ -126,104 +187,81 @@ def _symbols(grams: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([(grams >> (8 * i)) & 255 for i in range(order + 1)], axis=1), marks
 
 
-def grow(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER, max_cells: int = MAX_CELLS, min_count: int = MIN_COUNT) -> ContextTree:
-    """The tree over ``counts``: language -> (grams, how often). Contexts seen less than ``min_count`` times are left out,
-    and the rarest go until contexts x byte classes x languages is at most ``max_cells``."""
+def grow(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER, min_count: int = MIN_COUNT) -> ContextTree:
+    """The tree over ``counts``: language -> (grams, how often). Contexts seen less than ``min_count`` times are left out."""
     languages = sorted(counts)
-    parts = [(_symbols(counts[lang][0], order), counts[lang][1]) for lang in languages]
-    seen = np.unique(np.concatenate([p[0][0][:, 0] for p in parts]))
+    symbols, marks = _symbols(np.concatenate([counts[lang][0] for lang in languages]), order)
+    n = np.concatenate([counts[lang][1] for lang in languages]).astype(np.float64)
+    owner = np.repeat(np.arange(len(languages)), [len(counts[lang][0]) for lang in languages])
+    seen = np.unique(symbols[:, 0])
     classes = np.zeros(256, np.int64)  # class 0: bytes that training has not seen
     classes[seen] = np.arange(1, len(seen) + 1)
     width = len(seen) + 1
-    limit = max(1, max_cells // (width * len(languages)))
-    # Contexts as numbers in base ``width``, the byte nearest to the symbol first; level d holds contexts of d bytes.
-    levels: list[dict[int, int]] = [{0: 0}]
-    nodes = 1
-    totals: list[np.ndarray] = []
-    child_rows: list[tuple[int, int, int]] = []
-    for depth in range(1, order + 1):
-        keys, weights = [], []
-        for ((symbols, marks), n) in parts:
-            use = marks >= depth
-            key = np.zeros(int(use.sum()), np.int64)
-            for i in range(depth, 0, -1):
-                key = key * width + classes[symbols[use, i]]
-            keys.append(key)
-            weights.append(n[use])
-        key, back = np.unique(np.concatenate(keys), return_inverse=True)
-        weight = np.bincount(back, np.concatenate(weights), len(key))
-        parent = key % width ** (depth - 1)
-        known = np.array([p in levels[-1] for p in parent.tolist()], bool) if len(key) else np.zeros(0, bool)
-        keep = np.flatnonzero(known & (weight >= min_count))
-        keep = keep[np.argsort(-weight[keep], kind="stable")][: limit - nodes]
-        level = {}
-        for i in sorted(keep.tolist()):
-            level[int(key[i])] = nodes
-            child_rows.append((levels[-1][int(parent[i])], int(key[i]) // width ** (depth - 1), nodes))
-            nodes += 1
-        levels.append(level)
-    child = np.zeros((nodes, width), np.int32)
-    for parent_node, symbol, node in child_rows:
-        child[parent_node, symbol] = node
-    bits = np.empty((nodes * width, len(languages)), np.float32)
-    for column, ((symbols, marks), n) in enumerate(parts):
-        bits[:, column] = _code_lengths(levels, child_rows, classes, width, symbols, marks, n, nodes)
-    return ContextTree(languages, classes, child, bits, order)
-
-
-def _code_lengths(levels, child_rows, classes, width, symbols, marks, n, nodes) -> np.ndarray:
-    """Bits of every (node, class) of one language: escapes by distinct bytes (method C), with exclusion."""
-    counts = np.zeros((nodes, width))
-    for depth, level in enumerate(levels):
-        if not level:
-            continue
-        use = marks >= depth
-        key = np.zeros(int(use.sum()), np.int64)
-        for i in range(depth, 0, -1):
-            key = key * width + classes[symbols[use, i]]
-        known = np.array(sorted(level), np.int64)
-        at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-        there = known[at] == key
-        node = np.array([level[k] for k in known.tolist()], np.int64)[at[there]]
-        np.add.at(counts, (node, classes[symbols[use, 0]][there]), n[use][there])
-    unseen_bytes = 256 - (width - 1)
-    per_class = np.ones(width)
-    per_class[0] = unseen_bytes
-    # p: probability of a class in a node. rest: its probability after an escape from that node, so among what is left.
-    parent = np.zeros(nodes, np.int64)
-    for parent_node, _, node in child_rows:
-        parent[node] = parent_node
-    p = np.empty((nodes, width))
-    rest = np.empty((nodes, width))
-    for level in levels:
-        rows = np.array(sorted(level.values()), np.int64)
-        if not len(rows):
-            continue
-        has = counts[rows] > 0
-        total, kinds = counts[rows].sum(axis=1, keepdims=True), has.sum(axis=1, keepdims=True)
-        if rows[0] == 0:
-            left = np.where(has, 0, per_class)
-            rest[rows] = left / np.maximum(left.sum(axis=1, keepdims=True), 1e-300)
-        else:
-            above = counts[parent[rows]]
-            new = np.where(has, 0, above)
-            some = new.sum(axis=1, keepdims=True)
-            new_kinds = (new > 0).sum(axis=1, keepdims=True)
-            lower = np.where(above > 0, 0, rest[parent[rows]])
-            escape = np.where(some > 0, new_kinds / np.maximum(some + new_kinds, 1), 1.0)
-            taken = np.where(some > 0, new / np.maximum(some + new_kinds, 1), 0.0)
-            rest[rows] = np.where(new > 0, taken, escape * lower)
-        leave = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
-        p[rows] = np.where(has, counts[rows] / np.maximum(total + kinds, 1), leave * rest[rows])
-        # A language that has never seen this context codes in the next shorter one.
-        empty = (total[:, 0] == 0) & (rows > 0)
-        p[rows[empty]] = p[parent[rows[empty]]]
-        rest[rows[empty]] = rest[parent[rows[empty]]]
-        counts[rows[empty]] = counts[parent[rows[empty]]]
-    return -np.log2(np.maximum(p / per_class, 1e-30)).ravel().astype(np.float32)
-
-
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER, rows: int = TRAIN_ROWS, max_cells: int = MAX_CELLS) -> ContextTree | None:
+    # Level by level: the node of every gram's context of so many bytes, as long as it is known.
+    use, node, nodes = np.arange(len(n)), np.zeros(len(n), np.int64), 1
+    edges, parent = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+    keys, rows = [np.arange(width)], []  # all classes of the root are pairs
+    for depth in range(order + 1):
+        if depth:
+            there = marks[use] >= depth
+            use, node = use[there], node[there]
+            key, back = np.unique(node * width + classes[symbols[use, depth]], return_inverse=True)
+            keep = np.bincount(back, n[use], len(key)) >= min_count
+            number = np.where(keep, nodes - 1 + np.cumsum(keep), 0)
+            edges.append(key[keep])
+            parent.append(key[keep] // width)
+            nodes += int(keep.sum())
+            use, node = use[keep[back]], number[back[keep[back]]]
+        pair = node * width + classes[symbols[use, 0]]
+        keys.append(np.unique(pair))
+        rows.append((use, pair))
+    pairs = np.unique(np.concatenate(keys))
+    table = np.zeros((len(pairs), len(languages)))
+    for use, pair in rows:
+        np.add.at(table, (np.searchsorted(pairs, pair), owner[use]), n[use])
+    parent = np.concatenate(parent)
+    bits, known, other = _code_lengths(pairs, table, parent, width)
+    return ContextTree(
+        languages, classes, width, parent, Lookup(np.concatenate(edges)), Lookup(pairs), bits.astype(np.float32), table > 0,
+        known.astype(np.float32), other.astype(np.float32), order,
+    )
+
+
+def _code_lengths(pairs: np.ndarray, counts: np.ndarray, parent: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bits of every pair, and of every node on top of its parent's: escapes by distinct bytes (method C), with exclusion."""
+    node, nodes = pairs // width, len(parent)
+    first = np.searchsorted(node, np.arange(nodes))
+    has = counts > 0
+    total, kinds = np.add.reduceat(counts, first), np.add.reduceat(has.astype(np.float64), first)
+    shorter = np.searchsorted(pairs, parent[node] * width + pairs % width)  # the same byte in the parent
+    # What the parent has beyond the node: an escape goes on among that, without the bytes the node has.
+    some = total[parent] - np.add.reduceat(np.where(has, counts[shorter], 0), first)
+    new_kinds = kinds[parent] - kinds
+    leave = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
+    escape = np.where(some > 0, new_kinds / np.maximum(some + new_kinds, 1), 1.0)
+    # A language that has never seen a context codes in the next shorter one, at no cost.
+    at_work = total > 0
+    beyond = leave * (total + kinds)[parent] / np.maximum(some + new_kinds, 1)
+    known = np.where(at_work & (some > 0), -np.log2(np.where(at_work, beyond, 1.0)), 0.0)
+    other = np.where(at_work, -np.log2(leave * escape / leave[parent]), 0.0)
+    own = -np.log2(np.where(has, counts / np.maximum(total + kinds, 1)[node], 1.0))
+    per_class = np.ones((width, 1))
+    per_class[0] = 256 - (width - 1)
+    left = np.where(has[:width], 0, per_class).sum(axis=0)
+    bits = np.empty(counts.shape)
+    bits[:width] = np.where(has[:width], own[:width], -np.log2(np.maximum(leave[0] / np.maximum(left, 1e-300), 1e-30)))
+    # Parents have lower numbers, and a level is a range of nodes: bits of a level need those of the one before.
+    depth = np.zeros(nodes, np.int64)
+    for v in range(1, nodes):
+        depth[v] = depth[parent[v]] + 1
+    for level in range(1, int(depth.max(initial=0)) + 1):
+        i = np.flatnonzero(depth[node] == level)
+        up = shorter[i]
+        bits[i] = np.where(has[i], own[i], bits[up] + np.where(has[up], known[node[i]], other[node[i]]))
+    return bits, known, other
+
+
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER, rows: int = TRAIN_ROWS) -> ContextTree | None:
     """The frozen tree of the languages in ``docs``; None if there is nothing to learn from.
 
     Counting runs in tasks; the driver gets the grams of the bounded sample that occur more than once.
@@ -234,7 +272,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order
         return None
     langs = np.array(table.column("lang").to_pylist(), object)
     grams, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
-    return grow({lang: (grams[langs == lang], n[langs == lang]) for lang in sorted(set(langs.tolist()))}, order, max_cells)
+    return grow({lang: (grams[langs == lang], n[langs == lang]) for lang in sorted(set(langs.tolist()))}, order)
 
 
 def identify(

@@ -101,3 +101,25 @@ def test_messy_rows(spark):
     # 7 begins with 300,000 times a byte that no language has: longer in code than as it is.
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 2, 6, 6, 8]
     assert {r.score for r in kept.collect()} == {"s"}
+
+
+def test_every_context_stays_however_many_languages_there_are():
+    """40 languages over 200 byte values: under a bound on contexts x classes x languages, hardly any context of 4 bytes stays."""
+    rng = np.random.default_rng(2)
+    counts, kept = {}, set()
+    for lang in range(40):
+        words = [bytes(rng.integers(50, 250, 6).astype(np.uint8)) for _ in range(30)]
+        grams: dict[int, int] = {}
+        for w in words:
+            for i in range(4, 6):
+                gram = int.from_bytes(w[i - 4 : i + 1], "big") + (1 << 40)
+                grams[gram] = grams.get(gram, 0) + 3
+                kept.add(w[i - 4 : i])
+        counts[f"l{lang:02d}"] = tuple(np.array(c, np.int64) for c in (list(grams), list(grams.values())))
+    tree = L.grow(counts)
+    nodes = np.zeros(len(kept), np.int64)
+    symbols = tree.classes[np.array([list(c) for c in sorted(kept)])]
+    for back in range(1, 5):
+        nodes = tree.edges.find(nodes * tree.width + symbols[:, -back]) + 1
+        assert (nodes > 0).all()
+    assert len(set(nodes.tolist())) == len(kept) > 2000
