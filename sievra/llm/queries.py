@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievra.llm import chat_format, decontamination, fingerprints, language_id, licenses, near_dedup, packing, pii, sql, token_counts, toxicity
+from sievra.llm import chat_format, decontamination, fingerprints, hard_negatives, language_id, licenses, merkle, near_dedup, packing, pii
+from sievra.llm import simhash, sql, token_counts, toxicity
 from sievra.session import ship_package
 
 ROWS_PER_BATCH = 1000
@@ -75,6 +76,18 @@ def packing_query(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_table(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def merkle_query(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.manifest_digests(_table(spark, sf, "documents"))
+
+
+def hard_negatives_query(spark: SparkSession, sf: str) -> DataFrame:
+    return hard_negatives.mined_embeddings(_table(spark, sf, "embeddings"))
+
+
+def simhash_query(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf, "documents"))
+
+
 REGISTRY = {
     "op1_language_id": (language_query, None),
     "op2_decontamination": (decontamination_query, sql.CONTAINED_ITEMS),
@@ -86,4 +99,7 @@ REGISTRY = {
     "op8_pii": (pii_query, None),
     "op10_packing": (packing_query, None),
     "op9_minhash_near_dedup": (near_dedup_query, sql.NEAR_DEDUP),
+    "op11_merkle_manifest": (merkle_query, sql.MERKLE),
+    "op12_hard_negatives": (hard_negatives_query, sql.HARD_NEGATIVES),
+    "op13_simhash_near_dedup": (simhash_query, None),
 }

@@ -92,3 +92,63 @@ hits AS (
   FROM pi JOIN ti USING (pair) GROUP BY part, doc_id, license, t_id, pi.size, ti.size HAVING 200 * count(*) >= 80 * (pi.size + ti.size))
 SELECT doc_id, license, count(DISTINCT part)::BIGINT AS n_parts, max(dice) AS dice FROM hits GROUP BY doc_id, license
 """
+
+
+_FRAMED = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_FRAMED.format(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+_UP = "SELECT {g}, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM {t} WHERE n > 1 GROUP BY {g}, lvl, pos // 2"
+
+MERKLE = rf"""
+WITH RECURSIVE
+bytes AS (SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+docs AS (
+  SELECT documents.*, {_leaf("n_chars")} AS leaf, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g,
+    CASE WHEN xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0 THEN {_leaf("(n_chars + 1)")} END AS shown
+  FROM documents, bytes),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM docs),
+nodes AS (SELECT g, 0 AS lvl, pos, leaf AS h, n FROM leaves UNION ALL {_UP.format(g="g", t="nodes")}),
+tops AS (SELECT 0 AS z, 0 AS lvl, g AS pos, h, (SELECT count(DISTINCT g) FROM docs) AS n FROM nodes WHERE n = 1 UNION ALL {_UP.format(g="z", t="tops")}),
+steps AS (
+  SELECT l.g, l.pos, a.lvl, b.h, b.pos < a.pos AS is_left FROM leaves l JOIN nodes a ON a.g = l.g AND a.pos = l.pos >> a.lvl AND a.n > 1
+  LEFT JOIN nodes b ON b.g = a.g AND b.lvl = a.lvl AND b.pos = xor(a.pos, 1)
+  UNION ALL
+  SELECT l.g, l.pos, 1000 + a.lvl, b.h, b.pos < a.pos FROM leaves l JOIN tops a ON a.pos = l.g >> a.lvl AND a.n > 1
+  LEFT JOIN tops b ON b.lvl = a.lvl AND b.pos = xor(a.pos, 1)),
+ways AS (
+  SELECT g, pos, sha256(coalesce(string_agg(h, '' ORDER BY lvl), '')) AS proof_sha256,
+    list(CASE WHEN h IS NULL THEN '=' WHEN is_left THEN '<' || h ELSE '>' || h END ORDER BY lvl) AS way FROM steps GROUP BY g, pos),
+folded AS (
+  SELECT l.*, coalesce(proof_sha256, sha256('')) AS proof_sha256,
+    list_reduce([coalesce(shown, leaf)] || coalesce(way, []), lambda x, s:
+      CASE s[1] WHEN '<' THEN sha256(s[2:] || x) WHEN '>' THEN sha256(x || s[2:]) ELSE sha256(x) END) AS folded_root
+  FROM leaves l LEFT JOIN ways USING (g, pos))
+SELECT f.doc_id, f.leaf, s.h AS subroot, r.h AS root, proof_sha256, folded_root, folded_root = r.h AS verified
+FROM folded f JOIN nodes s ON s.g = f.g AND s.n = 1 JOIN tops r ON r.n = 1
+"""
+
+HARD_NEGATIVES = """
+WITH
+v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS alike, list_inner_product(a.e, v.e)::BIGINT AS score
+  FROM v a JOIN v ON a.vec_id % 100 = 0),
+positives AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place
+    FROM scored WHERE alike AND vec_id <> anchor_id) WHERE place <= 5),
+negatives AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    (row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id))::INTEGER AS rank
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.alike
+    AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT * FROM negatives WHERE rank <= 10
+"""

@@ -17,7 +17,7 @@ SF = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
 
 def test_registered_names():
     names = set(queries.REGISTRY)
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert names | {"pipeline"} <= set(entry.queries()) and "pipeline" not in entry.oracle_sql()
 
 
