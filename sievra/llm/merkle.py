@@ -33,6 +33,7 @@ from sievra.session import broadcast_if_fits, settle
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 HEIGHT = 9  # a block has 512 nodes at its bottom, 1023 digests of 32 bytes in all
 DIGEST = 32
+MAX_PATHS = 1 << 15  # ways of block roots, of about a thousand bytes, that may be broadcast
 # What stands at a step of a proof: no sibling, a sibling to the right, one to the left.
 ALONE, RIGHT, LEFT = 0, 1, 2
 _BLOCKS = "tree BIGINT, n BIGINT, block BIGINT, count INT, root BINARY, nodes BINARY"
@@ -300,7 +301,7 @@ def _down(blocks: DataFrame, above: DataFrame, height: int, leaf_type: str | Non
     """Proofs of the bottom nodes of ``blocks``, given those of their roots: ``above(tree, block, steps, siblings, subroot, top)``."""
     names = "tree BIGINT, pos BIGINT, steps BINARY, siblings BINARY, subroot BINARY, top BINARY"
     names += f", id {leaf_type}, shown BINARY, leaf BINARY" if leaf_type else ""
-    rows = blocks.join(broadcast_if_fits(above), ["tree", "block"])
+    rows = blocks.join(broadcast_if_fits(above, MAX_PATHS), ["tree", "block"])
     return rows.mapInArrow(_child_proofs(height, leaf_type is not None), names)
 
 
