@@ -6,8 +6,9 @@ fingerprints only, so any number of exact copies costs one row each.
 
 Fingerprints are dealt to shards by parts of their bits: with ``radius + 1`` parts, two that are linked agree in one
 of them, and meet in that part's shard. A shard that is still large is dealt again by parts of the bits that its
-members need not share, for they are distinct and still differ in ``radius`` of these at most; so every shard ends small,
-also where a third of all fingerprints share a part. A shard is one BK-tree, children keyed by their integer Hamming
+members need not share, for linked ones still differ in ``radius`` of these at most. What is large even then is a crowd of
+distinct fingerprints around one another; it is cut in blocks, and each two blocks are a shard. So none is larger than
+two blocks, also where a third of all fingerprints share a part. A shard is one BK-tree, children keyed by their integer Hamming
 distance to the parent. All fingerprints of the shard go down the tree together and follow only the edges within
 the radius of their own distance, which holds every fingerprint within the radius (triangle inequality). The tree lives
 where the shard's rows are: it is sent to no other task and never to the driver, since that would be the fingerprints of
@@ -38,6 +39,8 @@ WORDS = 3
 # Fingerprints that a shard should have at first, and above which it is dealt again.
 SHARD_GOAL = 512
 SHARD_LIMIT = 1 << 14
+# How often a large shard is dealt by further bits before its blocks meet in pairs.
+DEALS = 2
 # Hashes of one text that are in memory at a time, and pairs of a query and a node of a level of the tree.
 HASHES = 1 << 15
 PAIRS = 1 << 17
@@ -204,6 +207,15 @@ def _shard_rows(rows: DataFrame, taken: dict[str, list[int]], bits: int | None,
     return dealt, ways
 
 
+def _block_pairs(rows: DataFrame, limit: int) -> DataFrame:
+    """``rows(way, shard, code, n)`` of shards of ``n`` codes dealt to pairs of blocks of about ``limit`` codes."""
+    blocks = F.ceil(F.col("n") / limit).cast("int")
+    own = F.pmod(F.xxhash64("code"), blocks.cast("bigint")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
+    met = rows.select("way", "shard", "code", own.alias("own"), other)
+    return met.select("way", F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")).alias("shard"), "code")
+
+
 def code_links(codes: DataFrame, radius: int = RADIUS, goal: int = SHARD_GOAL, limit: int = SHARD_LIMIT) -> DataFrame:
     """``(a, b)``: links between distinct ``codes(code)`` that connect all codes within ``radius`` bits of one another."""
     if not 0 <= radius < 16:
@@ -216,19 +228,20 @@ def code_links(codes: DataFrame, radius: int = RADIUS, goal: int = SHARD_GOAL, l
     if bits:
         rows, ways = _shard_rows(rows, ways, bits, radius)
     ready = []
-    while True:
+    for deals_left in range(DEALS, -1, -1):
         rows = settle(rows, "shards")
         sizes = rows.groupBy("way", "shard").agg(F.count("*").alias("n")).where(F.col("n") > limit)
         sizes = settle(sizes, "large-shards")
-        # Dealt by a part at a time, a code's free bits end; shards of few free bits are small, as codes are distinct.
         left = {r["way"] for r in sizes.select("way").distinct().collect()}
-        left = {w for w in left if 64 - len(ways[w]) > 12}
-        large = broadcast_if_fits(sizes.where(F.col("way").isin(sorted(left))).select("shard"))
         if not left:
             ready.append(rows)
             break
+        large = broadcast_if_fits(sizes.select("shard", "n"))
         ready.append(rows.join(large, "shard", "left_anti"))
-        rows, ways = _shard_rows(rows.join(large, "shard", "left_semi"), {w: ways[w] for w in left}, None, radius)
+        if deals_left:
+            rows, ways = _shard_rows(rows.join(large, "shard", "left_semi"), {w: ways[w] for w in left}, None, radius)
+        else:
+            ready.append(_block_pairs(rows.join(large, "shard"), limit))
     all_rows = ready[0]
     for more in ready[1:]:
         all_rows = all_rows.unionByName(more.select(*all_rows.columns))
