@@ -10,8 +10,11 @@ from sievra.session import settle
 TRAIN_VECTORS_PER_LIST = 100
 MAPPING_BUCKET = 1_000_000
 
-# Keys of a random sample that a limit for the first rows is read off, and how many keys one task may sort.
+# Keys of a random sample that the ranges of a histogram are read off, ranges of a histogram, keys that may be left beyond the
+# first ones, and how many keys one task may sort.
 SAMPLED_KEYS = 10_000
+RANGES = 64
+BEYOND = 2_000
 SORT_LIMIT = 1_000_000
 
 
@@ -49,26 +52,43 @@ def _up_to_nth(df: DataFrame, n: int, keys: list[Column]) -> DataFrame:
     return df.where(F.coalesce(key <= last.scalar(), F.lit(n > 0)))
 
 
-def _roughly_first(df: DataFrame, n: int, keys: list[Column]) -> DataFrame:
-    """At least the ``n`` smallest keys and not many more, however many partitions there are.
+def _range_limits(keys: DataFrame) -> DataFrame:
+    """One row, ``limits``: at most ``RANGES`` different keys that cut ``keys(__key)``, a small table, in even parts."""
+    step = max(1, keys.count() // RANGES)
+    placed = keys.select("__key", F.row_number().over(W.orderBy("__key")).alias("__place"))
+    return placed.where(F.col("__place") % step == 0).agg(F.sort_array(F.collect_set("__key")).alias("limits"))
 
-    A limit is read off about ``SAMPLED_KEYS`` random keys, somewhat too high, and checked by a count. Where it
-    does not hold, a higher one is taken, and at last all rows, of which there are then few more than ``n``.
+
+def _roughly_first(df: DataFrame, n: int, keys: list[Column], most: int = BEYOND) -> DataFrame:
+    """At least the ``n`` smallest keys and not over ``most`` more, however many partitions there are.
+
+    A search for the ``n``-th key: limits read off about ``SAMPLED_KEYS`` random keys of the range it lies in cut that range
+    in up to ``RANGES`` parts, one pass counts the keys of each part, and the part with the ``n``-th key is the next range.
+    Keys may be of any type that sorts, structs included: limits stay in one-row tables and are compared by Spark.
+    Equal keys cannot be parted; then the search ends with all of them.
     """
-    total = df.count()
     key = _key(keys)
-    thin = settle(df.select(key.alias("__key")).sample(min(1.0, SAMPLED_KEYS / max(1, total)), seed=0), "sampled-keys")
-    share = n / max(1, total) * thin.count()
-    for extra in (4, 16, 64):
-        upto = int(share + extra * (share**0.5 + 1))
-        if upto * 2 > SAMPLED_KEYS or upto >= thin.count():
+    low, below, inside, near = None, 0, df.count(), df
+    while below + inside > n + most:
+        rows = near if low is None else near.where(key > low)
+        thin = settle(rows.select(key.alias("__key")).sample(min(1.0, SAMPLED_KEYS / inside), seed=0), "sampled-keys")
+        limits = settle(_range_limits(thin), "range-limits")
+        # The number of limits below a key is its part; keys beyond the last limit are the last part.
+        part = F.size(F.filter("limits", lambda limit: limit < F.col("__key")))
+        parted = rows.select(key.alias("__key"), limits.scalar().alias("limits")).groupBy(part.alias("part"))
+        sizes = {r["part"]: r["n"] for r in parted.agg(F.count("*").alias("n")).collect()}
+        found, upto = 0, below + sizes.get(0, 0)
+        while upto < n and found < max(sizes):
+            found += 1
+            upto += sizes.get(found, 0)
+        if sizes[found] == inside:
             break
-        cut = thin.orderBy("__key").limit(upto).agg(F.max("__key").alias("cut")).first()["cut"]
-        limit = F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(cut)])
-        near = df.where(key <= limit)
-        if near.count() >= n:
-            return near
-    return df
+        if found:
+            low = limits.select(F.get("limits", F.lit(found - 1))).scalar()
+        if found < max(sizes):
+            near = df.where(key <= limits.select(F.get("limits", F.lit(found))).scalar())
+        below, inside = upto - sizes[found], sizes[found]
+    return near
 
 
 def head_sample(df: DataFrame, n: int | None, *order: str) -> DataFrame:
@@ -79,6 +99,8 @@ def head_sample(df: DataFrame, n: int | None, *order: str) -> DataFrame:
     if n is None:
         return df
     keys = [F.col(c) for c in order]
+    if n <= 0:
+        return df.limit(0)
     near = _roughly_first(df, n, keys)
     return near if near.count() <= n else _up_to_nth(near, n, keys)
 

@@ -8,13 +8,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from sievra.functions.text import query_terms
 from sievra.functions.vector import MAX_LISTS, choose_nlist
+from sievra.operators import clustering
 from sievra.operators.chunks import CHUNK_OVERLAP, CHUNK_WORDS, chunk_words
 from sievra.operators.lexical import top_k
 from sievra.operators.neighbours import MAX_QUERY_NUMBERS, TOP_K, embedding_matrix, knn_exact, matrix, nearest, pair_scores
@@ -29,6 +27,7 @@ NPROBE = 512
 ENCODE_BATCH = 1024
 # Vectors that the codes hand on to the exact ranking, unless a number is chosen for the data.
 CANDIDATES = 1000
+ROTATED_ROWS = 256
 
 Encoder = Callable[[list[str]], np.ndarray]
 IDS = ("doc_id", "chunk_no")
@@ -145,18 +144,13 @@ def training_sample(vectors: DataFrame, nlist: int, seed: int = 0, ids: tuple[st
 def train_centroids(
     sample: DataFrame, nlist: int, seed: int = 0, max_iter: int = 10, column: str = "embedding"
 ) -> DataFrame:
-    """``(list_id, center)`` by k-means over a training sample.
+    """``(list_id, center)``: exactly ``nlist`` centres by k-means over a training sample, the same for any partitioning.
 
-    The sample holds 100 vectors per list; the estimator keeps it in executor memory and on disk while it
-    iterates. There are ``nlist`` centres, which the driver and every task hold when vectors are placed.
+    The driver and every task hold the centres when vectors are placed.
     """
-    spark = sample.sparkSession
-    features = sample.select(array_to_vector(F.col(column).cast("array<double>")).alias("features"))
-    means = KMeans(k=nlist, seed=seed, maxIter=max_iter, initMode="random")
-    model = means.fit(features)
-    centers = np.asarray(model.clusterCenters())
+    centers = clustering.train(sample, nlist, 1, seed, max_iter, column)[0]
     table = pa.table({"list_id": np.arange(len(centers), dtype=np.int32), "center": _as_lists(centers, pa.float64())})
-    return spark.createDataFrame(table)
+    return sample.sparkSession.createDataFrame(table)
 
 
 def _center_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -165,35 +159,13 @@ def _center_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return rows["list_id"].to_numpy().astype(np.int32), matrix(rows["center"])
 
 
-def _closest(rows: np.ndarray, centers: np.ndarray, n: int) -> np.ndarray:
-    """Positions of the ``n`` nearest centres per row, nearest first, lower position on ties."""
-    rough = (rows * rows).sum(axis=1)[:, None] + (centers * centers).sum(axis=1)[None, :] - 2.0 * rows @ centers.T
-    n = min(n, len(centers))
-    slack = 1e-7 * (1.0 + np.abs(rough).max(initial=0.0))
-    kth = np.partition(rough, n - 1, axis=1)[:, n - 1] if n < len(centers) else np.full(len(rows), np.inf)
-    r, c = np.nonzero(rough <= kth[:, None] + slack)
-    # Exact distances only for the candidates, rounded so that equal centres tie.
-    exact = np.empty(len(r))
-    for at in range(0, len(r), 1 << 18):
-        part = slice(at, at + (1 << 18))
-        exact[part] = np.round(((rows[r[part]] - centers[c[part]]) ** 2).sum(axis=1), 9)
-    order = np.lexsort((c, exact, r))
-    r, c = r[order], c[order]
-    place = np.arange(len(r)) - np.searchsorted(r, r, side="left")
-    return c[place < n].reshape(len(rows), n)
-
-
 def _closest_lists(centroids: DataFrame, n: int):
     list_ids, centers = _center_matrix(centroids)
-    # A block of rows at a time, so that the distance matrix stays small with many centres.
-    block = max(1, (1 << 23) // max(1, len(centers)))
 
     @F.arrow_udf("array<int>")
     def find(column: pa.Array) -> pa.Array:
-        rows = matrix(column)
-        parts = [_closest(rows[at : at + block], centers, n) for at in range(0, len(rows), block)]
-        found = np.concatenate(parts) if parts else np.zeros((0, min(n, len(centers))), np.int64)
-        return _as_lists(list_ids[found], pa.int32())
+        rows = matrix(column) if len(column) else np.zeros((0, centers.shape[1]))
+        return _as_lists(list_ids[clustering.nearest_centers(rows, centers, n)[0]], pa.int32())
 
     return find
 
@@ -244,10 +216,6 @@ def lloyd_step(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
 # Product codes --------------------------------------------------------------------------------
 
 
-def _subvector(column: str, j: int, width: int):
-    return F.slice(F.col(column), j * width + 1, width)
-
-
 def _residuals(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     """Vectors with their list's centre taken off, as ``embedding``."""
     joined = vectors.join(broadcast_if_fits(centroids.select("list_id", "center")), "list_id")
@@ -259,20 +227,14 @@ def _residuals(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
 def pq_train(
     sample: DataFrame, subvectors: int = SUBVECTORS, codes: int = CODES, seed: int = 0, max_iter: int = 10
 ) -> DataFrame:
-    """``(sub, code, center)``: a k-means codebook for each part of the vectors."""
-    sample = settle(sample.select("embedding"), "codebook-training")
-    dim = sample.agg(F.max(F.size("embedding")).alias("dim")).first()["dim"]
-    if not dim or dim % subvectors:
-        raise ValueError(f"{subvectors} subvectors do not divide {dim} numbers")
-    width = dim // subvectors
-    books = None
-    for j in range(subvectors):
-        part = sample.select(_subvector("embedding", j, width).alias("part"))
-        book = train_centroids(part, codes, seed + j, max_iter, "part").select(
-            F.lit(j).alias("sub"), F.col("list_id").alias("code"), "center"
-        )
-        books = book if books is None else books.unionByName(book)
-    return books
+    """``(sub, code, center)``: a k-means codebook for each part of the vectors, all trained in the same passes."""
+    books = clustering.train(sample, codes, subvectors, seed, max_iter)
+    table = pa.table({
+        "sub": np.repeat(np.arange(subvectors, dtype=np.int32), codes),
+        "code": np.tile(np.arange(codes, dtype=np.int32), subvectors),
+        "center": _as_lists(books.reshape(subvectors * codes, -1), pa.float64()),
+    })
+    return sample.sparkSession.createDataFrame(table)
 
 
 def _books(codebooks: DataFrame) -> list[np.ndarray]:
@@ -299,7 +261,7 @@ def pq_encode(vectors: DataFrame, codebooks: DataFrame, centroids: DataFrame | N
     @F.arrow_udf("array<int>")
     def encode(column: pa.Array) -> pa.Array:
         rows = matrix(column).reshape(len(column), len(books) * width)
-        codes = [_closest(rows[:, j * width : (j + 1) * width], book, 1) for j, book in enumerate(books)]
+        codes = [clustering.nearest_centers(rows[:, j * width : (j + 1) * width], book)[0] for j, book in enumerate(books)]
         return _as_lists(np.concatenate(codes, axis=1).astype(np.int32), pa.int32())
 
     source = vectors if centroids is None else _residuals(vectors, centroids)
@@ -330,15 +292,12 @@ def pq_rotation(sample: DataFrame, subvectors: int = SUBVECTORS) -> np.ndarray:
     the subvector with the smallest product of variances so far. The covariance is a distributed
     aggregate; only a matrix of dimension by dimension reaches the driver.
     """
-    sample = settle(
-        sample.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features")), "rotation"
-    )
-    dim = len(sample.first()["features"])
+    spread = clustering.scatter(sample)
+    dim = len(spread)
     if dim % subvectors:
         raise ValueError(f"{subvectors} subvectors do not divide {dim} numbers")
-    model = PCA(k=dim, inputCol="features", outputCol="axes").fit(sample)
-    axes = model.pc.toArray()
-    share = np.maximum(model.explainedVariance.toArray(), 1e-12)
+    share, axes = np.linalg.eigh(spread)
+    share = np.maximum(share / max(share.sum(), 1e-300), 1e-12)
     parts: list[list[int]] = [[] for _ in range(subvectors)]
     weight = np.zeros(subvectors)
     for axis in np.argsort(-share, kind="stable"):
@@ -354,7 +313,10 @@ def rotate(vectors: DataFrame, rotation: np.ndarray) -> DataFrame:
 
     @F.arrow_udf("array<double>")
     def turn(column: pa.Array) -> pa.Array:
-        return _as_lists(matrix(column).reshape(len(column), len(rotation)) @ rotation, pa.float64())
+        rows = matrix(column).reshape(len(column), len(rotation))
+        # Whole blocks, so that a product is made in the same steps whatever the number of rows around it.
+        padded = np.concatenate([rows, np.zeros((-len(rows) % ROTATED_ROWS, len(rotation)))])
+        return _as_lists((padded @ rotation)[: len(rows)], pa.float64())
 
     return vectors.withColumn("embedding", turn(F.col("embedding")))
 

@@ -11,7 +11,8 @@ from sievra.plans import evaluation, search
 from sievra.registry import fragments as S
 from sievra.registry import inputs as I
 from sievra.registry.text_ops import _PROMPT
-from sievra.session import settle
+from sievra.session import scratch_path, settle
+from sievra.sources import tables
 
 PREFIX = "Th"
 
@@ -21,6 +22,14 @@ def _questions(spark, sf):
     return settle(picked, "questions")
 
 
+def _questions_in_file_order(spark, sf):
+    """Questions as a run takes them: the first lines of JSON files that start with the prefix, in the order of the files."""
+    path = scratch_path(spark, "question-lines")
+    lines = I.all_questions(spark, sf).repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn")
+    lines.select(F.col("question").alias("question_text"), F.col("url").alias("document_url")).write.json(path)
+    return R.select_questions(tables.read_questions(spark, path), PREFIX)
+
+
 def _retrieved(spark, sf, questions):
     return search.retrieve_docs(questions, I.chunk_vectors(spark, sf), dim=I.DIM)
 
@@ -142,6 +151,10 @@ REGISTRY = {
         lambda spark, sf: _questions(spark, sf).select("question_id", "question", "url"),
         f"WITH {_QUESTIONS} SELECT question_id, question, url FROM questions",
     ),
+    "e01_questions_in_file_order": (
+        _questions_in_file_order,
+        f"WITH {_QUESTIONS} SELECT question_id, question, url FROM questions",
+    ),
     "e02_retrieve_docs": (
         lambda spark, sf: _retrieved(spark, sf, _questions(spark, sf)),
         f"WITH {_HITS} SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM dochits",

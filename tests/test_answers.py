@@ -7,6 +7,7 @@ from sievra.operators import hits as H
 from sievra.operators import labels as B
 from sievra.plans import answer_runs as R
 from sievra.plans import evaluation
+from sievra.sources import tables
 
 
 @pytest.fixture(scope="module")
@@ -65,6 +66,20 @@ def test_questions(spark, tmp_path):
     assert first.count() == again.count() == 2
 
 
+@pytest.mark.parametrize("n", [10, 1_000, 25_000])
+def test_questions_in_file_order(spark, tmp_path, n):
+    """The default order: files by name, lines as they stand, over more lines than a sample holds."""
+    path = str(tmp_path / "lines")
+    lines = spark.range(0, 120_000, 1, 6).select(
+        F.concat(F.when(F.col("id") % 4 == 0, F.lit("who")).otherwise(F.lit("what")), F.lit(" "), F.col("id")).alias("question_text"),
+        F.when(F.col("id") % 9 != 0, F.concat(F.lit("u"), F.col("id"))).alias("document_url"),
+    )
+    lines.write.json(path)
+    got = R.select_questions(tables.read_questions(spark, path), n=n).orderBy("question_id").collect()
+    want = [i for i in range(120_000) if i % 4][:n]
+    assert [(r.question_id, r.question, r.url) for r in got] == [(k, f"what {i}", f"u{i}" if i % 9 else None) for k, i in enumerate(want)]
+
+
 def test_evidence_in_rank_order(spark, pages):
     hits = spark.createDataFrame([(1, 2, 10), (1, 1, 20), (1, 3, 99), (2, 1, 30)], "query_id INT, rank INT, doc_id INT")
     id_url = spark.createDataFrame([(10, URL + "A"), (20, URL + "B"), (30, URL + "C")], "doc_id INT, url STRING")

@@ -40,6 +40,23 @@ def test_first_rows_do_not_pile_up_with_partitions(spark):
         assert ids(P.head_sample(df, n, "i")) == expected[:n]
 
 
+def test_first_rows_by_struct_keys_with_nulls_and_equal_keys(spark, monkeypatch):
+    """Keys that are structs, with nulls in them, and a key that a third of the rows share."""
+    df = spark.range(0, 60_000, 1, 30).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 50 != 1, F.concat(F.lit("f"), F.col("id") % 700)).alias("file"),
+        ((F.col("id") * 7919) % 60_013).alias("i"),
+    ).select(F.struct("file", F.struct("i")).alias("position"), "i")
+    rows = sorted(df.collect(), key=lambda r: (r.position.file is not None, r.position.file or "", r.i))
+    monkeypatch.setattr(P, "SAMPLED_KEYS", 2_000)
+    for n in (0, 1, 10, 1_000, 25_000, 59_999):
+        first = [r.i for r in P.first_n(df, n, "position").collect()]
+        assert first == [r.i for r in rows[:n]]
+        near = P._roughly_first(df, n, [F.col("position")]) if n else df
+        assert not n or n <= near.count() <= n + P.BEYOND
+    same = df.select(F.col("position.file").alias("file"))
+    assert P._roughly_first(same, 21_000, [F.col("file")]).count() >= 21_000
+
+
 def test_random_sample_is_exact_and_repeatable(spark):
     df = spark.range(3000).select(F.col("id").alias("i"), (F.col("id") % 2).alias("part")).repartition(7)
     digest = lambda i, part, seed: hashlib.md5(f"{i}|{part}|{seed}".encode()).hexdigest()
