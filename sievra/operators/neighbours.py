@@ -2,7 +2,7 @@
 
 Few queries travel to every task and the vectors stay where they are. Many queries are cut in blocks,
 and so are the vectors; a group is one block of each, so that no group outgrows a task. In both ways a
-task hands back at most ``k`` rows per query and batch, never all pairs; Spark ranks the rest.
+task keeps the best of all it has seen and hands back at most ``k`` rows per query, once; Spark ranks the rest.
 """
 
 from __future__ import annotations
@@ -144,7 +144,7 @@ def _scan(
     decode: Decode,
 ):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bound = np.full(len(query_matrix), np.inf)
+        best = RunningBest(len(query_matrix), k, ids)
         for batch in batches:
             table = pa.Table.from_batches([batch])
             if table.num_rows == 0:
@@ -153,14 +153,55 @@ def _scan(
             rows = _unit(rows) if metric == "cosine" else rows
             ranks = _ranks(table, ids)
             for wanted, subset in _by_list(table, probes, len(query_matrix)):
-                limit = bound[wanted]
+                limit = best.bound[wanted]
                 q, r, cost = _nearest(query_matrix[wanted], rows[subset], ranks[subset], k, metric, limit)
-                bound[wanted] = limit
-                yield _hits(query_ids, wanted[q], table, subset[r], ids, _score(cost, metric))
+                best.add(wanted[q], table, subset[r], cost)
+        yield from best.hits(query_ids, metric)
 
     return search
 
 
+class RunningBest:
+    """The best ``k`` rows of each query over all batches of a task: lower costs first, then lower ids.
+
+    ``bound``: the cost of a query's ``k``-th best so far, infinite while it has fewer.
+    """
+
+    # Rows that may wait until the next sort, besides the best.
+    WAITING = 1 << 18
+
+    def __init__(self, queries: int, k: int, ids: list[str]):
+        self.k, self.ids = k, ids
+        self.bound = np.full(queries, np.inf)
+        self.kept: pa.Table | None = None
+        self.new: list[pa.Table] = []
+
+    def add(self, q: np.ndarray, table: pa.Table, r: np.ndarray, cost: np.ndarray) -> None:
+        if len(q):
+            named = {"__q": pa.array(q), "__cost": pa.array(cost)} | {c: table[c].take(pa.array(r)) for c in self.ids}
+            self.new.append(pa.table(named))
+            if sum(t.num_rows for t in self.new) > self.WAITING:
+                self._sort()
+
+    def _sort(self) -> None:
+        if not self.new:
+            return
+        rows = pa.concat_tables([*([self.kept] if self.kept is not None else []), *self.new])
+        rows = rows.sort_by([(c, "ascending") for c in ("__q", "__cost", *self.ids)])
+        q = rows["__q"].to_numpy()
+        place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
+        self.kept, self.new = rows.filter(pa.array(place < self.k)), []
+        last = place == self.k - 1
+        self.bound[q[last]] = np.minimum(self.bound[q[last]], rows["__cost"].to_numpy()[last])
+
+    def hits(self, query_ids: pa.Array, metric: str) -> Iterator[pa.RecordBatch]:
+        """``(query_id, *ids, score)``, at most ``k`` rows a query."""
+        self._sort()
+        if self.kept is not None:
+            q, cost = self.kept["__q"].to_numpy(), self.kept["__cost"].to_numpy()
+            yield _hits(query_ids, q, self.kept, np.arange(len(q)), self.ids, _score(cost, metric))
+
+
 def _by_list(table: pa.Table, probes: dict[int, np.ndarray] | None, n_queries: int):
     """(query numbers, row numbers) that are to be compared."""
     if probes is None:

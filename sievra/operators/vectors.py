@@ -14,6 +14,7 @@ from sievra.functions.text import query_terms
 from sievra.functions.vector import MAX_LISTS, choose_nlist
 from sievra.operators import clustering
 from sievra.operators.chunks import CHUNK_OVERLAP, CHUNK_WORDS, chunk_words
+from sievra.operators.code_search import SHARE, search_codes
 from sievra.operators.lexical import top_k
 from sievra.operators.neighbours import MAX_QUERY_NUMBERS, TOP_K, embedding_matrix, knn_exact, matrix, nearest, pair_scores
 from sievra.operators.sampling import TRAIN_VECTORS_PER_LIST, random_sample
@@ -328,8 +329,8 @@ def rotate(vectors: DataFrame, rotation: np.ndarray) -> DataFrame:
 class VectorIndex:
     """Inverted lists of vectors or codes.
 
-    ``centroids(list_id, center)``; ``lists(list_id, *ids, embedding)`` or ``(list_id, *ids, codes)``;
-    ``codebooks(sub, code, center)`` with codes; ``rotation`` if vectors were rotated first.
+    ``centroids(list_id, center)``; ``lists(list_id, *ids, embedding)``, ``(list_id, *ids, codes)`` or both, the vectors as
+    they were given; ``codebooks(sub, code, center)`` with codes; ``rotation`` if vectors were rotated first.
     """
 
     centroids: DataFrame
@@ -359,10 +360,11 @@ def build_vector_index(
     nprobe: int = NPROBE,
     seed: int = 0,
     max_iter: int = 10,
+    keep_vectors: bool = False,
 ) -> VectorIndex:
     """Train on a sample, then place (and encode) every vector in its list.
 
-    ``subvectors=None`` stores the vectors themselves. The rotation applies to training, stored and
+    ``subvectors=None`` stores the vectors themselves, ``keep_vectors`` stores them beside their codes. The rotation applies to training, stored and
     query vectors alike. Assigning and encoding are map-only.
     """
     if metric == "cosine":
@@ -372,35 +374,42 @@ def build_vector_index(
     rotation = None
     if subvectors is not None and rotated:
         rotation = pq_rotation(sample, subvectors)
-        sample, vectors = rotate(sample, rotation), rotate(vectors, rotation)
+        sample = rotate(sample, rotation)
     centroids = train_centroids(sample, nlist, seed, max_iter)
     dim = len(centroids.first()["center"])
-    lists = assign_lists(vectors.select(*ids, "embedding"), centroids)
+    lists = vectors.select(*ids, "embedding", F.col("embedding").alias("__given"))
+    lists = assign_lists(lists if rotation is None else rotate(lists, rotation), centroids)
     if subvectors is None:
-        return VectorIndex(centroids, lists, ids, dim, metric, nprobe)
+        return VectorIndex(centroids, lists.drop("__given"), ids, dim, metric, nprobe)
     base = centroids if residual else None
     training = _residuals(assign_lists(sample, centroids), centroids) if residual else sample
     codebooks = pq_train(training, subvectors, codes, seed, max_iter)
-    coded = pq_encode(lists, codebooks, base).select("list_id", *ids, "codes")
+    given = [F.col("__given").alias("embedding")] if keep_vectors else []
+    coded = pq_encode(lists, codebooks, base).select("list_id", *ids, "codes", *given)
     return VectorIndex(centroids, coded, ids, dim, metric, nprobe, codebooks, rotation, residual)
 
 
 def ivf_search(
     queries: DataFrame, idx: VectorIndex, k: int = TOP_K, nprobe: int | None = None,
-    vectors: DataFrame | None = None, candidates: int = CANDIDATES,
+    vectors: DataFrame | None = None, candidates: int = CANDIDATES, share: float = SHARE,
 ) -> DataFrame:
     """``(query_id, rank, *ids, score)`` from the ``nprobe`` lists nearest to each query.
 
-    Only those lists are read. With codes, scores are distances to the decoded vectors; with ``vectors(*ids,
+    Only those lists are read. An index that has vectors beside its codes is searched by code tables: the best ``share`` of
+    a batch by the codes are ranked by their exact distances where they are read (:mod:`sievra.operators.code_search`).
+    With codes alone, scores are distances to the decoded vectors; with ``vectors(*ids,
     embedding)``, the vectors the index was built of, the ``candidates`` best by the codes are ranked again by their
     exact distances. A query whose lists hold fewer than ``k`` vectors has fewer rows.
     """
-    asked = queries.select("query_id", "embedding")
+    asked = queries.select("query_id", "embedding", F.col("embedding").alias("__asked"))
     if idx.rotation is not None:
         asked = rotate(asked, idx.rotation)
     asked = probe_lists(asked, idx.centroids, nprobe or idx.nprobe)
     if idx.codebooks is None:
         return nearest(asked, idx.lists, list(idx.ids), k, idx.metric, embedding_matrix)
+    if "embedding" in idx.lists.columns and idx.metric == "l2":
+        turned = asked.select("query_id", F.col("__asked").alias("embedding"), F.col("embedding").alias("turned"), "lists")
+        return search_codes(turned, idx.lists, list(idx.ids), k, np.stack(_books(idx.codebooks)), *_center_matrix(idx.centroids), idx.residual, share)
     decode = _decoder(idx.codebooks, idx.centroids if idx.residual else None)
     if vectors is None:
         return nearest(asked, idx.lists, list(idx.ids), k, idx.metric, decode, "codes")

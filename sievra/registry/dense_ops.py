@@ -232,6 +232,14 @@ def _trained_chunks(spark, sf):
     return _with_recall(spark, idx, vecs, V.embed_queries(I.search_queries(spark, sf)), ("doc_id", "chunk_no"))
 
 
+def _trained_hits(spark, sf):
+    """Hits of chunks in a trained, stored index with 384 numbers: code tables give candidates, whose vectors stand beside them."""
+    vecs = settle(embed_chunks(I.documents(spark, sf)), "chunk-vectors")
+    path = scratch_path(spark, "trained")
+    index_store.write_vector_index(V.build_vector_index(vecs, seed=7, keep_vectors=True), path)
+    return search.search_chunks(I.search_queries(spark, sf), index_store.read_vector_index(spark, path))
+
+
 _HITS = "query_id, rank::INTEGER AS rank, vec_id, score"
 _DENSE = S.dense_hits("queries", "item_id", "text")
 _QUERIES = "queries AS (SELECT item_id, text FROM benchmark)"
@@ -358,6 +366,8 @@ REGISTRY = {
         f"""WITH {S.chunks(256, 206)} SELECT 'IVFPQ' AS kind, 384::INTEGER AS dim, {_NLIST.format(n='count(*)')}::BIGINT AS nlist, 512::INTEGER AS nprobe,
         count(*) AS total, true AS enough_recall FROM chunks""",
     ),
+    # Approximate, so no SQL; tests hold it against exact search.
+    "e09_trained_hits": (_trained_hits, None),
     "e09_search_chunks": (
         _dense,
         f"WITH {_QUERIES},{_DENSE} SELECT query_id, rank::INTEGER AS rank, doc_id, chunk_no, score FROM hits",

@@ -103,6 +103,42 @@ def test_stored_index(spark, tmp_path):
     assert plan.count("WindowGroupLimit") == 2 and "In(term" in plan
 
 
+def test_an_index_is_rebuilt_at_its_path(spark, tmp_path):
+    """Other buckets, other rows: what was loaded before keeps its rows, what is loaded after has the new ones, whole."""
+    path = str(tmp_path / "idx")
+    many = spark.createDataFrame([(i, [f"t{i % 50}", f"t{i % 7}", "x"]) for i in range(400)], "doc_id INT, tokens ARRAY<STRING>")
+    few = many.where("doc_id < 90")
+
+    def build(docs, buckets):
+        index_store.write_lexical_index(L.build_lexical_index(docs, min_df=1, max_df=1.0, sample_size=None), path, buckets)
+        return index_store.read_lexical_index(spark, path)
+
+    first = build(many, 4)
+    wanted = spark.createDataFrame([(1, ["t3", "x"])], "query_id INT, terms ARRAY<STRING>")
+    planned = L.lexical_search(wanted, first, k=500)
+    second = build(few, 16)
+    third = build(many, 7)
+    for idx, docs in ((first, 400), (second, 90), (third, 400)):
+        by_doc = idx.postings.groupBy("doc_id").agg(F.sum(F.col("weight") ** 2).alias("norm"))
+        assert by_doc.count() == docs == idx.docs.count()
+        assert by_doc.where("abs(norm - 1) > 1e-9").count() == 0
+    assert planned.count() == 400 and L.lexical_search(wanted, second, k=500).count() == 90
+    assert [r.version for r in index_store.published_builds(spark, path).orderBy("version").collect()] == [1, 2, 3]
+    index_store.drop_old_builds(spark, path)
+    assert index_store.read_lexical_index(spark, path).postings.count() == third.postings.count()
+    assert len([f for f in (tmp_path / "idx" / "builds").iterdir() if f.is_dir()]) == 1
+
+
+def test_a_build_that_broke_off_is_not_read(spark, tmp_path):
+    path = str(tmp_path / "idx")
+    with pytest.raises(FileNotFoundError):
+        index_store.read_lexical_index(spark, path)
+    idx = L.build_lexical_index(tokens(spark), min_df=1, max_df=1.0, sample_size=None)
+    index_store.write_lexical_index(idx, path, 3)
+    idx.vocab.limit(0).write.parquet(f"{path}/builds/broken/vocab")
+    assert index_store.read_lexical_index(spark, path).vocab.count() == idx.vocab.count()
+
+
 def test_one_shuffle_from_tokens_to_scores(spark):
     idx = L.build_lexical_index(tokens(spark), min_df=1, max_df=1.0, sample_size=None)
     plan = idx.postings.groupBy("doc_id").agg(F.sum("weight"))._jdf.queryExecution().executedPlan().toString()

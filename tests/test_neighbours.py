@@ -92,3 +92,44 @@ def test_plan_ranks_in_tasks_first(spark, data):
     q, v = frames(spark, *data)
     plan = N.knn_exact(q, v, 5)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2 and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_a_task_hands_over_k_rows_a_query(spark):
+    """Fifty batches, with copies and ties across them: at most k rows a query leave, and they are the best."""
+    import pyarrow as pa
+
+    from sievra.operators import neighbours as N
+
+    rng = np.random.default_rng(3)
+    rows = np.round(rng.normal(size=(2500, 4)), 1)
+    rows[1200:1300] = rows[7]
+    asked = np.concatenate([rows[[7, 900]], rng.normal(size=(3, 4))])
+    batches = []
+    for at in range(0, 2500, 50):
+        part = [r.tolist() for r in rows[at : at + 50]]
+        names = [f"n{i % 97:02d}" for i in range(at, at + 50)]
+        batches.append(pa.RecordBatch.from_pydict({"doc_id": names, "chunk_no": list(range(at, at + 50)), "embedding": part}))
+    scan = N._scan(pa.array(range(5)), asked, None, ["doc_id", "chunk_no"], 10, "l2", N.embedding_matrix)
+    out = pa.Table.from_batches(list(scan(iter(batches))))
+    assert out.num_rows == 50
+    cost = np.round(((asked[:, None] - rows[None]) ** 2).sum(axis=2), 9)
+    for q in range(5):
+        best = sorted(range(2500), key=lambda i: (cost[q, i], f"n{i % 97:02d}", i))[:10]
+        mine = [(r["chunk_no"], r["score"]) for r in out.to_pylist() if r["query_id"] == q]
+        assert mine == [(i, cost[q, i]) for i in best]
+
+
+def test_waiting_rows_are_sorted_in_between(monkeypatch):
+    import pyarrow as pa
+
+    from sievra.operators import neighbours as N
+
+    monkeypatch.setattr(N.RunningBest, "WAITING", 20)
+    rng, best, seen = np.random.default_rng(1), N.RunningBest(2, 3, ["i"]), []
+    for at in range(0, 400, 8):
+        cost, q = np.round(rng.random(8), 1), rng.integers(0, 2, 8)
+        best.add(q, pa.table({"i": list(range(at, at + 8))}), np.arange(8), cost)
+        seen += zip(q.tolist(), cost.tolist(), range(at, at + 8))
+    found = pa.Table.from_batches(list(best.hits(pa.array(["a", "b"]), "l2"))).to_pylist()
+    want = [("ab"[k], i, c) for k in (0, 1) for c, i in sorted((c, i) for q, c, i in seen if q == k)[:3]]
+    assert [(r["query_id"], r["i"], r["score"]) for r in found] == want
