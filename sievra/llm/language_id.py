@@ -25,11 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from sievra.llm.links import unused
 from sievra.llm.words import give_back, text_buffers
 from sievra.session import settle
 
 ORDER = 4
 TRAIN_ROWS = 1000
+# The limit of the filter: share above what held-out texts cost, bits that any text may cost besides, bytes from which a
+# text counts for the limit, and how many such texts it takes.
+MARGIN, START_BITS, LONG, FEWEST = 1.25, 32, 64, 100
 MIN_COUNT = 3
 _PIECE = 1 << 18
 
@@ -305,10 +309,11 @@ def identify(
             yield pa.RecordBatch.from_arrays(columns, fields)
         give_back()
 
+    flag = unused(docs, "has_letter")
     letter: Column = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     added = [StructField(n, kind) for n, kind in zip(names, (StringType(), DoubleType(), DoubleType()))]
     schema = StructType([*docs.schema.fields, *added])
-    return docs.withColumn("__has_letter", letter).mapInArrow(run, schema)
+    return docs.withColumn(flag, letter).mapInArrow(run, schema)
 
 
 def held_out(id_col: str, folds: int, fold: int) -> Column:
@@ -323,15 +328,37 @@ def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return identify(rows, tree, text_col).select(id_col, "held_out", "lang_pred", "score", "bits_per_byte")
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.0, max_bits: float = 8.0) -> DataFrame:
-    """``docs`` without texts of no learned language: no letter, or a code that is longer than writing the bytes down.
+def usual_bits(docs: DataFrame, tree: ContextTree, text_col: str = "text", lang_col: str = "lang") -> float | None:
+    """Bits per byte that 99 of 100 texts of ``docs`` with a language stay below; None if there are too few to tell.
 
-    A short text may fit several languages alike; ``min_score`` above 0 lets such texts go, too. All columns as they were.
+    All of them are scored; texts under ``LONG`` bytes are left out, for they pay mostly for their beginning.
     """
-    tree = train(docs.where(~held_out(id_col, 4, 2)), text_col, lang_col)
+    texts = docs.where(F.col(lang_col).isNotNull() & (F.octet_length(text_col) >= LONG)).select(text_col)
+    names = tuple(unused(texts, n) for n in ("lang_pred", "score", "bits_per_byte"))
+    found = identify(texts, tree, text_col, names).where(F.col(names[0]) != "und")
+    row = found.agg(F.count("*").alias("n"), F.percentile_approx(names[2], 0.99, 1000).alias("bits")).first()
+    return row["bits"] if row["n"] >= FEWEST else None
+
+
+def keep_identified(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.0, max_bits: float | None = None
+) -> DataFrame:
+    """``docs`` without texts of no learned language: no letter, or a code that is longer than theirs. All columns as they were.
+
+    A text goes if its bits per byte exceed ``max_bits`` and ``START_BITS`` spread over its bytes. By default ``max_bits`` is
+    ``MARGIN`` times what 99 of 100 held-out texts of the learned languages stay below (:func:`usual_bits`), or 8, which
+    is writing the bytes down, where fewer than ``FEWEST`` are held out. A short text may fit several languages alike;
+    ``min_score`` above 0 lets such texts go, too.
+    """
+    held = held_out(id_col, 4, 2)
+    tree = train(docs.where(~held), text_col, lang_col)
     if tree is None:
         return docs
-    names = ("__lang", "__score", "__bits")
+    if max_bits is None:
+        usual = usual_bits(docs.where(held), tree, text_col, lang_col)
+        max_bits = 8.0 if usual is None else MARGIN * usual
+    names = tuple(unused(docs, n) for n in ("lang_pred", "score", "bits_per_byte"))
     found = identify(docs, tree, text_col, names)
-    kept = (F.col("__lang") != "und") & (F.col("__score") >= min_score) & (F.col("__bits") <= max_bits)
-    return found.where(kept).select(*docs.columns)
+    lang, score, bits = (F.col(n) for n in names)
+    most = max_bits + START_BITS / F.octet_length(text_col)
+    return found.where((lang != "und") & (score >= min_score) & (bits <= most)).select(*docs.columns)

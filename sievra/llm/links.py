@@ -201,6 +201,19 @@ def _stray_links(met: DataFrame, links: DataFrame, sets: DataFrame, compare, blo
     return settle(both.groupBy("pivot", "block", "turn").applyInArrow(compare, "a BIGINT, b BIGINT"), "stray-links")
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``docs`` does not have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
+def numbered_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number of its own for every row, written so that the numbers stay, and the name of that column."""
+    row = unused(docs, "row_number")
+    return settle(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
 def _directed(edges: DataFrame) -> DataFrame:
     """Each edge once, from the larger to the smaller id."""
     return edges.where(F.col("a") != F.col("b")).select(

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sievra.llm.links import PIECE_BYTES, components, meeting_points, row_sets, set_key, sets_by_scan, verified_links
+from sievra.llm.links import PIECE_BYTES, components, meeting_points, numbered_rows, row_sets, set_key, sets_by_scan, verified_links
 from sievra.llm.words import give_back, mix, pieces_of, text_buffers
 from sievra.session import broadcast_if_fits, settle
 
@@ -112,6 +112,16 @@ def near_duplicates(
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without those whose near-duplicate of a smaller id is kept; all columns as they were."""
-    gone = near_duplicates(docs, id_col, text_col, k, percent).where("NOT kept").select(id_col).distinct()
-    return docs.join(broadcast_if_fits(settle(gone, "gone")), id_col, "left_anti")
+    """One row of ``docs`` per group of near-duplicates, all columns as they were.
+
+    Rows count each for themselves, whatever their ids. Of a group the row of the smallest id stays, one without id only if
+    all are, and of rows that share that id any one. Rows without a shingle are in no group and stay.
+    """
+    rows, row = numbered_rows(docs)
+    found = settle(near_duplicates(rows, row, text_col, k, percent).select(row, F.col("component_id").alias("__group")), "groups-of-rows")
+    groups = found.groupBy("__group").agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    found = settle(found.join(groups, "__group"), "rows-in-groups")
+    named = rows.select(row, F.col(id_col).alias("__id")).join(broadcast_if_fits(found), row)
+    first = named.groupBy("__group").agg(F.min(F.struct(F.col("__id").isNull(), "__id", row))[row].alias(row))
+    gone = found.select(row).join(broadcast_if_fits(settle(first.select(row), "first-rows")), row, "left_anti")
+    return rows.join(broadcast_if_fits(settle(gone, "gone")), row, "left_anti").select(*docs.columns)

@@ -56,7 +56,8 @@ def test_leaks_go_and_clean_documents_stay(spark):
     kept = D.without_leaks(docs, items)
     assert kept.schema == docs.schema
     gone = {r.doc_id for r in docs.collect()} - {r.doc_id for r in kept.collect()}
-    assert gone == {1, 2, 20} and kept.where("doc_id IS NULL").count() == 2
+    # One of the two rows without id holds the item, and goes like any other.
+    assert gone == {1, 2, 20} and kept.where("doc_id IS NULL").count() == 1
 
 
 def test_a_sketch_is_longer_than_what_may_be_lacking():

@@ -100,7 +100,8 @@ def test_keep_one_of_each_keeps_columns_and_clean_rows(spark):
     df = messy(spark)
     kept = near_dedup.keep_one_of_each(df)
     assert kept.schema == df.schema
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 4, 5, 6, 6, 7, 8]
+    # Of the two equal rows of id 6 one stays.
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 4, 5, 6, 7, 8]
 
 
 def test_similar_documents_by_bands_of_minhash(spark):

@@ -60,7 +60,8 @@ def test_stages_keep_columns_and_do_their_work(spark, small):
     before, after = ids["near_dedup"]
     texts = [(r.doc_id, r.text) for r in seen["near_dedup"][0] if r.doc_id is not None]
     parts, _ = groups(dict(texts).items(), 5, 80)
-    assert after == [i for i in before if parts[i] == i] and 51 not in after and 50 in after
+    # Of the two equal rows of id 6 one stays.
+    assert after == sorted({i for i in before if parts[i] == i}) and 51 not in after and 50 in after
     assert set(ids["decontamination"][0]) - set(ids["decontamination"][1]) == {52}
     assert ids["pii"][0] == ids["pii"][1]
     changed = [(a, b) for a, b in zip(*(sorted(rows, key=repr) for rows in seen["pii"])) if a != b]
