@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from sievra.operators.analysis import analyze_queries
 from sievra.operators.sampling import assign_positions, head_sample
-from sievra.session import MAX_BROADCAST_ROWS, fits, settle, unnest
+from sievra.session import MAX_BROADCAST_ROWS, broadcast_if_fits, fits, settle, unnest
 
 # Vocabulary limits and sample size by default, and top-k.
 MIN_DF = 5
@@ -25,7 +25,7 @@ SCORE_DIGITS = 9
 # at most ``d`` to all frequencies) and are sent to the tasks where the vocabulary as a whole is not.
 HOT_SHARE = 0.001
 
-# Rows of the weights of a batch of questions that one salt of the join beyond a broadcast takes.
+# Postings of a frequent term that one salt of the join beyond a broadcast takes.
 ROWS_PER_SALT = 1_000_000
 
 # As many terms as Parquet's filters compare one by one (spark.sql.parquet.pushdown.inFilterThreshold).
@@ -136,7 +136,7 @@ def raw_weights(tf: DataFrame, vocab: DataFrame, max_features: int | None = MAX_
         known = tf.join(F.broadcast(words), "term")
     else:
         hot_df = vocab.agg(F.max("df") * HOT_SHARE).scalar()
-        hot = F.broadcast(vocab.where(F.col("df") > hot_df).select("term", "idf"))
+        hot = broadcast_if_fits(vocab.where(F.col("df") > hot_df).select("term", "idf"))
         rare = vocab.where(F.col("df") <= hot_df).select("term", "idf")
         known = tf.join(hot, "term").unionByName(tf.join(hot, "term", "left_anti").join(rare, "term"))
     return known.select("doc_id", "term", "tf", (F.col("tf") * F.col("idf")).alias("raw"))
@@ -215,20 +215,27 @@ def top_k(scored: DataFrame, k: int | None, score_col: str = "score", descending
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _match(weights: DataFrame, postings: DataFrame) -> DataFrame:
+def match_terms(weights: DataFrame, rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``rows(term, key, ...)`` joined by term with the weights of a batch of questions, a written table.
+
+    Weights that do not fit in a broadcast are joined by term. A term with more than ``ROWS_PER_SALT`` rows is heavy: it gets a
+    salt for each so many, its rows are dealt to them by their key, and its weights are copied to each. All other terms
+    have one salt and no copies, and the heavy ones are few: at most one in ``ROWS_PER_SALT`` of all rows.
+    """
     size = weights.agg(F.count("*").alias("rows"), F.countDistinct("term").alias("terms")).first()
     if size["terms"] <= PUSHED_TERMS:
         # A short question: the scan of a stored index can skip what does not hold these terms.
         few = weights.select("term").distinct().toArrow()["term"].to_pylist()
-        postings = postings.where(F.col("term").isin(few))
+        rows = rows.where(F.col("term").isin(few))
     if size["rows"] <= MAX_BROADCAST_ROWS:
-        return postings.join(F.broadcast(weights), "term")
-    # Too many query terms to broadcast. A frequent term has postings in a large share of the
-    # documents, so both sides are spread over salts of the document id.
-    salts = 64 + size["rows"] // ROWS_PER_SALT
-    spread = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    keyed = postings.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    return keyed.join(spread, ["term", "salt"])
+        return rows.join(F.broadcast(weights), "term")
+    salts = F.ceil(F.count("*") / F.lit(ROWS_PER_SALT)).alias("salts")
+    heavy = settle(rows.groupBy("term").agg(salts).where(F.col("salts") > 1), "heavy-terms")
+    heavy = broadcast_if_fits(heavy, MAX_BROADCAST_ROWS)
+    n = F.coalesce("salts", F.lit(1).cast("bigint"))
+    dealt = rows.join(heavy, "term", "left").withColumn("salt", F.pmod(F.xxhash64(key), n)).drop("salts")
+    copies = weights.join(heavy, "term", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)))
+    return dealt.join(copies.drop("salts"), ["term", "salt"]).drop("salt")
 
 
 def lexical_search(
@@ -245,7 +252,7 @@ def lexical_search(
     """
     weights = settle(query_weights(queries, idx.vocab, max_features), "query-weights")
     scored = (
-        _match(weights, idx.postings)
+        match_terms(weights, idx.postings)
         .groupBy("query_id", "doc_id")
         .agg(F.sum(F.col("query_weight") * F.col("weight")).alias("score"))
         .where(F.col("score") > 0)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sievra.operators.analysis import analyze_queries
+from sievra.operators.block_search import block_search, build_block_index
 from sievra.operators import lexical as L
 from sievra.operators import vectors as V
 from sievra.plans import answer_runs as R
@@ -84,6 +86,25 @@ def _stored_search(spark, sf):
     return L.search_text(I.search_queries(spark, sf), _lexical(spark, sf))
 
 
+def _blocks(spark, sf):
+    path = scratch_path(spark, "term-blocks")
+    index_store.write_block_index(build_block_index(I.lexical_index(spark, sf)), path)
+    return index_store.read_block_index(spark, path)
+
+
+def _stored_blocks(spark, sf):
+    """What each term has in all blocks; no document is in two blocks."""
+    blocks = _blocks(spark, sf).blocks
+    return blocks.groupBy("term").agg(
+        F.sum(F.size("entries")).alias("docs"), F.round(F.max("most"), 6).alias("most")
+    )
+
+
+def _block_search(spark, sf):
+    asked = analyze_queries(I.search_queries(spark, sf))
+    return block_search(asked, _blocks(spark, sf))
+
+
 def _vector(spark, sf, index):
     path = scratch_path(spark, "vectors")
     index_store.write_vector_index(index(spark, sf), path)
@@ -154,6 +175,14 @@ REGISTRY = {
         _stored_search,
         f"WITH {S.lexical_hits()} SELECT {_HITS.format(id='doc_id')} FROM hits",
     ),
+    "s09_write_block_index": (
+        _stored_blocks,
+        f"WITH {S.lexical()} SELECT term, count(*) AS docs, round(max(weight), 6) AS most FROM postings GROUP BY term",
+    ),
+    "s10_search_block_index": (
+        _block_search,
+        f"WITH {S.lexical_hits()} SELECT {_HITS.format(id='doc_id')} FROM hits",
+    ),
     "s11_write_vector_index": (_stored_lists, f"WITH {S.CODES} SELECT vec_id, list_id, codes FROM codes"),
     "s12_read_vector_index": (
         _stored_ivf,
