@@ -377,16 +377,27 @@ def build_vector_index(
         sample = rotate(sample, rotation)
     centroids = train_centroids(sample, nlist, seed, max_iter)
     dim = len(centroids.first()["center"])
-    lists = vectors.select(*ids, "embedding", F.col("embedding").alias("__given"))
-    lists = assign_lists(lists if rotation is None else rotate(lists, rotation), centroids)
     if subvectors is None:
-        return VectorIndex(centroids, lists.drop("__given"), ids, dim, metric, nprobe)
-    base = centroids if residual else None
-    training = _residuals(assign_lists(sample, centroids), centroids) if residual else sample
-    codebooks = pq_train(training, subvectors, codes, seed, max_iter)
+        codebooks = None
+    else:
+        training = _residuals(assign_lists(sample, centroids), centroids) if residual else sample
+        codebooks = pq_train(training, subvectors, codes, seed, max_iter)
+    coded = codebooks is not None
+    lists = place_vectors(vectors, ids, centroids, codebooks, rotation, residual, keep_vectors)
+    return VectorIndex(centroids, lists, ids, dim, metric, nprobe, codebooks, rotation, residual and coded)
+
+
+def place_vectors(
+    vectors: DataFrame, ids: tuple[str, ...], centroids: DataFrame, codebooks: DataFrame | None, rotation: np.ndarray | None,
+    residual: bool, keep_vectors: bool = False,
+) -> DataFrame:
+    """The rows of :attr:`VectorIndex.lists` for ``vectors(*ids, embedding)`` under a trained quantiser; map-only."""
+    rows = vectors.select(*ids, "embedding", F.col("embedding").alias("__given"))
+    rows = assign_lists(rows if rotation is None else rotate(rows, rotation), centroids)
+    if codebooks is None:
+        return rows.drop("__given")
     given = [F.col("__given").alias("embedding")] if keep_vectors else []
-    coded = pq_encode(lists, codebooks, base).select("list_id", *ids, "codes", *given)
-    return VectorIndex(centroids, coded, ids, dim, metric, nprobe, codebooks, rotation, residual)
+    return pq_encode(rows, codebooks, centroids if residual else None).select("list_id", *ids, "codes", *given)
 
 
 def ivf_search(

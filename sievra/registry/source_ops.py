@@ -111,6 +111,26 @@ def _vector(spark, sf, index):
     return index_store.read_vector_index(spark, path)
 
 
+def _in_batches(spark, sf):
+    """Trained on a third of the vectors; the other two thirds are added to what is stored, one after the other."""
+    path = scratch_path(spark, "batches")
+    vecs = I.vectors(spark, sf).select("vec_id", "embedding")
+    first, *others = [vecs.where(F.col("vec_id") % 3 == i) for i in range(3)]
+    index_store.write_vector_index(V.build_vector_index(first, ("vec_id",), subvectors=None, nprobe=V.MAX_LISTS, seed=7), path)
+    for batch in others:
+        index_store.add_vectors(batch, path)
+    return path
+
+
+def _grown_search(spark, sf):
+    """All lists of an index of three batches: the hits of exact search."""
+    return V.ivf_search(I.vector_queries(spark, sf), index_store.read_vector_index(spark, _in_batches(spark, sf)))
+
+
+def _grown_positions(spark, sf):
+    return index_store.read_id_map(spark, _in_batches(spark, sf)).select("vec_id", "pos", "bucket")
+
+
 def _stored_lists(spark, sf):
     return _vector(spark, sf, I.code_index).lists.select(
         "vec_id", "list_id", F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes")
@@ -184,6 +204,15 @@ REGISTRY = {
         f"WITH {S.lexical_hits()} SELECT {_HITS.format(id='doc_id')} FROM hits",
     ),
     "s11_write_vector_index": (_stored_lists, f"WITH {S.CODES} SELECT vec_id, list_id, codes FROM codes"),
+    "s11_positions_after_batches": (
+        _grown_positions,
+        """WITH r AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id % 3, vec_id) - 1 AS pos FROM embeddings)
+        SELECT vec_id, pos, (pos // 1000000)::INTEGER AS bucket FROM r""",
+    ),
+    "v08_search_after_batches": (
+        _grown_search,
+        f"WITH {S.knn(S.l2('q.e', 'v.e'), 'ASC')} SELECT {_HITS.format(id='vec_id')} FROM hits",
+    ),
     "s12_read_vector_index": (
         _stored_ivf,
         f"WITH {S.CODES},{S.ivf('codes', 'decoded')} SELECT {_HITS.format(id='vec_id')} FROM hits",
