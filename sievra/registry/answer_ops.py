@@ -83,11 +83,11 @@ def _paired(spark, sf):
 
 
 def _evaluated(spark, sf):
-    return _rounded(evaluation.evaluate(I.dialogue_runs(spark, sf), I.overlap_scores), *B.METRICS)
+    return _rounded(evaluation.evaluate(I.dialogue_runs(spark, sf), expression=I.overlap_scores), *B.METRICS)
 
 
 def _evaluated_side(spark, sf):
-    side = evaluation.evaluate_and_compare(I.dialogue_runs(spark, sf), I.overlap_scores)
+    side = evaluation.evaluate_and_compare(I.dialogue_runs(spark, sf), expression=I.overlap_scores)
     return _rounded(side, *[c for c in side.columns if c != "model"])
 
 

@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import re
 
-import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sievra.operators.analysis import clean_documents
 from sievra.operators.lexical import LexicalIndex, build_lexical_index
 from sievra.operators.vectors import VectorIndex, assign_lists, embed_chunks, pq_encode
 from sievra.session import settle
-from sievra.sources.arrow_stream import local_path
 from sievra.sources.tables import spread
 
 DIM = 64  # numbers in the given embeddings, also used for hashed chunk vectors
@@ -172,35 +167,11 @@ def dialogue_runs(spark, sf) -> DataFrame:
     )
 
 
-def overlap_scores(answer_texts: list[str | None], evidence: list[str | None]) -> np.ndarray:
+def overlap_scores(answer: Column, evidence: Column) -> Column:
     """Offline stand-in for an entailment model: scores from the words both texts share."""
-    rows = []
-    for a, e in zip(answer_texts, evidence):
-        said, known = set((a or "").lower().split(" ")), set((e or "").lower().split(" "))
-        shared = len(said & known)
-        rows.append((3 * shared, len(said), len(said) - shared))
-    return np.array(rows, dtype=np.float64).reshape(len(rows), 3)
-
-
-def write_arrow_files(df: DataFrame, folder: str) -> int:
-    """Each task writes its rows as one Arrow stream file; returns the number of rows written."""
-    folder = local_path(folder)
-
-    def write(batches):
-        os.makedirs(folder, exist_ok=True)
-        n, sink, stream = 0, None, None
-        for batch in batches:
-            if stream is None:
-                sink = pa.OSFile(f"{folder}/part-{TaskContext.get().partitionId()}.arrow", "wb")
-                stream = pa.ipc.new_stream(sink, batch.schema)
-            stream.write_batch(batch)
-            n += batch.num_rows
-        if stream is not None:
-            stream.close()
-            sink.close()
-        yield pa.RecordBatch.from_pydict({"n": [n]})
-
-    return df.mapInArrow(write, "n BIGINT").agg(F.sum("n")).first()[0]
+    said, known = (F.array_distinct(F.split(F.lower(F.coalesce(c, F.lit(""))), " ")) for c in (answer, evidence))
+    shared = F.size(F.array_intersect(said, known))
+    return F.array(*[n.cast("double") for n in (3 * shared, F.size(said), F.size(said) - shared)])
 
 
 def sql_list(words) -> str:

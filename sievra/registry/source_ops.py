@@ -23,8 +23,8 @@ def _articles(spark, sf):
 
 def _arrow(spark, sf):
     folder = scratch_path(spark, "arrow")
-    I.write_arrow_files(I.documents(spark, sf), folder)
     arrow_stream.register(spark)
+    I.documents(spark, sf).write.format(arrow_stream.FORMAT_NAME).mode("append").save(f"file://{folder}" if folder.startswith("/") else folder)
     return spark.read.format(arrow_stream.FORMAT_NAME).load(folder)
 
 

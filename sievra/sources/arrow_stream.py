@@ -1,16 +1,19 @@
-"""Data source for folders of Arrow IPC stream files: ``spark.read.format("arrow_stream").load(dir)``."""
+"""Data source for folders of Arrow IPC stream files: ``spark.read.format("arrow_stream").load(dir)`` and
+``df.write.format("arrow_stream").save(dir)``, with a path or a URI of a file system that pyarrow knows."""
 
 from __future__ import annotations
 
 import os
 import re
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StructType
 
 FORMAT_NAME = "arrow_stream"
@@ -83,6 +86,64 @@ class ArrowStreamReader(DataSourceReader):
                         yield batch.select(names)
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    """The file of a task that ended well, or None if it had no rows."""
+
+    name: str | None
+
+
+class ArrowStreamWriter(DataSourceArrowWriter):
+    """One file per task, under a hidden folder of the job until all tasks have ended.
+
+    The driver then moves the files of the attempts that Spark counts, so what a failed or repeated attempt left behind
+    never gets into the folder; with ``overwrite``, files that were there before go after that. A table without rows leaves one file, its schema.
+    """
+
+    def __init__(self, path: str, schema: StructType, overwrite: bool):
+        self.path, self.schema, self.overwrite = local_path(path), schema, overwrite
+        self.job = f"_writing-{uuid.uuid4().hex}"
+
+    def _folder(self) -> tuple[pafs.FileSystem, str]:
+        return _filesystem(self.path)
+
+    def _write(self, batches: Iterator[pa.RecordBatch]) -> str | None:
+        first = next(batches, None)
+        if first is None:
+            return None
+        fs, folder = self._folder()
+        name = f"part-{uuid.uuid4().hex}{SUFFIX}"
+        fs.create_dir(f"{folder}/{self.job}", recursive=True)
+        with fs.open_output_stream(f"{folder}/{self.job}/{name}") as sink, pa.ipc.new_stream(sink, first.schema) as stream:
+            stream.write_batch(first)
+            for batch in batches:
+                stream.write_batch(batch)
+        return name
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
+        return _Written(self._write(iterator))
+
+    def commit(self, messages: list[_Written | None]) -> None:
+        names = [m.name for m in messages if m is not None and m.name is not None]
+        if not names:
+            empty = to_arrow_schema(self.schema).empty_table().to_batches() or [
+                pa.RecordBatch.from_pylist([], to_arrow_schema(self.schema))
+            ]
+            names = [self._write(iter(empty))]
+        fs, folder = self._folder()
+        old = [f.path for f in fs.get_file_info(pafs.FileSelector(folder)) if f.is_file and f.path.endswith(SUFFIX)]
+        for name in names:
+            fs.move(f"{folder}/{self.job}/{name}", f"{folder}/{name}")
+        for path in old if self.overwrite else []:
+            fs.delete_file(path)
+        fs.delete_dir(f"{folder}/{self.job}")
+
+    def abort(self, messages: list[_Written | None]) -> None:
+        fs, folder = self._folder()
+        if fs.get_file_info(f"{folder}/{self.job}").type == pafs.FileType.Directory:
+            fs.delete_dir(f"{folder}/{self.job}")
+
+
 class ArrowStreamSource(DataSource):
     """Every file of a folder whose name ends in ``.arrow``, batch by batch.
 
@@ -118,6 +179,9 @@ class ArrowStreamSource(DataSource):
     def reader(self, schema: StructType) -> ArrowStreamReader:
         return ArrowStreamReader(self._files(), schema, self.options)
 
+    def writer(self, schema: StructType, overwrite: bool) -> ArrowStreamWriter:
+        return ArrowStreamWriter(self.options["path"], schema, overwrite)
+
 
 def register(spark: SparkSession) -> None:
     """Make the format known to a session."""

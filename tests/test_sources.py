@@ -2,6 +2,7 @@ import json
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sievra.plans import search
 from sievra.operators import lexical as L
@@ -93,3 +94,24 @@ def test_search_with_titles(spark):
     queries = spark.createDataFrame([(1, "Fig?")], "query_id INT, text STRING")
     rows = search.search_with_titles(queries, idx, articles).orderBy("rank").collect()
     assert [(r.doc_id, r.title, r.score) for r in rows] == [(2, "Fig", 1.0), (1, "Not found", 0.5797)]
+
+
+def test_arrow_writer_leaves_no_rows_of_failed_tasks(spark, tmp_path):
+    """Through a URI; appended, replaced, without rows, and after a job that failed when some tasks had ended."""
+    arrow_stream.register(spark)
+    folder = f"file://{tmp_path}/out"
+    df = spark.range(1000).select("id", F.concat(F.lit("ä"), F.col("id").cast("string")).alias("t")).repartition(5)
+    save = lambda rows, mode: rows.write.format("arrow_stream").mode(mode).save(folder)
+    back = lambda: spark.read.format("arrow_stream").load(folder)
+    save(df, "append")
+    assert sorted(map(tuple, back().collect())) == sorted(map(tuple, df.collect()))
+    bad = df.withColumn("t", F.when(F.col("id") == 999, F.raise_error(F.lit("lost")).cast("string")).otherwise(F.col("t")))
+    with pytest.raises(Exception, match="lost"):
+        save(bad, "append")
+    assert back().count() == 1000 and not [f for f in (tmp_path / "out").iterdir() if f.is_dir()]
+    save(df.where("id < 10"), "append")
+    assert back().count() == 1010
+    save(df.where("id < 7"), "overwrite")
+    assert back().count() == 7
+    save(df.where("id < 0"), "overwrite")
+    assert back().count() == 0 and back().columns == ["id", "t"]
