@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sievra.functions import text as T
 from sievra.session import MAX_BROADCAST_ROWS, fits, settle, unnest
@@ -56,7 +56,7 @@ def lemma_table(
     """
     known = lexicon if lexicon is not None else forms
     forms = forms.select(F.col("term").alias("form"))
-    regular = forms.where(F.col("form").endswith("s") | F.col("form").endswith("men"))
+    regular = forms.where(_regular(F.col("form")))
     if exceptions is not None:
         regular = regular.join(exceptions.select("form").distinct(), "form", "left_anti")
 
@@ -139,38 +139,51 @@ def lemmatize(
     id_col: str = "doc_id",
     max_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
-    """Replace every token that ``lemmas(form, lemma)`` lists, keeping the order.
+    """Replace every token that ``lemmas(form, lemma)`` lists, keeping the order. ``id_col`` must be unique.
 
-    If the table is checked to be small it goes to every task, and the token arrays are rewritten
-    in Arrow batches without a shuffle. Beyond that the tokens are exploded, joined to the table
-    and put together again by document.
+    The ``max_rows`` most frequent forms, or all if the table is checked to be that small, go to every task, which rewrites the token
+    arrays in Arrow batches without a shuffle. Only tokens that may be one of the other forms are exploded and joined
+    with the table by form, and only those it lists come back to their document. A form that is left has less than one in
+    ``max_rows`` of the tokens, so none is hot.
     """
     if fits(lemmas, max_rows):
-        replace = _replace_in_tasks(lemmas.select("form", "lemma").toArrow())
-        return df.withColumn(tokens_col, replace(F.col(tokens_col)))
-    lookup = lemmas.select(F.col("form").alias("__form"), F.col("lemma").alias("__lemma"))
-    # Function words are most of the tokens and are never listed; a salt keeps frequent ones apart.
-    salts = 32
-    spread = unnest(df, F.col(tokens_col), "__pos", "__form", keep=[id_col]).withColumn(
-        "__salt", F.pmod(F.col("__pos"), F.lit(salts))
-    )
-    lookup = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = spread.join(lookup, ["__form", "__salt"], "left").select(
-        id_col,
-        F.struct("__pos", F.coalesce("__lemma", "__form").alias("t")).alias("__e"),
-    )
+        return df.withColumn(tokens_col, _replace_in_tasks(lemmas.select("form", "lemma").toArrow())(F.col(tokens_col)))
+    sent = settle(_sent_forms(df, lemmas, tokens_col, max_rows), "sent-forms")
+    rest = settle(lemmas.select("form", "lemma").join(F.broadcast(sent.select("form")), "form", "left_anti"), "other-forms")
+    tokens = unnest(df, F.col(tokens_col), "__pos", "form", keep=[id_col])
+    # Where only regular forms are left, other tokens need not be looked up.
+    if rest.where(~_regular(F.col("form"))).isEmpty():
+        tokens = tokens.where(_regular(F.col("form")))
+    tokens = tokens.join(F.broadcast(sent.select("form")), "form", "left_anti")
+    found = tokens.join(rest, "form").select(id_col, F.struct("__pos", "lemma").alias("__e"))
     # One document's tokens were one row before, so one group is no larger than one input row.
-    rebuilt = joined.groupBy(id_col).agg(
-        F.transform(F.sort_array(F.collect_list("__e")), lambda e: e["t"]).alias("__tokens")
-    )
-    return (
-        df.join(rebuilt, id_col, "left")
-        .withColumn(
-            tokens_col,
-            F.when(F.size(tokens_col) > 0, F.col("__tokens")).otherwise(F.col(tokens_col)),
-        )
-        .drop("__tokens")
-    )
+    by_place = found.groupBy(id_col).agg(F.map_from_entries(F.collect_list("__e")).alias("__lemmas"))
+    replaced = F.transform(tokens_col, lambda t, i: F.coalesce(F.try_element_at("__lemmas", i), t))
+    rewritten = df.withColumn(tokens_col, _replace_in_tasks(sent.toArrow())(F.col(tokens_col)))
+    both = rewritten.join(by_place, id_col, "left")
+    return both.withColumn(tokens_col, F.when(F.col("__lemmas").isNull(), F.col(tokens_col)).otherwise(replaced)).drop("__lemmas")
+
+
+def _regular(form: Column) -> Column:
+    """Whether a noun rule may fit: all endings of the rules end so."""
+    return form.endswith("s") | form.endswith("men")
+
+
+def _sent_forms(df: DataFrame, lemmas: DataFrame, tokens_col: str, max_rows: int) -> DataFrame:
+    """At most ``max_rows`` rows of ``lemmas(form, lemma)``: the irregular forms if they are that few, then the most
+    frequent others. Tokens are counted in the tasks; forms share few counts, so the counts tell where the cut is."""
+    irregular = lemmas.where(~_regular(F.col("form")))
+    few = irregular.count()
+    room = max_rows - few
+    if room < 0:
+        irregular, room = irregular.limit(0), max_rows
+    tokens = unnest(df, F.col(tokens_col), "form", keep=[])
+    regular = tokens.where(_regular(F.col("form"))) if few <= max_rows else tokens
+    counted = settle(regular.groupBy("form").agg(F.count("*").alias("n")).join(lemmas, "form"), "form-counts")
+    sizes = counted.groupBy("n").agg(F.count("*").alias("forms"))
+    reached = sizes.select("n", F.sum("forms").over(W.orderBy(F.desc("n"))).alias("upto"))
+    least = reached.where(F.col("upto") <= room).agg(F.min("n")).scalar()
+    return irregular.select("form", "lemma").unionByName(counted.where(F.col("n") >= least).select("form", "lemma"))
 
 
 def clean_documents(

@@ -54,6 +54,23 @@ def test_lemmatize_both_ways(spark):
         assert [tuple(r) for r in out] == expected
 
 
+def test_lemmas_beyond_the_limit(spark):
+    """Whatever the number of forms that are sent: one lemma per token, never the lemma of a lemma, irregular forms too."""
+    rng = random.Random(5)
+    table_of = {"passes": "pass", "pass": "pas", "wolves": "wolf", "firemen": "fireman", "cities": "city", "geese": "goose", "feet": "foot"}
+    words = [*table_of, "the", "was", "men", "x", "pas", "goose", "wolf", "s"]
+    rows = [(i, [rng.choice(words[: 1 + i % len(words)]) for _ in range(rng.randrange(0, 30))]) for i in range(80)] + [(99, None), (98, [])]
+    df = spark.createDataFrame(rows, "doc_id INT, tokens ARRAY<STRING>").repartition(4)
+    for kept in (list(table_of), [f for f in table_of if f[-1] == "s" or f.endswith("men")]):
+        lemmas = spark.createDataFrame([(f, table_of[f]) for f in kept], "form STRING, lemma STRING")
+        expected = {i: t and [table_of[w] if w in kept else w for w in t] for i, t in rows}
+        for max_rows in (0, 1, 3, 5, 100):
+            out = A.lemmatize(df, lemmas, max_rows=max_rows)
+            assert {r.doc_id: r.tokens for r in out.collect()} == expected and out.columns == ["doc_id", "tokens"]
+    sent = A._sent_forms(df, lemmas, "tokens", 2).collect()
+    assert 1 <= len(sent) <= 2 and "passes" in [r.form for r in sent]
+
+
 def test_analysis_keeps_columns_and_drops_before_lemmas(spark):
     df = spark.createDataFrame([(1, "The WOLVES' dens, was 7!", "u"), (2, "!!!", "v"), (3, "the of", "w")], "doc_id INT, text STRING, url STRING")
     lexicon = table(spark, {"wolf", "den", "wa"})
