@@ -64,6 +64,12 @@ def _stored_runs(spark, sf):
     return tables.read_runs(spark, path)
 
 
+def _runs_by_line(spark, sf):
+    path = scratch_path(spark, "runs")
+    tables.write_answers(_runs(spark, sf), path, one_line=True)
+    return tables.read_runs(spark, path, one_line=True)
+
+
 def _cached(spark, sf):
     path = scratch_path(spark, "cached")
     pick = dict(prefix="Th", order=("conv_id", "turn"))
@@ -182,6 +188,7 @@ REGISTRY = {
         f"WITH {S.TOKENS} SELECT doc_id, lang, source, text, array_to_string(tokens, ' ') AS tokens FROM toks",
     ),
     "s07_write_answers": (_stored_runs, f"WITH {_RUNS} SELECT question_id, answer, text, model, mode FROM runs"),
+    "s07_write_answers_by_line": (_runs_by_line, f"WITH {_RUNS} SELECT question_id, answer, text, model, mode FROM runs"),
     "s08_cached_table": (
         _cached,
         f"""WITH q AS (SELECT text AS question, {_Q} AS url, conv_id, turn FROM conversations WHERE role = 'user' AND starts_with(text, 'Th') ORDER BY conv_id, turn LIMIT 1000)

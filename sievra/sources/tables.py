@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 ARTICLE_SCHEMA = "id STRING, url STRING, title STRING, text STRING"
@@ -67,34 +67,51 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_answers(spark: SparkSession, path: str) -> DataFrame:
+def read_answers(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """``(answer, text)`` and the partition columns, if any, from CSV with a header.
 
-    Quoted fields may hold line breaks. An empty field is a missing value.
+    Quoted fields may hold line breaks, for which a file is read by one task; ``multi_line=False`` reads files without such
+    fields in splits. An empty field is a missing value.
     """
     return (
         spark.read.schema(ANSWER_SCHEMA)
         .option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("escape", '"')
         .option("enforceSchema", False)
         .csv(path)
     )
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """``(question_id, answer, text, model, mode)`` as :func:`write_answers` stored them."""
-    return (
+def _one_line(c: Column) -> Column:
+    """``c`` without line breaks; :func:`_as_written` undoes it. The percent sign goes first, so what it marks is plain."""
+    return F.replace(F.replace(F.replace(c, F.lit("%"), F.lit("%25")), F.lit("\n"), F.lit("%0A")), F.lit("\r"), F.lit("%0D"))
+
+
+def _as_written(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(c, F.lit("%0A"), F.lit("\n")), F.lit("%0D"), F.lit("\r")), F.lit("%25"), F.lit("%"))
+
+
+def read_runs(spark: SparkSession, path: str, one_line: bool = False) -> DataFrame:
+    """``(question_id, answer, text, model, mode)`` as :func:`write_answers` stored them, with the same ``one_line``."""
+    rows = (
         spark.read.schema("question_id BIGINT, answer STRING, text STRING, model STRING, mode STRING")
         .option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", not one_line)
         .option("escape", '"')
         .csv(path)
     )
+    return rows.withColumns({c: _as_written(F.col(c)) for c in ("answer", "text")}) if one_line else rows
+
 
+def write_answers(df: DataFrame, path: str, mode: str = "errorifexists", one_line: bool = False) -> None:
+    """Answers of all runs as CSV, one folder per model and mode.
 
-def write_answers(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Answers of all runs as CSV, one folder per model and mode."""
+    With ``one_line``, line breaks and percent signs of answers and texts are written as ``%0A``, ``%0D`` and ``%25``, so a
+    row is a line and long files are read in splits.
+    """
+    if one_line:
+        df = df.withColumns({c: _one_line(F.col(c)) for c in ("answer", "text")})
     df.write.mode(mode).partitionBy("model", "mode").option("header", True).option("escape", '"').csv(path)
 
 

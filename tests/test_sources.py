@@ -115,3 +115,18 @@ def test_arrow_writer_leaves_no_rows_of_failed_tasks(spark, tmp_path):
     assert back().count() == 7
     save(df.where("id < 0"), "overwrite")
     assert back().count() == 0 and back().columns == ["id", "t"]
+
+
+def test_answers_of_one_line_each_are_read_in_splits(spark, tmp_path):
+    texts = ["a\nb", "100%", "%0A", "%250A\r\n", 'say "x",\ny', "\\n", "plain", None, "%%25\n%"] * 40
+    rows = [(i, t, f"e{i}\n", "m", "with_rag") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "question_id BIGINT, answer STRING, text STRING, model STRING, mode STRING").coalesce(1)
+    tables.write_answers(df, str(tmp_path / "runs"), one_line=True)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        back = tables.read_runs(spark, str(tmp_path / "runs"), one_line=True)
+        assert back.select(F.spark_partition_id()).distinct().count() > 2
+        assert sorted((tuple(r) for r in back.collect()), key=lambda r: r[0]) == rows
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
