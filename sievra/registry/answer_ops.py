@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from sievra.operators import hits as H
 from sievra.operators import labels as B
+from sievra.operators import vectors as V
 from sievra.plans import answer_runs as R
 from sievra.plans import evaluation, search
 from sievra.registry import fragments as S
 from sievra.registry import inputs as I
 from sievra.registry.text_ops import _PROMPT
 from sievra.session import scratch_path, settle
-from sievra.sources import tables
+from sievra.sources import index_store, tables
 
 PREFIX = "Th"
 
@@ -46,6 +47,30 @@ def _run(spark, sf, mode):
     return R.build_run(questions, answers, I.page_texts(spark, sf), "m", mode, evidence)
 
 
+def _run_from(spark, sf, vecs, dim, **options):
+    """A run whose evidence comes from a vector index that is trained on ``vecs``, stored and read again."""
+    questions = _questions(spark, sf)
+    hits = search.retrieve_docs(questions, stored_index(spark, vecs, **options), dim=dim)
+    evidence = R.assemble_evidence(hits, I.id_url(spark, sf), I.page_texts(spark, sf))
+    return R.build_run(questions, I.answers(spark, sf, questions), I.page_texts(spark, sf), "m", "with_rag", evidence)
+
+
+def stored_index(spark, vecs, **options):
+    path = scratch_path(spark, "run-index")
+    index_store.write_vector_index(V.build_vector_index(settle(vecs, "chunk-vectors"), seed=7, **options), path)
+    return index_store.read_vector_index(spark, path)
+
+
+def _run_flat(spark, sf):
+    """All lists of vectors as they are: the evidence of exact search."""
+    return _run_from(spark, sf, I.chunk_vectors(spark, sf), I.DIM, subvectors=None, nprobe=V.MAX_LISTS)
+
+
+def _run_trained(spark, sf):
+    """Chunks of 384 numbers, rotated, in lists with codes and the vectors beside them, 512 lists searched."""
+    return _run_from(spark, sf, V.embed_chunks(I.documents(spark, sf)), V.DIM, keep_vectors=True)
+
+
 def _placeholders(spark, sf):
     questions = _questions(spark, sf)
     answered = I.answers(spark, sf, questions).withColumn("text", F.lit("found"))
@@ -169,6 +194,9 @@ REGISTRY = {
         CASE WHEN answer IS NULL THEN 'No content' ELSE 'found' END AS text FROM questions LEFT JOIN answers USING (question_id)""",
     ),
     "e05_build_run": (lambda spark, sf: _run(spark, sf, "with_rag"), _run_sql("with_rag")),
+    "e05_build_run_stored_index": (_run_flat, _run_sql("with_rag")),
+    # Approximate, so no SQL; tests hold its hits against exact search.
+    "e05_build_run_trained_index": (_run_trained, None),
     "e05_build_run_without_evidence": (lambda spark, sf: _run(spark, sf, "without_rag"), _run_sql("without_rag")),
     "j07_attach_page_text": (
         _page_text,
