@@ -3,8 +3,10 @@
 Documents become token ids and a closing id; only what is longer than a sequence is cut. Pieces are dealt to groups
 of bounded size, and each group is packed by itself: best fit by decreasing length first, then a local search that
 moves a document, exchanges one for one or two for one between underfull sequences whenever that raises the sum of
-squared fills, taking from the emptiest until it is gone. The emptiest sequences of every group are opened again and
-packed together in fewer groups, until one group is left; so no task sees more than a group.
+squared fills, taking from the emptiest until it is gone, and ends when no sequence of the group has an exchange left
+or the group has as few as its tokens need. The emptiest sequences of every group are opened again, so many that those
+left closed lack less than a sixteenth of a sequence together or half of the group's pieces are open, and packed
+together in at most half as many groups, until one group is left; so no task sees more than a group.
 
 Cases: a null or empty text is its closing id alone, one piece of length 1. Rows without id are packed like others.
 Repeated rows are packed as often as they occur. Empty tables give empty results; other columns are ignored.
@@ -22,10 +24,8 @@ from sievra.session import settle
 
 CAPACITY = 2048
 GROUP_ROWS = 8192
-OPENED = 16
+CLOSED_LACK = 16
 MOST_REMEMBERED = 300_000
-MOST_STEPS = 1500
-MOST_STUCK = 48
 
 
 class WordIds(dict):
@@ -127,93 +127,152 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
 
 
 class LocalSearch:
-    """Exchanges between underfull bins that raise the sum of squared fills."""
+    """Exchanges between underfull bins that raise the sum of squared fills.
+
+    What a bin can hand over, nothing, one piece or two, is kept as sorted numbers ``bin * width + tokens``. The best
+    exchange of ``given`` tokens with a bin is the one that fills it most, so it takes the least amount that makes room:
+    one search in those numbers. A bin has few amounts, since different sizes add up to at most its capacity.
+    """
 
     def __init__(self, lengths: np.ndarray, bins: np.ndarray, capacity: int):
         self.lengths, self.bins, self.capacity = lengths, bins, capacity
+        self.width = capacity + 1
         self.fill = np.bincount(bins, weights=lengths).astype(np.int64)
-
-    def _put(self, rows, b: int) -> None:
+        self.moves = 0
+        self.changed = np.zeros(len(self.fill), np.int64)  # the move that a bin took part in last
+        self.asked = np.full(len(self.fill), -1)  # the move after which nothing could be taken from a bin
+
+    def _amounts(self) -> None:
+        """The amounts of all bins: ``ones`` of no piece or one, ``twos`` of two."""
+        keys, n = np.unique(self.bins * self.width + self.lengths, return_counts=True)
+        twos, b = [(2 * keys - keys // self.width * self.width)[n > 1]], keys // self.width
+        for apart in range(1, len(keys)):
+            same = np.flatnonzero(b[apart:] == b[:-apart])
+            if not len(same):
+                break
+            twos.append(keys[same] + keys[same + apart] % self.width)
+        self.twos = np.unique(np.concatenate(twos))
+        self.ones = np.union1d(np.arange(len(self.fill)) * self.width, keys)
+
+    def _own(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """The amounts of one and of two pieces of a bin."""
+        sizes, n = np.unique(self.lengths[self.bins == b], return_counts=True)
+        x, y = np.triu_indices(len(sizes), 1)
+        return sizes, np.unique(np.concatenate([2 * sizes[n > 1], sizes[x] + sizes[y]]))
+
+    def _pieces(self, b: int, amount: int, two: bool) -> list[int]:
+        """One or two pieces of a bin of so many tokens together; none for no tokens."""
+        rows = np.flatnonzero(self.bins == b)
+        if not two:
+            return rows[self.lengths[rows] == amount][:1].tolist()
+        place = {int(n): int(i) for i, n in zip(rows, self.lengths[rows])}
+        for i in rows.tolist():
+            other = place.get(amount - int(self.lengths[i]), i)
+            if other != i:
+                return [i, other]
+        raise ValueError(f"no two pieces of {amount} tokens")
+
+    def _put(self, rows: list[int], b: int) -> None:
         for i in rows:
             self.fill[self.bins[i]] -= self.lengths[i]
             self.fill[b] += self.lengths[i]
             self.bins[i] = b
 
-    def _step(self, emptiest: int) -> bool:
-        """The best exchange that takes from ``emptiest``; False if none raises the sum of squared fills."""
-        free = self.capacity - self.fill
-        rows = np.flatnonzero((free[self.bins] > 0) & (self.bins != emptiest))
-        own = np.flatnonzero(self.bins == emptiest)
-        if not len(rows):
+    def _renew(self, b: int) -> None:
+        """The amounts of a bin whose pieces are others now."""
+        one, two = self._own(b)
+        low, high = b * self.width, (b + 1) * self.width
+        for name, values in (("ones", np.concatenate([[0], one])), ("twos", two)):
+            keys = getattr(self, name)
+            x, y = np.searchsorted(keys, (low, high))
+            setattr(self, name, np.concatenate([keys[:x], low + values, keys[y:]]))
+        self.changed[b] = self.moves
+
+    def _best(self, giving: int, given: np.ndarray, into: np.ndarray, keys: np.ndarray) -> tuple[int, int, int, int]:
+        """``(gain, given, bin, taken)`` of the best exchange of an amount for one of ``keys``; gain 0 if there is none."""
+        best = (0, 0, 0, 0)
+        if not len(keys) or not len(into):
+            return best
+        base, room, more_full = into * self.width, self.capacity - self.fill[into], self.fill[into] - self.fill[giving]
+        rows = max(1, 1_000_000 // len(into))
+        for at in range(0, len(given), rows):
+            some = given[at : at + rows, None]
+            found = keys[np.minimum(np.searchsorted(keys, base + np.maximum(some - room, 0)), len(keys) - 1)] - base
+            more = some - found
+            real = (found >= 0) & (more > 0) & (more <= room)
+            gain = np.where(real, 2 * more * (more_full + more), 0)
+            top = int(gain.argmax())
+            if gain.flat[top] > best[0]:
+                g, b = divmod(top, len(into))
+                best = (int(gain.flat[top]), int(some[g, 0]), int(into[b]), int(found[g, b]))
+        return best
+
+    def _step(self, giving: int) -> bool:
+        """The best exchange that takes from ``giving``; False if none raises the sum of squared fills.
+
+        Two for one and one for two are tried if there is no move and no exchange of one for one. If neither this bin nor
+        another has changed since it was asked, the answer is the same, so only changed ones are asked again.
+        """
+        open_bins = (self.fill > 0) & (self.fill < self.capacity)
+        if self.changed[giving] <= self.asked[giving]:
+            open_bins &= self.changed > self.asked[giving]
+        open_bins[giving] = False
+        into = np.flatnonzero(open_bins)
+        if not len(into):
             return False
-        size, room = self.lengths[rows], free[self.bins[rows]]
-        other = self.bins[rows]
-        best, move = 0, None
-
-        def consider(given: int, taken: np.ndarray, space: np.ndarray, into: np.ndarray, make):
-            """Weigh exchanging ``given`` tokens of the emptiest for ``taken`` tokens of bins ``into``."""
-            nonlocal best, move
-            more = given - taken
-            gain = np.where((more > 0) & (more <= space), 2 * more * (self.fill[into] - self.fill[emptiest] + more), 0)
-            at = int(np.argmax(gain)) if len(gain) else 0
-            if len(gain) and gain[at] > best:
-                best, move = int(gain[at]), make(at)
-
-        _, firsts = np.unique(self.lengths[own], return_index=True)
-        for i in own[firsts][::-1]:
-            given = int(self.lengths[i])
-            consider(given, np.zeros(len(rows), np.int64), room, other, lambda at, i=i: ([i], [], other[at]))
-            consider(given, size, room, other, lambda at, i=i: ([i], [rows[at]], other[at]))
-        if move is None:
-            order = np.argsort(other, kind="stable")
-            r, s, b = rows[order], size[order], other[order]
-            for apart in range(1, min(8, len(r))):  # two of one bin for one of the emptiest
-                same = np.flatnonzero(b[apart:] == b[:-apart])
-                if not len(same):
-                    break
-                both, into = s[same] + s[same + apart], b[same]
-                for i in own[firsts]:
-                    consider(
-                        int(self.lengths[i]), both, free[into], into,
-                        lambda at, i=i, same=same, apart=apart, into=into: ([i], [r[same[at]], r[same[at] + apart]], into[at]),
-                    )
-            few = own[np.argsort(self.lengths[own])][:16]
-            for x in range(len(few)):  # two of the emptiest for one of another bin
-                for y in range(x + 1, len(few)):
-                    given = int(self.lengths[few[x]] + self.lengths[few[y]])
-                    consider(given, size, room, other, lambda at, x=x, y=y: ([few[x], few[y]], [rows[at]], other[at]))
-        if move is None:
+        one, two = self._own(giving)
+        gain, given, b, taken = self._best(giving, one, into, self.ones)
+        give_two = take_two = False
+        if not gain:
+            ways = (self._best(giving, one, into, self.twos), self._best(giving, two, into, self.ones))
+            take_two, give_two = ways[0][0] >= ways[1][0], ways[0][0] < ways[1][0]
+            gain, given, b, taken = max(ways, key=lambda way: way[0])
+        if not gain:
+            self.asked[giving] = self.moves
             return False
-        giving, taking, into = move
-        self._put(giving, into)
-        self._put(taking, emptiest)
+        out, back = self._pieces(giving, given, give_two), self._pieces(b, taken, take_two)
+        self._put(out, b)
+        self._put(back, giving)
+        self.moves += 1
+        self._renew(giving)
+        self._renew(b)
         return True
 
-    def run(self, most_steps: int = MOST_STEPS) -> np.ndarray:
-        """Bins after the search. Every step raises an integer sum, and ``most_steps`` bounds their number."""
+    def run(self) -> np.ndarray:
+        """Bins after the search: it ends when there are as few as the tokens need, or no bin has an exchange left.
+
+        It does end, for every exchange raises an integer sum that has a bound.
+        """
         least = -(-int(self.lengths.sum()) // self.capacity)
-        stuck: set[int] = set()
-        for _ in range(most_steps):
-            used = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity))
-            used = [b for b in used[np.argsort(self.fill[used], kind="stable")][: len(stuck) + 1].tolist() if b not in stuck]
-            if not used or int((self.fill > 0).sum()) <= least or len(stuck) >= MOST_STUCK:
-                break
-            if not self._step(used[0]):
-                stuck.add(used[0])
+        left = int((self.fill > 0).sum())
+        if left > least:
+            self._amounts()
+        before = -1
+        while left > least and self.moves > before:
+            before = self.moves
+            for b in np.argsort(self.fill, kind="stable").tolist():
+                while left > least and 0 < self.fill[b] < self.capacity and self._step(b):
+                    left -= self.fill[b] == 0
         return self.bins
 
 
+def _to_open(fill: np.ndarray, pieces: np.ndarray, capacity: int) -> np.ndarray:
+    """The emptiest bins: what stays closed lacks less than ``capacity / CLOSED_LACK`` together, or half the pieces are open."""
+    order = np.argsort(fill, kind="stable")
+    lack = (capacity - fill)[order]
+    behind = lack.sum() - np.cumsum(lack) + lack  # what is lacking from this bin on
+    opened = np.zeros(len(fill), bool)
+    opened[order] = (lack > 0) & (behind * CLOSED_LACK >= capacity) & (2 * np.cumsum(pieces[order]) <= pieces.sum())
+    return opened
+
+
 def _pack_group(capacity: int, level: int, last: bool):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         lengths = table.column("length").to_numpy().astype(np.int64)
         search = LocalSearch(lengths, best_fit(lengths, capacity), capacity)
         bins = search.run()
         used, bins = np.unique(bins, return_inverse=True)
-        fill = search.fill[used]
-        opened = np.zeros(len(used), bool)
-        if not last:
-            emptiest = np.argsort(fill, kind="stable")[:OPENED]
-            opened[emptiest] = fill[emptiest] < capacity * 0.98
+        opened = np.zeros(len(used), bool) if last else _to_open(search.fill[used], np.bincount(bins), capacity)
         order = np.lexsort((np.arange(len(bins)), bins))
         ends = np.cumsum(lengths[order])
         before = ends - lengths[order]
@@ -243,8 +302,10 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     schema = f"{fields}, sequence_id BIGINT, offset BIGINT, opened BOOLEAN"
     done, level, rows = None, 0, pieces
+    groups = None
     while True:
-        groups = max(1, -(-rows.count() // group_rows))
+        needed = max(1, -(-rows.count() // group_rows))
+        groups = needed if groups is None else min(needed, max(1, groups // 2))
         dealt = rows.withColumn("group", F.pmod(place_in_file(), F.lit(groups)))
         packed = dealt.groupBy("group").applyInArrow(_pack_group(capacity, level, groups == 1), schema)
         packed = settle(packed, f"packed-{level}")

@@ -1,3 +1,4 @@
+import itertools
 import zlib
 
 import numpy as np
@@ -83,6 +84,72 @@ def test_the_search_empties_bins_and_never_overfills():
     assert saved > 0
 
 
+def exact_threes(n, seed):
+    first, second = np.random.default_rng(seed).integers(300, 1000, (2, n))
+    return np.concatenate([first, second, 2048 - first - second])
+
+
+@pytest.mark.parametrize("n, most", [(200, 202), (1000, 1014)])
+def test_lengths_that_fit_only_in_exact_threes(n, most):
+    lengths = exact_threes(n, 3)
+    bins = P.LocalSearch(lengths, P.best_fit(lengths, 2048), 2048).run()
+    assert np.bincount(bins, lengths).max() <= 2048 and n <= len(set(bins.tolist())) <= most
+
+
+def exchange_left(lengths, bins, capacity):
+    """True if handing over one or two pieces for none, one or two for one raises the sum of squared fills."""
+    held = {b: lengths[bins == b].tolist() for b in set(bins.tolist())}
+    some = {b: [(x,) for x in rows] + list(itertools.combinations(rows, 2)) for b, rows in held.items()}
+    for a, b in itertools.permutations(held, 2):
+        x, y = sum(held[a]), sum(held[b])
+        if x == capacity or y == capacity or x > y:
+            continue
+        for out in some[a]:
+            for back in [(), *some[b]]:
+                more = sum(out) - sum(back)
+                if len(out) + len(back) < 4 and 0 < more <= capacity - y:
+                    return True
+    return False
+
+
+@pytest.mark.parametrize("low, high", [(20, 60), (34, 50), (1, 101), (5, 30), (26, 34)])
+def test_no_exchange_is_left_when_the_search_ends(low, high):
+    for seed in range(8):
+        lengths = np.random.default_rng(seed).integers(low, high, 40)
+        search = P.LocalSearch(lengths, P.best_fit(lengths, 100), 100)
+        bins = search.run()
+        fill = np.bincount(bins, lengths)
+        assert fill.max() <= 100 and (fill[fill > 0] == search.fill[search.fill > 0]).all()
+        assert len(set(bins.tolist())) == -(-int(lengths.sum()) // 100) or not exchange_left(lengths, bins, 100)
+
+
+def test_amounts_of_bins_follow_the_moves():
+    lengths = exact_threes(60, 5)
+    search = P.LocalSearch(lengths, P.best_fit(lengths, 2048), 2048)
+    search.run()
+    ones, twos = search.ones, search.twos
+    search._amounts()
+    assert search.moves and (ones == search.ones).all() and (twos == search.twos).all()
+
+
+def test_opened_sequences_are_the_emptiest_and_at_most_half_of_the_pieces():
+    fill, pieces = np.array([2048, 2000, 100, 2047, 1500]), np.array([5, 5, 1, 5, 2])
+    assert P._to_open(fill, pieces, 2048).tolist() == [False, False, True, False, True]
+    assert P._to_open(np.array([1000, 1000]), np.array([9, 1]), 2048).sum() <= 1
+    assert not P._to_open(np.array([2048, 2047]), np.array([1, 1]), 2048).any()
+
+
+def test_levels_end_and_lose_little(spark):
+    lengths = exact_threes(1000, 7)
+    df = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "id BIGINT, length BIGINT")
+    found = P.assign(settle(df, "threes"), 2048, group_rows=250).collect()
+    fills = {}
+    for r in found:
+        fills[r.sequence_id] = fills.get(r.sequence_id, 0) + r.length
+    assert sorted(r.id for r in found) == list(range(3000))
+    assert max(fills.values()) <= 2048 and len(fills) <= 1040
+
+
 def test_best_fit_takes_the_fullest_bin_that_has_room():
     bins = P.best_fit(np.array([7, 6, 3, 4, 5]), 10)
     assert bins[0] == bins[2] and bins[1] == bins[3] and bins[4] not in (bins[0], bins[1])
