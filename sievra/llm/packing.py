@@ -27,12 +27,26 @@ GROUP_ROWS = 8192
 CLOSED_LACK = 16
 MOST_REMEMBERED = 300_000
 
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # without the apostrophe, which may begin a token of letters
+_LAST_LATIN = "\u024f"  # up to here letters are single code points in their composed form
+
+
+def _byte_signs() -> list[str]:
+    """The sign a byte-level vocabulary writes for each byte: visible Latin-1 ones stand for themselves, others follow 255."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in visible else chr(next(others)) for b in range(256)]
+
+
+_BYTE_SIGNS = _byte_signs()
+
 
 class WordIds(dict):
     """Token ids of words, as bytes of unsigned 32-bit numbers, the last ``MOST_REMEMBERED`` new ones and as many older.
 
-    Valid for tokenizers that lower-case and drop white space, so that words between white space do not
-    influence each other; ASCII letters are lowered first, which such a tokenizer does anyway.
+    Valid for byte-level tokenizers that lower-case, drop white space and part letters from marks, so that words between
+    white space do not influence each other, nor letters and marks in a word; ASCII letters are lowered first, which such a
+    tokenizer does anyway. Words of Latin letters go straight to the library's merges.
     """
 
     def __init__(self, path: str):
@@ -40,18 +54,29 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.older: dict[bytes, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _letters(self, text: str) -> bytes:
+        """Token ids of small Latin letters, which nothing splits or changes before merges are made."""
+        if not text.isascii():
+            text = "".join(map(_BYTE_SIGNS.__getitem__, text.encode()))
+        return np.array([token.id for token in self.model.tokenize(text)], "<u4").tobytes()
+
     def __missing__(self, word: bytes) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            if word[-1:] in (b".", b",") and word[-2:-1].isalpha():  # a letter and a mark never share a token
-                ids = self[word[:-1]] + self[word[-1:]]
-            else:
+            core = word.rstrip(_MARKS)  # a letter and a mark never share a token
+            text = core.decode()
+            if not (text.isalpha() and max(text) <= _LAST_LATIN and text == text.lower()):
                 ids = self._encode(word.decode())
+            elif len(core) == len(word):
+                ids = self._letters(text)
+            else:
+                ids = self[core] + self[word[len(core) :]]
         if len(self) >= MOST_REMEMBERED:
             self.older = dict(self)
             self.clear()

@@ -23,6 +23,17 @@ def test_ids_as_the_library_gives_them(library, text):
     assert np.frombuffer(P.WordIds(PATH).ids(text.encode()), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_words_as_the_library_gives_them(library):
+    rng = np.random.default_rng(2)
+    signs = list("abcdefghij" * 4 + "éèüßøœſŉǆȿʼˇªºµÿ" + "ÉŽǅΣя中" + "0159²½" + "'" * 6 + "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~" + "\u0301\u00ad\u200b\x1c\xa0…–")
+    words = P.WordIds(PATH)
+    texts = ["".join(rng.choice(signs, rng.integers(1, 12))) for _ in range(20_000)]
+    texts += ["don't.", "it's,%%%", "abc'&&&", "l'été***", "'s", "x's's.", "...", "naïve...", "abc.def.", "<|", "a<|b", "ŉ.", "İ", "abc\u0301.", "_a_"]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for text, ids in zip(texts, want):
+        assert np.frombuffer(words.ids(text.encode()), "<u4").tolist() == ids, text
+
+
 def pieces_by_hand(library, docs, capacity):
     out = []
     for doc, text in docs:
