@@ -74,9 +74,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [(KINDS[k], a, b) for a, k, b in sorted(found)]
 
 
+class _Signs(dict):
+    """The sign of each code point in a shape, found once."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        self[point] = "d" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c
+        return self[point]
+
+
+_SIGNS = _Signs()
+
+
 def shape(word: str, short: bool = False) -> str:
     """Letters as x or X, digits as d, the rest as it is; ``short`` writes repeats once."""
-    out = "".join("d" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c for c in word[:64])
+    out = word.translate(_SIGNS)
     return re.sub(r"(.)\1+", r"\1", out) if short else out
 
 
@@ -171,43 +183,37 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
         return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
 
 
-def train(examples: list[tuple[str, list[tuple[str, int, int]]]], steps: int = 80, rate: float = 0.2, ridge: float = 1e-3) -> Field | None:
-    """The field that makes the labels of ``examples(text, spans)`` most likely, by Adam on exact gradients."""
-    features, labels, lengths = [], [], []
-    for text, spans in examples:
-        places, runs = _runs_of(text)
-        words = [text[a:b] for a, b in places]
-        for run in runs:
-            lengths.append(len(run))
-            open_span = None
-            for i in run:
-                a, b = places[i]
-                span = next((s for s in spans if s[1] < b and a < s[2]), None)
-                features.append(word_features(words, i))
-                inside = span is not None and span == open_span
-                labels.append(0 if span is None else 1 + 2 * KINDS.index(span[0]) + inside)
-                open_span = span
-    if not lengths:
-        return None
-    features, labels, lengths = np.array(features), np.array(labels), np.array(lengths)
-    grid, real = _padded(lengths)
-    k, width, forbidden = len(LABELS), grid.shape[1], _allowed()
-    gold_move = np.zeros((k, k))
-    previous = np.concatenate([[0], labels[:-1]])
-    first = np.cumsum(lengths) - lengths
-    previous[first] = 0
-    np.add.at(gold_move, (previous, labels), 1)
-    np.add.at(gold_move, (labels[first + lengths - 1], 0), 1)
-    # Few of all feature numbers occur in the table: a dense matrix over those.
-    used, column = np.unique(features, return_inverse=True)
-    present = np.zeros((len(labels), len(used)))
-    np.add.at(present, (np.arange(len(labels))[:, None], column.reshape(features.shape)), 1)
-    theta = [np.zeros((len(used), k)), np.zeros((k, k))]
-    moments = [[np.zeros_like(t), np.zeros_like(t)] for t in theta]
-    n = len(lengths)
-    for step in range(1, steps + 1):
-        emissions = (present @ theta[0])[grid]
-        move = theta[1] + forbidden
+class _Likelihood:
+    """The regularised negative log-likelihood of labelled runs, by forward and backward sums, and its gradient."""
+
+    def __init__(self, features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, ridge: float):
+        self.labels, self.lengths, self.ridge = labels, lengths, ridge
+        self.grid, self.real = _padded(lengths)
+        self.used, column = np.unique(features, return_inverse=True)
+        self.column = column.reshape(features.shape)
+        # Words by feature, so that a gradient is a sum over neighbouring rows.
+        order = np.argsort(self.column.ravel(), kind="stable")
+        self.word = order // features.shape[1]
+        self.begin = np.searchsorted(self.column.ravel()[order], np.arange(len(self.used)))
+        k = len(LABELS)
+        self.gold_move = np.zeros((k, k))
+        previous = np.concatenate([[0], labels[:-1]])
+        first = np.cumsum(lengths) - lengths
+        previous[first] = 0
+        np.add.at(self.gold_move, (previous, labels), 1)
+        np.add.at(self.gold_move, (labels[first + lengths - 1], 0), 1)
+        self.size = (len(self.used) + k) * k
+
+    def parts(self, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The weights of features and of neighbouring labels in one vector of weights."""
+        both = theta.reshape(-1, len(LABELS))
+        return both[: len(self.used)], both[len(self.used) :]
+
+    def __call__(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+        emit, between = self.parts(theta)
+        lengths, n, k, width = self.lengths, len(self.lengths), len(LABELS), self.grid.shape[1]
+        words = emit[self.column].sum(axis=1)
+        emissions, move = words[self.grid], between + _allowed()
         alpha = np.empty((n, width, k))
         alpha[:, 0] = move[0] + emissions[:, 0]
         for t in range(1, width):
@@ -217,25 +223,90 @@ def train(examples: list[tuple[str, list[tuple[str, int, int]]]], steps: int = 8
             after = _log_sum(move[None] + (emissions[:, t + 1] + beta[:, t + 1])[:, None, :], 2) if t + 1 < width else 0
             beta[:, t] = np.where((lengths > t + 1)[:, None], after, move[:, 0])
         total = _log_sum(alpha[:, 0] + beta[:, 0], 1)
-        share = np.exp(alpha + beta - total[:, None, None]) * real[:, :, None]
+        share = np.exp(alpha + beta - total[:, None, None]) * self.real[:, :, None]
         expected = np.zeros((k, k))
         expected[0] += share[:, 0].sum(axis=0)
         for t in range(width - 1):
             ways = alpha[:, t, :, None] + move + (emissions[:, t + 1] + beta[:, t + 1])[:, None, :] - total[:, None, None]
             expected += (np.exp(ways) * (lengths > t + 1)[:, None, None]).sum(axis=0)
         expected[:, 0] += share[np.arange(n), lengths - 1].sum(axis=0)
-        error = share[real]  # in the order of the words
-        error[np.arange(len(labels)), labels] -= 1
-        grad = [present.T @ error / n + ridge * theta[0], (expected - gold_move) / n + ridge * theta[1]]
-        for part, g, (m, v) in zip(theta, grad, moments):
-            m *= 0.9
-            m += 0.1 * g
-            v *= 0.999
-            v += 0.001 * g * g
-            part -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    emit = np.zeros((_FEATURES, k))
-    emit[used] = theta[0]
-    return Field(emit, theta[1])
+        error = share[self.real]  # in the order of the words
+        at = np.arange(len(self.labels)), self.labels
+        error[at] -= 1
+        value = (total.sum() - words[at].sum() - (self.gold_move * between).sum()) / n + self.ridge / 2 * float(theta @ theta)
+        slope = np.concatenate([np.add.reduceat(error[self.word], self.begin), expected - self.gold_move]) / n
+        return float(value), slope.ravel() + self.ridge * theta
+
+
+def _minimum(function, start: np.ndarray, tolerance: float, most: int | None = None, memory: int = 10) -> np.ndarray:
+    """Where a smooth convex function has no slope above ``tolerance``, by limited-memory quasi-Newton steps.
+
+    It also ends after ``most`` steps, if given, or where steps no longer lower the value in floating point.
+    """
+    x, steps, done = start, [], 0
+    value, slope = function(x)
+    while np.abs(slope).max() > tolerance and done != most:
+        done += 1
+        way, weights = -slope, []
+        for s, y in reversed(steps):
+            weights.append((s @ way) / (s @ y))
+            way = way - weights[-1] * y
+        if steps:
+            s, y = steps[-1]
+            way = way * ((s @ y) / (y @ y))
+        for (s, y), w in zip(steps, reversed(weights)):
+            way = way + (w - (y @ way) / (s @ y)) * s
+        length = 1.0 if steps else 1 / np.linalg.norm(slope)
+        while True:
+            new = x + length * way
+            new_value, new_slope = function(new)
+            if new_value <= value + 1e-4 * length * (slope @ way):
+                break
+            length /= 2
+            if length < 1e-12:
+                return x
+        s, y = new - x, new_slope - slope
+        if s @ y > 1e-12 * (y @ y):
+            steps = [*steps, (s, y)][-memory:]
+        x, value, slope = new, new_value, new_slope
+    return x
+
+
+def _table(examples: list[tuple[str, list[tuple[str, int, int]]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features and label of every word that is in a run, and the lengths of the runs."""
+    features, labels, lengths = [], [], []
+    for text, spans in examples:
+        places, runs = _runs_of(text)
+        words = [text[a:b] for a, b in places]
+        for run in runs:
+            lengths.append(len(run))
+            open_span = None
+            for i in run:
+                a, b = places[i]
+                span = next((s for s in spans if s[1] < b and a < s[2]), None)
+                features.append(word_features(words, i))
+                inside = span is not None and span == open_span
+                labels.append(0 if span is None else 1 + 2 * KINDS.index(span[0]) + inside)
+                open_span = span
+    return np.array(features), np.array(labels), np.array(lengths)
+
+
+def train(
+    examples: list[tuple[str, list[tuple[str, int, int]]]], steps: int | None = None, ridge: float = 1e-3, tolerance: float = 1e-4
+) -> Field | None:
+    """The field that makes the labels of ``examples(text, spans)`` most likely.
+
+    The regularised likelihood has one maximum; it is approached until no slope is above ``tolerance``, or for a number of
+    ``steps`` if that is given.
+    """
+    features, labels, lengths = _table(examples)
+    if not len(lengths):
+        return None
+    likelihood = _Likelihood(features, labels, lengths, ridge)
+    weights, move = likelihood.parts(_minimum(likelihood, np.zeros(likelihood.size), tolerance, steps))
+    emit = np.zeros((_FEATURES, len(LABELS)))
+    emit[likelihood.used] = weights
+    return Field(emit, move)
 
 
 _ACTIVE = re.compile(r"[0-9@]")

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from sievra.llm import pii
@@ -56,6 +57,51 @@ def test_the_field_finds_what_the_patterns_leave_on_unseen_rows(field):
     assert right >= 0.95 * wanted and right >= 0.95 * found
 
 
+def small_likelihood(rows=12):
+    short = [e for e in pii.labelled_examples(seed=3, rows=rows) if max(map(len, pii._runs_of(e[0])[1]), default=0) <= 4]
+    return pii._Likelihood(*pii._table(short), 1e-2)
+
+
+def test_value_as_by_all_paths_and_slope_as_by_differences():
+    import itertools
+
+    likelihood = small_likelihood()
+    rng = np.random.default_rng(1)
+    theta = rng.normal(0, 0.3, likelihood.size)
+    emit, between = likelihood.parts(theta)
+    between[~np.isfinite(pii._allowed())] = 0
+    value, slope = likelihood(theta)
+    move, at, plain = between + pii._allowed(), 0, 0.0
+    for n in likelihood.lengths.tolist():
+        words = emit[likelihood.column[at : at + n]].sum(axis=1)
+        score = lambda path: sum(move[a, b] for a, b in zip((0, *path), (*path, 0))) + sum(words[i, b] for i, b in enumerate(path))  # noqa: E731, B023
+        every = np.array([score(p) for p in itertools.product(range(len(pii.LABELS)), repeat=n)])
+        plain += np.log(np.exp(every[np.isfinite(every)]).sum()) - score(likelihood.labels[at : at + n].tolist())
+        at += n
+    assert value == pytest.approx(plain / len(likelihood.lengths) + likelihood.ridge / 2 * theta @ theta)
+    for i in rng.integers(0, likelihood.size, 40).tolist():
+        step = np.zeros_like(theta)
+        step[i] = 1e-5
+        assert slope[i] == pytest.approx((likelihood(theta + step)[0] - likelihood(theta - step)[0]) / 2e-5, abs=1e-6)
+
+
+def test_training_ends_at_the_one_maximum():
+    likelihood = small_likelihood(40)
+    zero = pii._minimum(likelihood, np.zeros(likelihood.size), 1e-6)
+    other = pii._minimum(likelihood, np.random.default_rng(4).normal(0, 0.1, likelihood.size), 1e-6)
+    assert np.abs(likelihood(zero)[1]).max() <= 1e-6
+    assert likelihood(zero)[0] == pytest.approx(likelihood(other)[0], abs=1e-7) and np.abs(zero - other).max() < 1e-3
+
+
+def test_no_examples_give_no_field():
+    assert pii.train([]) is None and pii.train([("no digits here", [])]) is None
+
+
+def test_shapes_are_of_whole_words():
+    assert pii.shape("Ab1é" * 50) == "Xxdx" * 50 and pii.shape("aaB22--", short=True) == "xXd-"
+    assert pii.shape("1" * 1_000_000, short=True) == "d"
+
+
 def test_viterbi_as_by_all_paths(field):
     import itertools
 
