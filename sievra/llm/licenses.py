@@ -2,10 +2,14 @@
 
 Text is lower-cased and reduced to runs of letters and digits. A template is compared with three kinds of parts of a
 document: lines, paragraphs (runs of lines that are not blank) of several lines, and the whole text if it has several
-paragraphs. The coefficient is 2 |A and B| / (|A| + |B|) over the sets of bigrams, so a part of ``a`` bigrams can only reach
+paragraphs. A part names the licence of the template it is most like, or all of them if several are equally like. The
+coefficient is 2 |A and B| / (|A| + |B|) over the sets of bigrams, so a part of ``a`` bigrams can only reach
 ``percent`` with templates of ``a * p / (200 - p)`` to ``a * (200 - p) / p`` of them: other templates are not looked at, nor
 are parts that hold too few of a template's bigrams. What is left is compared on the words themselves.
 
+Known are short notices, the file headers of Apache, GNU and Mozilla licences, and the whole texts of MIT, BSD, ISC and zlib. Other
+whole texts can be passed as ``templates``.
+
 Cases: null and empty texts, and parts without words, match nothing; a part of one word is one bigram, the word.
 Repeated rows are reported each; rows without id are reported with a null id; other columns are ignored.
 """
@@ -36,8 +40,8 @@ TEMPLATES = (
                    "License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
-                "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
+                         "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
@@ -59,6 +63,96 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 )
 
+# Fixed texts: whole licences, and the headers that licences ask to be put in files. Blank lines part paragraphs.
+_MIT_REST = """
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR
+ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH
+THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_APACHE_REST = """
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions
+and limitations under the License."""
+_BSD_START = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in
+the documentation and/or other materials provided with the distribution."""
+_BSD_NAMES = """
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from
+this software without specific prior written permission."""
+_BSD_END = """
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT
+HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT
+LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON
+ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE
+USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ISC_REST = """
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY
+DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION,
+ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any
+damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute
+it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this
+software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution."""
+
+
+def _first(name: str, start: str) -> str:
+    return next(text for n, text in TEMPLATES if n == name and text.startswith(start))
+
+
+def _gnu_header(kind: str, version: str, work: str, mark: str) -> tuple[str, str]:
+    """The first paragraph of the header of a GNU licence, and the whole header."""
+    start = (
+        f"This {work} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {kind} as published by "
+        f"the Free Software Foundation{',' if mark == ':' else ';'} either version {version} of the License, or (at your option) any later version."
+    )
+    rest = (
+        f"This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        f"MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} for more details.\n\n"
+        f"You should have received a copy of the GNU {kind} along with this {work}. If not, see <https://www.gnu.org/licenses/>."
+    )
+    return start, f"{start}\n\n{rest}"
+
+
+_GNU = (
+    ("GPL-2.0-or-later", "General Public License", "2", "program", ";"),
+    ("GPL-3.0-or-later", "General Public License", "3", "program", ":"),
+    ("LGPL-2.1-or-later", "Lesser General Public License", "2.1", "library", ";"),
+    ("LGPL-3.0-or-later", "Lesser General Public License", "3", "program", ":"),
+    ("AGPL-3.0-or-later", "Affero General Public License", "3", "program", ":"),
+)
+TEMPLATES += (
+    ("MIT", _first("MIT", "Permission") + _MIT_REST),
+    ("Apache-2.0", _first("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the") + _APACHE_REST),
+    ("BSD-2-Clause", _BSD_START + _BSD_END),
+    ("BSD-3-Clause", _BSD_START + _BSD_NAMES + _BSD_END),
+    ("ISC", _first("ISC", "Permission") + _ISC_REST),
+    ("Zlib", _ZLIB),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License "
+                "version 2 as published by the Free Software Foundation."),
+    *((name, text) for name, *form in _GNU for text in _gnu_header(*form) if (name, text) not in TEMPLATES),
+)
+
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _BITS = 20
 
@@ -142,7 +236,7 @@ def part_bounds(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray,
 def scan(
     docs: DataFrame, templates: tuple = TEMPLATES, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``(id_col, license, n_parts, dice)``: the licences named in each document, in how many parts, and the best coefficient.
+    """``(id_col, license, n_parts, dice)``: the licences named in each document, by how many parts, and their best coefficient.
 
     Templates go to all tasks; documents stay where they are.
     """
@@ -167,7 +261,12 @@ def scan(
                         if dice is not None:
                             key = (part, known.names[t])
                             hits[key] = max(dice, hits.get(key, 0.0))
+                    most: dict[int, float] = {}
+                    for (part, _), dice in hits.items():
+                        most[part] = max(dice, most.get(part, 0.0))
                     for (part, name), dice in hits.items():
+                        if dice < most[part]:
+                            continue
                         entry = best.setdefault((int(row[part]), name), [0, 0.0])
                         entry[0] += 1
                         entry[1] = max(entry[1], dice)

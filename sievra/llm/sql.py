@@ -66,7 +66,7 @@ _PAIRS = """list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(
 
 
 def licenses() -> str:
-    """Every line, paragraph of several lines, and text of several paragraphs against every template."""
+    """Every line, paragraph of several lines, and text of several paragraphs against every template; the most alike counts."""
     rows = ", ".join("({}, {})".format(i, ", ".join("'" + x.replace("'", "''") + "'" for x in t)) for i, t in enumerate(TEMPLATES))
     word = "'(?:[0-9a-z]|[^\\x00-\\x7F])+'"
     return rf"""
@@ -89,8 +89,9 @@ pw AS (SELECT part, doc_id, {_PAIRS} AS s FROM numbered WHERE len(w) > 0),
 pi AS (SELECT part, doc_id, len(s) AS size, unnest(s) AS pair FROM pw),
 hits AS (
   SELECT part, doc_id, license, t_id, 2 * count(*) / (pi.size + ti.size) AS dice, count(*) AS shared, pi.size + ti.size AS sizes
-  FROM pi JOIN ti USING (pair) GROUP BY part, doc_id, license, t_id, pi.size, ti.size HAVING 200 * count(*) >= 80 * (pi.size + ti.size))
-SELECT doc_id, license, count(DISTINCT part)::BIGINT AS n_parts, max(dice) AS dice FROM hits GROUP BY doc_id, license
+  FROM pi JOIN ti USING (pair) GROUP BY part, doc_id, license, t_id, pi.size, ti.size HAVING 200 * count(*) >= 80 * (pi.size + ti.size)),
+most AS (SELECT *, max(dice) OVER (PARTITION BY part) AS top FROM hits)
+SELECT doc_id, license, count(DISTINCT part)::BIGINT AS n_parts, max(dice) AS dice FROM most WHERE dice = top GROUP BY doc_id, license
 """
 
 

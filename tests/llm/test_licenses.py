@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 from sievra.llm import licenses as S
 from tests.llm.helpers import messy, rows, sentence
@@ -25,11 +26,14 @@ def by_hand(docs, templates=S.TEMPLATES):
         parts += ["\n".join(b) for b in blocks if len(b) > 1] + ([text] if len(blocks) > 1 else [])
         best = {}
         for i, part in enumerate(parts):
-            own = pairs(part)
+            own, alike = pairs(part), []
             for name, body in templates:
                 other = pairs(body)
                 if own and 200 * len(own & other) >= 80 * (len(own) + len(other)):
-                    best.setdefault(name, {}).setdefault(i, []).append(2 * len(own & other) / (len(own) + len(other)))
+                    alike.append((2 * len(own & other) / (len(own) + len(other)), name))
+            for dice, name in alike:
+                if dice == max(alike)[0]:
+                    best.setdefault(name, {}).setdefault(i, []).append(dice)
         out += [(doc, name, len(hit), max(max(v) for v in hit.values())) for name, hit in best.items()]
     return sorted(out, key=repr)
 
@@ -56,6 +60,40 @@ def test_parts_against_templates_as_by_hand(spark):
     assert found == want
 
 
+def wrapped_text(text, mark="", width=68):
+    return "\n\n".join("\n".join(mark + line for line in textwrap.wrap(part, width)) for part in text.split("\n\n"))
+
+
+def test_every_template_is_found_as_itself(spark):
+    docs = [(i, wrapped_text(text, mark)) for i, (_, text) in enumerate(S.TEMPLATES) for mark in ("", "# ")]
+    docs += [(1000 + i, "Copyright (c) 2021 Some One\n\n" + wrapped_text(text)) for i, (_, text) in enumerate(S.TEMPLATES) if len(text) > 900]
+    found = {}
+    for r in S.scan(spark.createDataFrame(docs, "doc_id BIGINT, text STRING")).collect():
+        found.setdefault(r.doc_id, {})[r.license] = r.dice
+    for i, (name, _) in enumerate(S.TEMPLATES):
+        assert found[i].get(name) == 1.0, name
+    assert all(S.TEMPLATES[i - 1000][0] in found[i] for i in found if i >= 1000) and max(found) >= 1000
+    assert [tuple(found[i]) for i, (name, _) in enumerate(S.TEMPLATES) if name.endswith("-or-later")] == [
+        (name,) for name, _ in S.TEMPLATES if name.endswith("-or-later")
+    ]
+
+
+def test_headers_of_one_family_are_told_apart(spark):
+    forms = {name: S._gnu_header(*form) for name, *form in S._GNU}
+    docs = [(i, text.replace("This program", "This file").replace("this program", "this file")) for i, text in enumerate(t for pair in forms.values() for t in pair)]
+    want = [name for name in forms for _ in range(2)]
+    found = {}
+    for r in S.scan(spark.createDataFrame(docs, "doc_id BIGINT, text STRING")).collect():
+        found.setdefault(r.doc_id, set()).add(r.license)
+    assert found == {i: {name} for i, name in enumerate(want)}
+
+
+def test_parts_equally_like_several_licences_name_them_all(spark):
+    df = spark.createDataFrame([(1, "a b c d e f")], "doc_id BIGINT, text STRING")
+    found = rows(S.scan(df, (("one", "a b c d e f g"), ("two", "z a b c d e f"), ("far", "a b c d e f g h"))))
+    assert [r[1] for r in found] == ["one", "two"]
+
+
 def test_messy_rows(spark):
     df = messy(spark, [(i, t, "en") for i, t in documents()])
     plain = [(r.doc_id, r.text) for r in df.collect()]
