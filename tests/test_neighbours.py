@@ -133,3 +133,26 @@ def test_waiting_rows_are_sorted_in_between(monkeypatch):
     found = pa.Table.from_batches(list(best.hits(pa.array(["a", "b"]), "l2"))).to_pylist()
     want = [("ab"[k], i, c) for k in (0, 1) for c, i in sorted((c, i) for q, c, i in seen if q == k)[:3]]
     assert [(r["query_id"], r["i"], r["score"]) for r in found] == want
+
+
+def test_a_query_goes_once_to_a_block_of_many_lists(spark, data):
+    """Lists share blocks, a large one has several; a query's lists of a block are bits of one row."""
+    import pyarrow as pa
+
+    first, cuts = N._cut_lists(np.array([3, 4, 3, 25, 1, 9, 10]), 10)
+    assert first.tolist() == [0, 0, 0, 1, 4, 4, 5] and cuts.tolist() == [1, 1, 1, 3, 1, 1, 1]
+    lists = np.arange(50, dtype=np.int32)
+    batch = pa.RecordBatch.from_pydict({"query_id": [7, 8, 9], "lists": pa.array([list(range(50)), [0, 99], None], pa.list_(pa.int32()))})
+    rows = pa.Table.from_batches(N._to_blocks(lists, [lists[:30], lists[30:]])(iter([batch]))).to_pylist()
+    assert [(r["query_id"], r["__vb"]) for r in rows] == [(7, 0), (8, 0), (7, 1)]
+    assert [int.from_bytes(r["__bits"], "big").bit_count() for r in rows] == [30, 1, 20]
+
+
+def test_ties_beyond_k_do_not_wait_for_other_queries(monkeypatch):
+    """Rows that are all alike tie for every query; of each portion of queries only k rows a query are kept."""
+    monkeypatch.setattr(N, "MAX_CELLS", 1000)
+    kept, add = [], np.concatenate
+    monkeypatch.setattr(N.np, "concatenate", lambda parts, *a, **b: (kept.append(sum(len(p) for p in parts)), add(parts, *a, **b))[1])
+    rows = np.ones((500, 4))
+    q, r, cost = N._nearest(np.zeros((40, 4)), rows, np.arange(500), 3, "l2", np.full(40, np.inf))
+    assert r.tolist() == [0, 1, 2] * 40 and max(kept) == 120 and (cost == 4).all()
