@@ -29,6 +29,8 @@ ENCODE_BATCH = 1024
 # Vectors that the codes hand on to the exact ranking, unless a number is chosen for the data.
 CANDIDATES = 1000
 ROTATED_ROWS = 256
+# Words of a batch that are added up at a time.
+HASHED_WORDS = 1 << 18
 
 Encoder = Callable[[list[str]], np.ndarray]
 IDS = ("doc_id", "chunk_no")
@@ -49,15 +51,27 @@ def hash_embedding(text_col, dim: int):
 
     @F.arrow_udf("array<float>")
     def add_up(column: pa.Array) -> pa.Array:
-        number = column.flatten().to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
-        sign = np.where((number & 15) < 8, -1.0, 1.0)
-        sums = np.bincount(row * dim + (number >> 4) % dim, sign, len(column) * dim)
-        return _as_lists(_unit_rows(sums.reshape(-1, dim)), pa.float32())
+        number, offsets = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy() - column.offsets[0].as_py()
+        out = np.zeros((len(column), dim), np.float32)
+        for start, end in _portions(offsets, HASHED_WORDS):
+            some = number[offsets[start] : offsets[end]]
+            place = np.repeat(np.arange(end - start) * dim, np.diff(offsets[start : end + 1])) + (some >> 4) % dim
+            sums = np.bincount(place, np.where((some & 15) < 8, -1.0, 1.0), (end - start) * dim)
+            out[start:end] = _unit_rows(sums.reshape(-1, dim))
+        return _as_lists(out, pa.float32())
 
     return add_up(F.transform(query_terms(F.coalesce(text_col, F.lit(""))), hashed))
 
 
+def _portions(offsets: np.ndarray, most: int):
+    """Ranges of rows, in order, with at most ``most`` words each, or one row: working memory does not grow with a batch."""
+    start = 0
+    while start < len(offsets) - 1:
+        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1)
+        yield start, end
+        start = end
+
+
 def _unit_rows(m: np.ndarray) -> np.ndarray:
     norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return np.divide(m, norm, out=np.zeros_like(m, dtype=np.float64), where=norm > 0)

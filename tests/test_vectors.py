@@ -141,3 +141,14 @@ def test_index_input_errors(spark, matrix):
         V.pq_rotation(table(spark, matrix), 3)
     with pytest.raises(ValueError):
         V.build_vector_index(table(spark, matrix), metric="cosine")
+
+
+def test_hashed_words_are_added_up_in_portions(spark, monkeypatch):
+    """Rows are summed in ranges of bounded words; one long row is a range of its own."""
+    assert list(V._portions(np.array([0, 3, 3, 9, 10, 30, 31]), 10)) == [(0, 4), (4, 5), (5, 6)]
+    assert list(V._portions(np.array([0]), 10)) == []
+    texts = spark.createDataFrame([(i, " ".join(f"w{i % 5}x{j}" for j in range(i))) for i in range(40)], "i INT, text STRING").coalesce(1)
+    made = lambda: [r.v for r in texts.select("i", V.hash_embedding(texts.text, 16).alias("v")).orderBy("i").collect()]
+    whole = made()
+    monkeypatch.setattr(V, "HASHED_WORDS", 7)
+    assert made() == whole
