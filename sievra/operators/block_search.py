@@ -48,7 +48,10 @@ def build_block_index(idx: LexicalIndex, shards: int | None = None, docs_per_blo
     n_blocks = max(1, -(-idx.docs.count() // docs_per_block))
     shards = shards or min(MAX_SHARDS, max(8, idx.vocab.count() // TERMS_PER_SHARD))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block")
-    rows = idx.postings.select("term", block, "doc_id", "weight").groupBy("term", "block").agg(
+    rows = idx.postings.select("term", block, "doc_id", "weight")
+    # As many partitions as the index has, since all postings are gathered again.
+    rows = rows if idx.partitions is None else rows.repartition(idx.partitions, "term", "block")
+    rows = rows.groupBy("term", "block").agg(
         F.max("weight").alias("most"), F.collect_list(F.struct("doc_id", "weight")).alias("entries")
     )
     return BlockIndex(idx.vocab, rows.select(_shard(shards), "term", "block", "most", "entries"), idx.docs, shards)

@@ -179,3 +179,21 @@ def test_tiny_scores_are_hits(spark):
     idx = L.build_lexical_index(docs, min_df=1, max_df=1.0, sample_size=None)
     wide = spark.createDataFrame([(1, ["b"] + ["c"] * 1_000_000)], "query_id INT, terms ARRAY<STRING>")
     assert [r.doc_id for r in L.lexical_search(wide, idx).orderBy("rank").collect()] == [2, 1]
+
+
+def test_partitions_of_words_follow_the_size_of_the_texts(spark, monkeypatch, tmp_path):
+    """More text makes more partitions, and a stored index as many buckets; without text the shuffle partitions stay."""
+    from sievra.registry import inputs as I
+    from sievra.sources import tables as T
+
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = spark.range(600).selectExpr("id AS doc_id", "concat('alpha beta w', id % 7, ' ', repeat('gamma ', 20)) AS text")
+    texts.write.parquet(str(tmp_path / "documents.parquet"))
+    assert T.text_partitions(texts) == least and T.text_partitions(texts.where("doc_id < 0")) == least
+    monkeypatch.setattr(T, "TEXT_PER_PARTITION", 2000)
+    n = T.text_partitions(texts)
+    assert n > 2 * least and I.tokens(spark, str(tmp_path)).rdd.getNumPartitions() == n
+    idx = I.lexical_index(spark, str(tmp_path))
+    index_store.write_lexical_index(idx, str(tmp_path / "idx"))
+    assert index_store.read_meta(spark, str(tmp_path / "idx"))["buckets"] == str(n)
+    assert index_store.read_lexical_index(spark, str(tmp_path / "idx")).postings.count() == idx.postings.count()
