@@ -85,3 +85,26 @@ def test_scatter_is_the_covariance(spark):
 def test_no_vectors(spark):
     with pytest.raises(ValueError):
         clustering.train(table(spark, np.zeros((0, 2)), 1), 4)
+
+
+def test_nearest_centres_that_single_precision_cannot_tell_apart():
+    """Vectors far from zero, copies of centres, very small and very large numbers: as sums in double precision say."""
+    rng = np.random.default_rng(2)
+    for scale, offset in ((1.0, 0.0), (1e-3, 100.0), (1e-12, 0.0), (1e14, 0.0), (1e17, 0.0)):
+        centers = rng.normal(size=(40, 6)) * scale + offset
+        centers[30:] = centers[:10]
+        rows = np.concatenate([centers[5:25], rng.normal(size=(80, 6)) * scale + offset])
+        gaps = np.round(((rows[:, None] - centers[None]) ** 2).sum(axis=2), 9)
+        order = np.argsort(gaps, axis=1, kind="stable")
+        for n in (1, 7, 40):
+            found, apart = clustering.nearest_centers(rows, centers, n)
+            assert np.array_equal(found, order[:, :n]) and np.array_equal(apart, np.take_along_axis(gaps, order, 1)[:, :n])
+
+
+def test_distance_matrix_is_made_in_single_precision(monkeypatch):
+    """Half the bytes and time of doubles, for a training's work is in these products."""
+    kinds, whole = [], clustering._nearest_of_block
+    monkeypatch.setattr(clustering, "_nearest_of_block", lambda r, c, sides, *a: kinds.append(sides.dtype) or whole(r, c, sides, *a))
+    clustering.nearest_centers(np.ones((3, 4)), np.eye(4))
+    clustering.nearest_centers(np.ones((3, 4)) * 1e16, np.eye(4))
+    assert kinds == [np.float32, np.float64]
