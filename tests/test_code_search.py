@@ -1,7 +1,8 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from sievra.operators import code_search as C, vectors as V
+from sievra.operators import code_search as C, neighbours as N, vectors as V
 from sievra.operators.neighbours import knn_exact
 from sievra.sources import index_store
 
@@ -74,3 +75,21 @@ def test_trained_hits_of_the_given_tables(spark):
     truth = knn_exact(V.embed_queries(I.search_queries(spark, sf)), V.embed_chunks(I.documents(spark, sf)))
     assert found.columns == ["query_id", "rank", "doc_id", "chunk_no", "score"]
     assert V.recall(found, truth).first()["recall"] >= 0.9
+
+
+def test_few_of_the_rows_near_by_code_are_summed_exactly(monkeypatch):
+    """Of the share of a batch, a product tells which may be among the best; what is found is as if all were summed."""
+    rng = np.random.default_rng(1)
+    rows, asked = rng.normal(size=(2000, 16)), rng.normal(size=(20, 16))
+    rows[500:520] = rows[7]
+    near = rng.random((20, 2000)) < 0.15
+    table, summed, exact = pa.table({"i": np.arange(2000)}), [], N._exact
+    monkeypatch.setattr(N, "_exact", lambda q, r, a, b, metric: summed.append(len(a)) or exact(q, r, a, b, metric))
+    best = N.RunningBest(20, 10, ["i"])
+    for at in (0, 1000):
+        N.add_best(best, asked, rows[at : at + 1000], near[:, at : at + 1000], table.slice(at, 1000), 0, "l2")
+    hits = next(best.hits(pa.array(range(20)), "l2"))
+    gaps = np.round(((asked[:, None] - rows[None]) ** 2).sum(axis=2), 9)
+    gaps[~near] = np.inf
+    assert hits.column("i").to_pylist() == np.argsort(gaps, axis=1, kind="stable")[:, :10].ravel().tolist()
+    assert sum(summed) < 0.2 * near.sum()
