@@ -103,6 +103,9 @@ class ArrowStreamWriter(DataSourceArrowWriter):
     def __init__(self, path: str, schema: StructType, overwrite: bool):
         self.path, self.schema, self.overwrite = local_path(path), schema, overwrite
         self.job = f"_writing-{uuid.uuid4().hex}"
+        fs, folder = self._folder()
+        # Made here and by no task, so a task that still runs after an abort cannot bring it back.
+        fs.create_dir(f"{folder}/{self.job}", recursive=True)
 
     def _folder(self) -> tuple[pafs.FileSystem, str]:
         return _filesystem(self.path)
@@ -113,7 +116,6 @@ class ArrowStreamWriter(DataSourceArrowWriter):
             return None
         fs, folder = self._folder()
         name = f"part-{uuid.uuid4().hex}{SUFFIX}"
-        fs.create_dir(f"{folder}/{self.job}", recursive=True)
         with fs.open_output_stream(f"{folder}/{self.job}/{name}") as sink, pa.ipc.new_stream(sink, first.schema) as stream:
             stream.write_batch(first)
             for batch in batches:
