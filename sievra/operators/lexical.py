@@ -271,8 +271,10 @@ def lexical_search(
 def pad_hits(hits: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """Fill queries with fewer than ``k`` hits up with the first documents by id, at score zero.
 
-    A query that is short has fewer than ``k`` hits, so the first ``k`` documents always suffice.
+    A query that is short has fewer than ``k`` hits, so the first ``k`` documents always suffice. The hits are written once, as
+    they are read for what is missing and for the result.
     """
+    hits = settle(hits, "hits")
     first = docs.orderBy("doc_id").limit(k).agg(F.collect_list("doc_id"))
     fill = queries.select("query_id", F.explode(first.scalar()).alias("doc_id")).join(
         hits.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti"

@@ -197,3 +197,12 @@ def test_partitions_of_words_follow_the_size_of_the_texts(spark, monkeypatch, tm
     index_store.write_lexical_index(idx, str(tmp_path / "idx"))
     assert index_store.read_meta(spark, str(tmp_path / "idx"))["buckets"] == str(n)
     assert index_store.read_lexical_index(spark, str(tmp_path / "idx")).postings.count() == idx.postings.count()
+
+
+def test_a_padded_search_is_done_once(spark, tmp_path):
+    """Its hits are read twice, but the postings are not: the result no longer depends on them."""
+    docs = spark.createDataFrame([(i, t.split()) for i, t in DOCS.items()], "doc_id INT, tokens ARRAY<STRING>")
+    index_store.write_lexical_index(L.build_lexical_index(docs, min_df=1, max_df=1.0, sample_size=None), str(tmp_path / "idx"))
+    hits = L.lexical_search(queries(spark), index_store.read_lexical_index(spark, str(tmp_path / "idx")), 5, pad=True)
+    assert not [f for f in hits.inputFiles() if "/postings/" in f]
+    assert hits.groupBy("query_id").count().where("count <> 5").count() == 0
