@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sievra.llm.links import PIECE_BYTES, numbered_rows
+from sievra.llm.links import PIECE_BYTES, keyed_texts
 from sievra.llm.words import NOT_ALPHANUMERIC, mix, pieces_of, shingle_hashes, text_buffers, word_hashes
 from sievra.session import broadcast_if_fits, settle
 
@@ -167,6 +167,6 @@ def contained_items(
 def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows that contain a test item; all columns as they were. Rows count each for themselves, with
     or without an id."""
-    rows, row = numbered_rows(docs)
-    leaks = contained_items(rows, items, row, text_col, **options).select(row).distinct()
-    return rows.join(broadcast_if_fits(settle(leaks, "leaks")), row, "left_anti").select(*docs.columns)
+    rows, key = keyed_texts(docs, text_col)
+    leaks = contained_items(rows, items, key, text_col, **options).select(key).distinct()
+    return rows.join(broadcast_if_fits(settle(leaks, "leaks")), key, "left_anti").select(*docs.columns)

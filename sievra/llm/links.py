@@ -208,10 +208,14 @@ def unused(docs: DataFrame, name: str) -> str:
     return name
 
 
-def numbered_rows(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a number of its own for every row, written so that the numbers stay, and the name of that column."""
-    row = unused(docs, "row_number")
-    return settle(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+def keyed_texts(docs: DataFrame, text_col: str) -> tuple[DataFrame, str]:
+    """``docs`` with a 64-bit hash of its text (null: null) for every row, and the name of that column.
+
+    A stage that decides by text finds its rows again by it, so that no copy of the table is written. The hash does not
+    depend on the order of rows, and of ten million texts two have equal ones with a probability of 3e-6.
+    """
+    key = unused(docs, "text_key")
+    return docs.withColumn(key, F.when(F.col(text_col).isNotNull(), F.xxhash64(text_col))), key
 
 
 def _directed(edges: DataFrame) -> DataFrame:
@@ -261,11 +265,13 @@ def components(links: DataFrame) -> DataFrame:
 def sets_by_scan(docs: DataFrame, id_col: str, text_col: str, k: int, separators: np.ndarray = WHITESPACE):
     """``sets_of`` for :func:`verified_links`: the involved texts are picked from a scan and cut in shingles again.
 
-    The ids go to the scan if a count shows that they fit, else ids and texts meet by a join.
+    The ids go to the scan if a count shows that they fit, else ids and texts meet by a join. Rows that are equal in
+    both give one set.
     """
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = broadcast_if_fits(ids.select(F.col("id").alias(id_col)))
-        return shingle_sets(docs.select(id_col, text_col).join(wanted, id_col, "left_semi"), id_col, text_col, k, separators)
+        texts = docs.select(id_col, text_col).join(wanted, id_col, "left_semi").distinct()
+        return shingle_sets(texts, id_col, text_col, k, separators)
 
     return sets_of

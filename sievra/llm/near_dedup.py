@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sievra.llm.links import PIECE_BYTES, components, meeting_points, numbered_rows, row_sets, set_key, sets_by_scan, verified_links
+from sievra.llm.links import PIECE_BYTES, components, keyed_texts, meeting_points, row_sets, set_key, sets_by_scan, verified_links
 from sievra.llm.words import give_back, mix, pieces_of, text_buffers
 from sievra.session import broadcast_if_fits, settle
 
@@ -94,10 +94,11 @@ def near_duplicates(
     """
     signed = settle(signatures(docs, id_col, text_col, k), "signatures")
     named = signed.where("n > 0")
-    classes = named.groupBy("set_a", "set_b").agg(F.min("id").alias("rep")).where("rep IS NOT NULL")
-    classes = settle(classes, "classes")
-    reps = named.join(classes.withColumnRenamed("rep", "id"), ["set_a", "set_b", "id"], "left_semi")
-    links = verified_links(meeting_points(reps.select("id", "n", "bands")), sets_by_scan(docs, id_col, text_col, k), percent, block_items)
+    # Size and bands are those of the set, so any row of a class has them.
+    classes = named.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = settle(classes.where("rep IS NOT NULL"), "classes")
+    reps = classes.select(F.col("rep").alias("id"), "n", "bands")
+    links = verified_links(meeting_points(reps), sets_by_scan(docs, id_col, text_col, k), percent, block_items)
     parts = settle(components(links), "components").withColumnRenamed("id", "rep")
     owners = classes.join(parts, "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     rows = named.select("id", "n", "set_a", "set_b").join(owners, ["set_a", "set_b"], "left").select("id", "n", "component")
@@ -115,13 +116,28 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row of ``docs`` per group of near-duplicates, all columns as they were.
 
     Rows count each for themselves, whatever their ids. Of a group the row of the smallest id stays, one without id only if
-    all are, and of rows that share that id any one. Rows without a shingle are in no group and stay.
+    all are, and of rows that share that id any one. Rows without a shingle are in no group and stay. ``docs`` is scanned
+    several times and not copied; rows are found again by id and text.
     """
-    rows, row = numbered_rows(docs)
-    found = settle(near_duplicates(rows, row, text_col, k, percent).select(row, F.col("component_id").alias("__group")), "groups-of-rows")
-    groups = found.groupBy("__group").agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
-    found = settle(found.join(groups, "__group"), "rows-in-groups")
-    named = rows.select(row, F.col(id_col).alias("__id")).join(broadcast_if_fits(found), row)
-    first = named.groupBy("__group").agg(F.min(F.struct(F.col("__id").isNull(), "__id", row))[row].alias(row))
-    gone = found.select(row).join(broadcast_if_fits(settle(first.select(row), "first-rows")), row, "left_anti")
-    return rows.join(broadcast_if_fits(settle(gone, "gone")), row, "left_anti").select(*docs.columns)
+    rows, key = keyed_texts(docs, text_col)
+    found = near_duplicates(rows, key, text_col, k, percent).where("n_shingles > 0")
+    found = settle(found.select(F.col(key).alias("key"), F.col("component_id").alias("group")), "groups-of-texts")
+    groups = found.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    found = settle(found.join(groups, "group").distinct(), "texts-in-groups")
+    named = rows.select(F.col(key).alias("key"), F.col(id_col).alias("id")).join(broadcast_if_fits(found), "key")
+    named = settle(named.groupBy("group", "id", "key").agg(F.count("*").alias("n")), "rows-in-groups")
+    first = named.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("first"))
+    first = settle(first, "first-rows")
+    stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key"))
+    named = settle(named.join(broadcast_if_fits(first), "group").select("id", "key", "n", stays.alias("stays")), "named")
+    gone, repeated = named.where("NOT stays"), named.where("stays AND n > 1")
+
+    def among(found: DataFrame, how: str, rows: DataFrame) -> DataFrame:
+        found = broadcast_if_fits(found.select("id", "key"))
+        return rows.join(found, (rows[key] == found["key"]) & rows[id_col].eqNullSafe(found["id"]), how)
+
+    rows = among(gone, "left_anti", rows)
+    if not repeated.isEmpty():
+        one = among(repeated, "left_semi", rows).dropDuplicates([key, id_col])
+        rows = among(repeated, "left_anti", rows).unionByName(one)
+    return rows.select(*docs.columns)
