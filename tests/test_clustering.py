@@ -108,3 +108,22 @@ def test_distance_matrix_is_made_in_single_precision(monkeypatch):
     clustering.nearest_centers(np.ones((3, 4)), np.eye(4))
     clustering.nearest_centers(np.ones((3, 4)) * 1e16, np.eye(4))
     assert kinds == [np.float32, np.float64]
+
+
+def test_rows_with_one_centre_in_reach_are_not_looked_through_again(monkeypatch):
+    """Of rows that lie at a centre, only those that lie between two are compared with their limit cell by cell."""
+    centers = np.eye(64) * 4.0
+    rows = np.concatenate([centers, (centers[:1] + centers[1:2]) / 2])
+    looked, nonzero = [], np.nonzero
+    monkeypatch.setattr(clustering.np, "nonzero", lambda x: (looked.append(x.size), nonzero(x))[1])
+    found, gaps = clustering.nearest_centers(rows, centers)
+    assert found[:, 0].tolist() == [*range(64), 0] and gaps[-1, 0] == 8.0 and sum(looked) < len(rows) * 64 // 10
+
+
+def test_a_training_reads_vectors_as_bytes(spark, monkeypatch):
+    rows, kinds, parts = np.arange(60.0).reshape(10, 6) - 20, [], clustering._step
+    monkeypatch.setattr(clustering, "_step", lambda sample, *a: (kinds.append(sample.dtypes), parts(sample, *a))[1])
+    clustering.train(table(spark, rows, 3), 2, 2, max_iter=1)
+    assert kinds == [[("v", "binary")]]
+    packed = table(spark, rows, 1).select(clustering._packed(F.col("embedding").cast("array<double>")).alias("v")).toArrow()["v"].combine_chunks()
+    assert np.array_equal(clustering._unpacked(packed), rows) and np.array_equal(clustering._unpacked(packed[4:7]), rows[4:7])

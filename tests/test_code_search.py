@@ -93,3 +93,19 @@ def test_few_of_the_rows_near_by_code_are_summed_exactly(monkeypatch):
     gaps[~near] = np.inf
     assert hits.column("i").to_pylist() == np.argsort(gaps, axis=1, kind="stable")[:, :10].ravel().tolist()
     assert sum(summed) < 0.2 * near.sum()
+
+
+def test_a_batch_is_compared_with_the_queries_that_ask_for_its_lists(monkeypatch):
+    rng = np.random.default_rng(2)
+    rows, asked, centers = rng.normal(size=(60, 4)), rng.normal(size=(9, 4)), rng.normal(size=(3, 4))
+    lists, compared, add = np.repeat([2, 5, 7], 20), [], C.add_best
+    monkeypatch.setattr(C, "add_best", lambda best, q, *a: (compared.append(len(q)), add(best, q, *a))[1])
+    sent = type("Sent", (), {"value": {
+        "query_ids": pa.array(range(9)), "asked": asked, "turned": asked, "books": rng.normal(size=(2, 3, 2)), "query": np.arange(9), "place": np.arange(9) % 3,
+        "list_ids": np.array([2, 5, 7]), "centers": centers, "residual": True,
+    }})
+    table = pa.table({"list_id": lists, "i": np.arange(60), "codes": rng.integers(0, 3, (60, 2)).tolist(), "embedding": rows.tolist()})
+    found = pa.Table.from_batches(C._scan(sent, ["i"], 4, 1.0)(iter(table.to_batches(max_chunksize=20))))
+    gaps = ((asked[:, None] - rows[None]) ** 2).sum(axis=2)
+    gaps[(np.arange(9) % 3)[:, None] != (np.arange(60) // 20)[None]] = np.inf
+    assert found["i"].to_pylist() == np.argsort(gaps, axis=1)[:, :4].ravel().tolist() and compared == [3, 3, 3]
