@@ -39,19 +39,35 @@ def _shard(shards: int):
     return F.pmod(F.xxhash64("term"), F.lit(shards)).cast("int").alias("shard")
 
 
+def _block(n_blocks: int):
+    return F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks))
+
+
+def deal_blocks(df: DataFrame, partitions: int, docs_per_block: int = DOCUMENTS_PER_BLOCK) -> tuple[DataFrame, int]:
+    """``df(doc_id, ...)`` in ``partitions`` that hold whole blocks, with ``part``, and the number of blocks.
+
+    The postings of a block are then gathered by term where the document was counted, without a shuffle.
+    """
+    n_blocks = max(1, -(-df.count() // docs_per_block))
+    part = F.pmod(_block(n_blocks), F.lit(partitions)).cast("int")
+    return df.withColumn("part", part).repartitionById(partitions, F.col("part")), n_blocks
+
+
 def build_block_index(idx: LexicalIndex, shards: int | None = None, docs_per_block: int = DOCUMENTS_PER_BLOCK) -> BlockIndex:
     """Gather the postings of ``idx`` by term and block.
 
     Blocks are dealt by a hash of the document, so none is much larger than ``docs_per_block`` and a group is no
-    larger than a block, however frequent its term.
+    larger than a block, however frequent its term. Documents that :func:`deal_blocks` dealt have its blocks, which are gathered
+    where they are.
     """
-    n_blocks = max(1, -(-idx.docs.count() // docs_per_block))
+    n_blocks = idx.blocks or max(1, -(-idx.docs.count() // docs_per_block))
     shards = shards or min(MAX_SHARDS, max(8, idx.vocab.count() // TERMS_PER_SHARD))
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block")
-    rows = idx.postings.select("term", block, "doc_id", "weight")
-    # As many partitions as the index has, since all postings are gathered again.
-    rows = rows if idx.partitions is None else rows.repartition(idx.partitions, "term", "block")
-    rows = rows.groupBy("term", "block").agg(
+    by = () if idx.blocks is None else ("part",)
+    rows = idx.postings.select(*by, "term", _block(n_blocks).alias("block"), "doc_id", "weight")
+    if idx.blocks is None and idx.partitions is not None:
+        # As many partitions as the index has, since all postings are gathered again.
+        rows = rows.repartition(idx.partitions, "term", "block")
+    rows = rows.groupBy(*by, "term", "block").agg(
         F.max("weight").alias("most"), F.collect_list(F.struct("doc_id", "weight")).alias("entries")
     )
     return BlockIndex(idx.vocab, rows.select(_shard(shards), "term", "block", "most", "entries"), idx.docs, shards)

@@ -94,7 +94,7 @@ def _stored_search(spark, sf):
 
 def _blocks(spark, sf):
     path = scratch_path(spark, "term-blocks")
-    index_store.write_block_index(build_block_index(I.lexical_index(spark, sf)), path)
+    index_store.write_block_index(build_block_index(I.dealt_index(spark, sf)), path)
     return index_store.read_block_index(spark, path)
 
 

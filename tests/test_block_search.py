@@ -101,3 +101,29 @@ def test_an_index_without_documents(spark, idx, queries, tmp_path):
     empty = L.LexicalIndex(idx.vocab, idx.postings.limit(0), idx.docs.limit(0))
     index_store.write_block_index(B.build_block_index(empty), str(tmp_path / "b"))
     assert B.block_search(queries, index_store.read_block_index(spark, str(tmp_path / "b"))).count() == 0
+
+
+def test_dealt_documents_gather_their_postings_without_a_shuffle(spark, tmp_path):
+    """Ids that come twice or are null included: the blocks of an index that was not dealt, stored alike."""
+    rng = random.Random(5)
+    rows = [(i % 290 if i % 50 else None, [f"w{int(60 * rng.random() ** 3)}" for _ in range(rng.randrange(12))]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id INT, tokens ARRAY<STRING>").repartition(5)
+    limits = dict(min_df=1, max_df=1.0, sample_size=None)
+    dealt, n = B.deal_blocks(docs, 6, 16)
+    made = B.build_block_index(L.build_lexical_index(dealt, colocated=True, partitions=6, blocks=n, **limits), shards=3)
+    plain = B.build_block_index(L.build_lexical_index(docs, **limits), shards=3, docs_per_block=16)
+    plan = made.blocks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange shufflepartitionidpassthrough") == 1 and "Exchange hashpartitioning" not in plan
+    entry = lambda e: (e.doc_id is None, e.doc_id or 0, round(e.weight, 9))
+    key = lambda r: (r.shard, r.term, r.block, round(r.most, 9), sorted(map(entry, r.entries)))
+    index_store.write_block_index(made, str(tmp_path / "b"))
+    stored = index_store.read_block_index(spark, str(tmp_path / "b")).blocks
+    want = sorted(map(key, plain.blocks.collect()))
+    assert n == 19 and sorted(map(key, made.blocks.collect())) == want and sorted(map(key, stored.collect())) == want
+
+
+def test_entries_are_moved_as_two_lists(spark, idx, tmp_path, monkeypatch):
+    moved, hint = [], type(idx.postings).hint
+    monkeypatch.setattr(type(idx.postings), "hint", lambda df, *a: (moved.append(dict(df.dtypes)), hint(df, *a))[1])
+    index_store.write_block_index(B.build_block_index(idx, shards=3), str(tmp_path / "b"))
+    assert [(m["doc_id"], m["weight"]) for m in moved] == [("array<int>", "array<double>")]
