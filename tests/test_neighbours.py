@@ -156,3 +156,23 @@ def test_ties_beyond_k_do_not_wait_for_other_queries(monkeypatch):
     rows = np.ones((500, 4))
     q, r, cost = N._nearest(np.zeros((40, 4)), rows, np.arange(500), 3, "l2", np.full(40, np.inf))
     assert r.tolist() == [0, 1, 2] * 40 and max(kept) == 120 and (cost == 4).all()
+
+
+def test_hits_of_queries_in_one_block_are_ranked_where_they_are_found(spark, monkeypatch):
+    """Lists of several blocks, repeated and null ids among queries and vectors, in portions of few queries: as by one broadcast."""
+    rng = np.random.default_rng(11)
+    rows = np.round(rng.normal(size=(300, 3)), 1)
+    rows[40:60] = rows[3]
+    data = [(i // 2 if i % 30 else None, int(i % 4 if i < 200 else 4), [float(x) for x in r]) for i, r in enumerate(rows)]
+    vecs = spark.createDataFrame(data, "vec_id INT, list_id INT, embedding ARRAY<DOUBLE>").repartition(3)
+    asked = [(i if i not in (7, 8) else 6 if i == 7 else None, [i % 5] if i % 9 else [i % 5, 2], [float(x) for x in rows[i]]) for i in range(60)]
+    queries = spark.createDataFrame(asked, "query_id INT, lists ARRAY<INT>, embedding ARRAY<DOUBLE>")
+    key = lambda df: sorted((str(r.query_id), r["rank"], str(r.vec_id), r.score) for r in df.collect())
+    want = key(N.nearest(queries, vecs, ["vec_id"], 20, "l2"))
+    ranked, search = [], N._ranked_blocks
+    monkeypatch.setattr(N, "_ranked_blocks", lambda *a: (ranked.append(a), search(*a))[1])
+    monkeypatch.setattr(N, "MAX_HITS", 100)
+    found = N.nearest(queries, vecs, ["vec_id"], 20, "l2", max_query_numbers=60, block_numbers=3 * 80)
+    assert key(found) == want and len(ranked) == 1
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    assert [x.tolist() for x in N._cut_lists(np.array([5, 30, 7, 90]), 10, 40)] == [[0, 1, 2, 3], [1, 1, 1, 9]]
