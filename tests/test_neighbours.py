@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sievra.operators import neighbours as N
@@ -176,3 +177,33 @@ def test_hits_of_queries_in_one_block_are_ranked_where_they_are_found(spark, mon
     assert key(found) == want and len(ranked) == 1
     assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
     assert [x.tolist() for x in N._cut_lists(np.array([5, 30, 7, 90]), 10, 40)] == [[0, 1, 2, 3], [1, 1, 1, 9]]
+
+
+def test_few_cells_are_ranked_and_few_pairs_summed(monkeypatch):
+    """A limit from some rows, or one from before, leaves what is found as it is, copies among the best included."""
+    rng = np.random.default_rng(3)
+    queries, rows, ranks, cells, pairs = rng.normal(size=(8, 4)), rng.normal(size=(20_000, 4)), np.arange(20_000), [], []
+    rows[7000:7003] = rows[5]
+    partition, exact = np.partition, N._exact
+    monkeypatch.setattr(N.np, "partition", lambda x, *a, **b: (cells.append(x.size), partition(x, *a, **b))[1])
+    monkeypatch.setattr(N, "_exact", lambda a, b, q, r, metric: (pairs.append(len(q)), exact(a, b, q, r, metric))[1])
+    for metric, gaps in (("l2", ((queries[:, None] - rows[None]) ** 2).sum(axis=2)), ("ip", -queries @ rows.T)):
+        want = np.argsort(np.round(gaps, 9), axis=1, kind="stable")[:, :5]
+        bound = np.full(8, np.inf)
+        for n in (8 * 20_000 // 4, 0):
+            cells.clear(), pairs.clear()
+            q, r, cost = N._nearest(queries, rows, ranks, 5, metric, bound)
+            assert r.reshape(8, 5).tolist() == want.tolist() and sum(cells) <= n and sum(pairs) < 8 * 20_000 // 100
+            bound = cost.reshape(8, 5)[:, -1].copy()
+
+
+def test_few_near_rows_need_no_product(monkeypatch):
+    rng = np.random.default_rng(4)
+    asked, rows = rng.normal(size=(5, 4)), rng.normal(size=(1000, 4))
+    near = rng.random((5, 1000)) < 0.01
+    near[:, :3] = True
+    monkeypatch.setattr(N, "rough_costs", lambda *a: 1 / 0)
+    best = N.RunningBest(5, 3, ["i"])
+    N.add_best(best, asked, rows, near, pa.table({"i": np.arange(1000)}), 0, "l2")
+    gaps = np.where(near, ((asked[:, None] - rows[None]) ** 2).sum(axis=2), np.inf)
+    assert next(best.hits(pa.array(range(5)), "l2")).column("i").to_pylist() == np.argsort(gaps, axis=1)[:, :3].ravel().tolist()
